@@ -2,17 +2,54 @@
 
 from __future__ import annotations
 
+import zlib
+
+import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrafacet.llm import bpe
+from terrafacet.llm import bpe, media, simple8b
+from terrafacet.llm.shared import shared_path, stored
 from terrafacet.session import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_signature_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Store every text as 8-bit sound under a general type, sniff the stored bytes and read the samples back."""
+    blobs = stored(media.texts_to_media(table(spark, sf_dir, "documents")), "op1-media")
+    known = blobs.select("doc_id", "declared", "content", F.length("content").cast("long").alias("media_bytes"), F.sha2("content", 256).alias("media_sha256"))
+    read = media.sound_features(known)
+    return read.select(
+        "doc_id",
+        F.expr("cast(length(rtrim(X'FF', payload)) as long)").alias("n_bytes"),  # UTF-8 has no byte 255
+        F.length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(payload, -32, 32)")).alias("tail_crc32"),
+        "media_bytes",
+        "media_sha256",
+        "feature",
+        "sniffed",
+        "corrected",
+        F.size("found").alias("n_found"),
+    )
+
+
+def op2_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write every document's ids as Simple-8b blocks, read them back, and say where each document's ids lie."""
+    path = shared_path(spark, "op2-blocks")
+    simple8b.write_blocks(table(spark, sf_dir, "documents"), WORD_BPE, 1, path)
+    return simple8b.map_documents(
+        simple8b.read_blocks(spark, path),
+        lambda doc_id, start, ids: (doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())),
+        ["doc_id", "start", "n_tokens", "ids_crc32"],
+        [pa.int64()] * 4,
+        "doc_id long, start long, n_tokens long, ids_crc32 long",
+    )
+
+
 def op7_rank_array_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every document and decode its ids; digests of both."""
     found = bpe.encode_documents(table(spark, sf_dir, "documents"), BYTE_BPE, decode=True)
@@ -25,6 +62,8 @@ def op7_rank_array_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_signature_sniffing": op1_signature_sniffing,
+    "op2_simple8b": op2_simple8b,
     "op7_rank_array_bpe": op7_rank_array_bpe,
 }
 ORACLES: dict[str, str] = {}

@@ -6,10 +6,10 @@ import zlib
 
 import pyarrow as pa
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrafacet.llm import bpe, media, simple8b
+from terrafacet.llm import bpe, langid, media, simple8b
 from terrafacet.llm.shared import shared_path, stored
 from terrafacet.session import table
 
@@ -50,6 +50,17 @@ def op2_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def held_out() -> Column:
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the two thirds that aren't held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.train(docs, F.col("doc_id").isNotNull() & ~held_out())
+    return langid.predict(docs.withColumn("held_out", held_out()), model, "doc_id", "held_out")
+
+
 def op7_rank_array_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every document and decode its ids; digests of both."""
     found = bpe.encode_documents(table(spark, sf_dir, "documents"), BYTE_BPE, decode=True)
@@ -64,6 +75,7 @@ def op7_rank_array_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_signature_sniffing": op1_signature_sniffing,
     "op2_simple8b": op2_simple8b,
+    "op3_language_id": op3_language_id,
     "op7_rank_array_bpe": op7_rank_array_bpe,
 }
 ORACLES: dict[str, str] = {}

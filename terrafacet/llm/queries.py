@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrafacet.llm import bpe, langid, media, simple8b
+from terrafacet.llm import bpe, kneser_ney, langid, media, simple8b
 from terrafacet.llm.shared import shared_path, stored
 from terrafacet.session import table
 
@@ -72,10 +72,17 @@ def op7_rank_array_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of every document under a model of those labelled as good, and whether its language's threshold keeps it."""
+    trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return kneser_ney.classify(table(spark, sf_dir, "documents"), trusted)
+
+
 QUERIES = {
     "op1_signature_sniffing": op1_signature_sniffing,
     "op2_simple8b": op2_simple8b,
     "op3_language_id": op3_language_id,
     "op7_rank_array_bpe": op7_rank_array_bpe,
+    "op9_kneser_ney": op9_kneser_ney,
 }
 ORACLES: dict[str, str] = {}

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrafacet.llm import bpe, kneser_ney, langid, media, simple8b
+from terrafacet.llm import bpe, kneser_ney, langid, media, near_dedup, simple8b
 from terrafacet.llm.shared import shared_path, stored
 from terrafacet.session import table
 
@@ -61,6 +61,11 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.withColumn("held_out", held_out()), model, "doc_id", "held_out")
 
 
+def op5_odd_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose shingle sets are alike to 85 percent."""
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), 85)
+
+
 def op7_rank_array_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every document and decode its ids; digests of both."""
     found = bpe.encode_documents(table(spark, sf_dir, "documents"), BYTE_BPE, decode=True)
@@ -82,6 +87,7 @@ QUERIES = {
     "op1_signature_sniffing": op1_signature_sniffing,
     "op2_simple8b": op2_simple8b,
     "op3_language_id": op3_language_id,
+    "op5_odd_sketch_dedup": op5_odd_sketch_dedup,
     "op7_rank_array_bpe": op7_rank_array_bpe,
     "op9_kneser_ney": op9_kneser_ney,
 }

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrafacet.llm import bpe, kneser_ney, langid, media, near_dedup, simple8b
+from terrafacet.llm import bpe, hnsw, kneser_ney, langid, media, near_dedup, simple8b
 from terrafacet.llm.shared import shared_path, stored
 from terrafacet.session import table
 
@@ -83,6 +83,12 @@ def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.classify(table(spark, sf_dir, "documents"), trusted)
 
 
+def op10_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest vectors of every fiftieth vector."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return hnsw.nearest(vectors, vectors.where("vec_id % 50 = 0"), 5)
+
+
 QUERIES = {
     "op1_signature_sniffing": op1_signature_sniffing,
     "op2_simple8b": op2_simple8b,
@@ -90,5 +96,6 @@ QUERIES = {
     "op5_odd_sketch_dedup": op5_odd_sketch_dedup,
     "op7_rank_array_bpe": op7_rank_array_bpe,
     "op9_kneser_ney": op9_kneser_ney,
+    "op10_hnsw": op10_hnsw,
 }
 ORACLES: dict[str, str] = {}

@@ -9,11 +9,12 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrafacet.llm import bpe, hnsw, kneser_ney, langid, media, near_dedup, simple8b
+from terrafacet.llm import bpe, fixity, hnsw, kneser_ney, langid, media, mixing, near_dedup, quoting, simple8b
 from terrafacet.llm.shared import shared_path, stored
 from terrafacet.session import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+MIX_ENTROPY = 0.98
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -61,11 +62,23 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.withColumn("held_out", held_out()), model, "doc_id", "held_out")
 
 
+def op4_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as often as temperature mixing takes them, as many tokens as there are, at 0.98 of the largest entropy."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    counted = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), mixing.text_tokens().alias("tokens"))
+    return mixing.mix_sources(counted, F.col("tokens"), entropy=MIX_ENTROPY)
+
+
 def op5_odd_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose shingle sets are alike to 85 percent."""
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), 85)
 
 
+def op6_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations as mail, each message quoting the two before it, and linked back to threads without quotes."""
+    return quoting.link_replies(quoting.as_mail(table(spark, sf_dir, "conversations")))
+
+
 def op7_rank_array_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every document and decode its ids; digests of both."""
     found = bpe.encode_documents(table(spark, sf_dir, "documents"), BYTE_BPE, decode=True)
@@ -77,6 +90,13 @@ def op7_rank_array_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages as WARC records against a damaged replica: every record that differs."""
+    records = fixity.page_records(table(spark, sf_dir, "pages"))
+    found = fixity.audit(records, fixity.damaged(records))
+    return found.select("file", "ordinal", "kind", *(f"{side}_{c}" for side in ("first", "second") for c in ("start", "length", "digest")))
+
+
 def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Perplexity of every document under a model of those labelled as good, and whether its language's threshold keeps it."""
     trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
@@ -93,9 +113,16 @@ QUERIES = {
     "op1_signature_sniffing": op1_signature_sniffing,
     "op2_simple8b": op2_simple8b,
     "op3_language_id": op3_language_id,
+    "op4_temperature_mixing": op4_temperature_mixing,
     "op5_odd_sketch_dedup": op5_odd_sketch_dedup,
+    "op6_quotation_linking": op6_quotation_linking,
     "op7_rank_array_bpe": op7_rank_array_bpe,
+    "op8_merkle_audit": op8_merkle_audit,
     "op9_kneser_ney": op9_kneser_ney,
     "op10_hnsw": op10_hnsw,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_temperature_mixing": mixing.oracle(MIX_ENTROPY),
+    "op6_quotation_linking": quoting.ORACLE,
+    "op8_merkle_audit": fixity.ORACLE,
+}

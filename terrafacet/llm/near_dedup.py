@@ -244,6 +244,22 @@ def link_classes(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame
         pivots *= MORE_PIVOTS
 
 
+def identified(docs: DataFrame) -> DataFrame:
+    """`docs` with a doc_id on every row, NO_DOC_ID and above where there was none."""
+    other = NO_DOC_ID + F.shiftrightunsigned(F.xxhash64("text"), 2)
+    return docs.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), other))
+
+
+def find_components(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Of identified documents: their signatures, and set_id and least (the component's least doc_id) of each shingle set."""
+    signed = stored(signatures(docs.select("doc_id", "text")), "signatures")
+    first = F.first(F.struct("bands", "sketch")).alias("s")
+    classes = signed.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("id"), first).select("set_id", "id", "s.*")
+    classes = stored(classes, "classes")
+    labels = link_classes(docs.select("doc_id", "text"), classes, percent)
+    return signed, classes.join(labels, "id", "left").select("set_id", "id", F.coalesce("component", "id").alias("least"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of `docs` (doc_id, text).
 
@@ -254,19 +270,25 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     are kept only if nothing else of their component has one, and then have no
     component_id.
     """
-    other = NO_DOC_ID + F.shiftrightunsigned(F.xxhash64("text"), 2)
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), other).alias("doc_id"), "text")
-    signed = stored(signatures(rows), "signatures")
-    first = F.first(F.struct("bands", "sketch")).alias("s")
-    classes = signed.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("id"), first).select("set_id", "id", "s.*")
-    classes = stored(classes, "classes")
-    labels = link_classes(rows, classes, percent)
-    of_set = classes.join(labels, "id", "left").select("set_id", F.coalesce("component", "id").alias("least"))
-    joined = signed.where("n_shingles > 0").join(of_set, "set_id").unionByName(signed.where("n_shingles = 0").withColumn("least", F.col("doc_id")), True)
-    named = F.when(F.col("least") < NO_DOC_ID, F.col("least"))
+    signed, sets = find_components(identified(docs), percent)
+    joined = signed.where("n_shingles > 0").join(sets, "set_id").select("doc_id", "n_shingles", "least")
+    joined = joined.unionByName(signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("least")))
     return joined.select(
         F.when(F.col("doc_id") < NO_DOC_ID, F.col("doc_id")).alias("doc_id"),
         "n_shingles",
-        named.alias("component_id"),
+        F.when(F.col("least") < NO_DOC_ID, F.col("least")).alias("component_id"),
         (F.col("doc_id") == F.col("least")).alias("kept"),
     )
+
+
+def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """The rows of `docs` without all but one document of each component.
+
+    The least doc_id of a component stays, in one of the rows that repeat it.
+    Texts without words stay.
+    """
+    named = identified(docs).withColumn("_null", F.col("doc_id") >= NO_DOC_ID)
+    signed, sets = find_components(named, percent)
+    gone = signed.where("n_shingles > 0").join(sets, "set_id").where("doc_id != least").select("doc_id").distinct()
+    stay = named.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])  # dealt by doc_id already
+    return stay.withColumn("doc_id", F.when(~F.col("_null"), F.col("doc_id"))).select(*docs.columns)

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
+_SHIPPED: set[str] = set()
+
 
 def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A local session for tests and benchmarks; clusters bring their own."""
@@ -22,3 +28,17 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, memory: str
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table `name` of a data directory, by Spark's own reader."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, once per application, so that Python tasks can import it wherever they run."""
+    application = spark.sparkContext.applicationId
+    if application in _SHIPPED:
+        return
+    _SHIPPED.add(application)
+    root = Path(__file__).parent
+    packed = Path(tempfile.mkdtemp()) / "terrafacet.zip"
+    with zipfile.ZipFile(packed, "w") as file:
+        for source in sorted(root.rglob("*.py")):
+            file.write(source, str(source.relative_to(root.parent)))
+    spark.sparkContext.addPyFile(str(packed))

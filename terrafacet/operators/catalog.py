@@ -109,7 +109,7 @@ def infer_type(df: DataFrame, column: str) -> DataFrame:
     given = text.isNotNull() & ~text.isin("", "n/a")
     counts = df.where(given).agg(
         F.count("*").alias("n"),
-        *(F.count(F.expr(f"try_cast(`{column}` as {t})")).alias(t) for t in ("bigint", "int", "double")),
+        *(F.count(F.expr(f"try_cast(cast(`{column}` as string) as {t})")).alias(t) for t in ("bigint", "int", "double")),
     )
     found = F.when((F.col("n") <= 1) | (F.col("n") > F.greatest("bigint", "double")), "STRING").when(F.col("double") > F.col("bigint"), "DOUBLE").when(F.col("int") == F.col("bigint"), "INT").otherwise("LONG")
     return counts.select(found.alias("type"), "n")

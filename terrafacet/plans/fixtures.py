@@ -29,6 +29,12 @@ SQL = {
         SELECT cast(r_regionkey AS bigint) AS oid, 0 AS part, h AS ring, i,
           112 + 8.0e0 * r_regionkey + h * 2.0e0 + (8.0e0 - h * 4.0e0) * fx AS x, -44.0e0 + h * 8.0e0 + (34.0e0 - h * 16.0e0) * fy AS y
         FROM region CROSS JOIN square CROSS JOIN hole""",
+    "edge": """
+        SELECT a.oid, a.part, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2
+        FROM ring a JOIN ring b ON a.oid = b.oid AND a.part = b.part AND a.ring = b.ring AND b.i = a.i + 1""",
+    "box_edge": """
+        SELECT a.oid, a.part, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2
+        FROM box a JOIN box b ON a.oid = b.oid AND a.part = b.part AND a.ring = b.ring AND b.i = a.i + 1""",
     "cellrow": """
         SELECT cast(o_orderkey % 5600 AS int) AS cell, min(cast(o_totalprice AS float)) AS value, count(*) AS n FROM orders GROUP BY 1""",
     "raster": "SELECT 'el1' AS layer, cell, cast(floor(cell / 80) AS int) AS row, cell % 80 AS col, value FROM cellrow",

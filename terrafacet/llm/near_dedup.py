@@ -1,15 +1,16 @@
 """Near-duplicate documents: MinHash bands, odd sketches, exact verification, components.
 
 Documents with equal shingle sets form a class first. Classes that share a band
-of MinHash values meet in a bucket. A bucket isn't paired up: in each round a few
-members, its pivots, are compared with those members that aren't yet known to be
-in their component, by the population count of the XOR of their odd sketches;
-pairs that may reach the similarity are confirmed on the full sets, and their
-links join components. Rounds go on, with more pivots each time, until in every
-bucket the members that weren't pivots are one component; so no link is lost
-that the bands and the sketch don't lose, and a bucket of near copies costs about
-one comparison a member. With 32 bands of 4 rows, two sets of similarity 0.8
-share no band with a chance of 5e-8, at 0.85 of 6e-11; the sketch allows 5.4
+of MinHash values meet in a bucket. A bucket isn't paired up. First all its
+members are compared with one, a member that shares much with others; pairs whose
+odd sketches differ in few enough bits, by the population count of their XOR, are
+confirmed on the full sets, and links join components. Then every member outside
+its bucket's largest component looks, by finer odd sketches, for the members of
+other components that seem nearest to it: for one at first, and for eight times
+as many in each further round, until a round has offered all that the sketch
+allows. So no link is lost but by the bands or the sketch, and near copies cost
+about one comparison a member. With 32 bands of 4 rows, two sets of similarity
+0.8 share no band with a chance of 5e-8, at 0.85 of 6e-11; sketches allow 5.4
 standard deviations.
 
 Texts aren't shuffled. The second pass over them computes the sets of those
@@ -24,7 +25,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from terrafacet.llm.shared import map_arrow, stored
 
@@ -32,9 +32,11 @@ SHINGLE_WORDS = 5
 BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 SKETCH_WORDS = 8  # 64-bit words of an odd sketch
-CHUNK = 4096
+FINE_HASHES, FINE_WORDS = 1024, 64
+CHUNK_VALUES = 1 << 19
+GROUP_ROWS = 1024
+MORE_PARTNERS = 8
 BITMAP_BITS = 1 << 26
-MORE_PIVOTS = 8
 NO_DOC_ID = 1 << 62  # rows without doc_id get ids from here on
 
 # Odd 64-bit constants of the hashes.
@@ -86,17 +88,18 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(mix(total))
 
 
-def hash_family() -> tuple[np.ndarray, np.ndarray]:
-    seeds = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * PLACE[0])
+def hash_family(count: int) -> tuple[np.ndarray, np.ndarray]:
+    seeds = mix(np.arange(1, count + 1, dtype=np.uint64) * PLACE[0])
     return (seeds >> np.uint64(32)).astype(np.uint32)[:, None], (seeds.astype(np.uint32) | np.uint32(1))[:, None]
 
 
-def minhashes(shingles: np.ndarray) -> np.ndarray:
+def minhashes(shingles: np.ndarray, count: int = HASHES) -> np.ndarray:
     """The least value of each hash function over a set."""
-    flip, times = hash_family()
-    short, least = (shingles >> np.uint64(32)).astype(np.uint32), np.full(HASHES, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(short), CHUNK):
-        np.minimum(least, ((short[at : at + CHUNK] ^ flip) * times).min(1), out=least)
+    flip, times = hash_family(count)
+    short, least = (shingles >> np.uint64(32)).astype(np.uint32), np.full(count, 0xFFFFFFFF, np.uint32)
+    step = CHUNK_VALUES // count
+    for at in range(0, len(short), step):
+        np.minimum(least, ((short[at : at + step] ^ flip) * times).min(1), out=least)
     return least
 
 
@@ -106,21 +109,21 @@ def band_keys(least: np.ndarray) -> np.ndarray:
     return mix((rows * PLACE[:ROWS]).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * PLACE[4]).view(np.int64)
 
 
-def odd_sketch(least: np.ndarray) -> np.ndarray:
+def odd_sketch(least: np.ndarray, words: int = SKETCH_WORDS) -> np.ndarray:
     """The MinHash samples folded into a bitmap: a bit is the parity of the samples that fall on it."""
-    bit = mix(least.astype(np.uint64) + (np.arange(HASHES, dtype=np.uint64) << np.uint64(32))) % np.uint64(64 * SKETCH_WORDS)
-    return np.packbits(np.bincount(bit.astype(np.int64), minlength=64 * SKETCH_WORDS).astype(np.uint8) & 1).view(np.int64)
+    bit = mix(least.astype(np.uint64) + (np.arange(len(least), dtype=np.uint64) << np.uint64(32))) % np.uint64(64 * words)
+    return np.packbits(np.bincount(bit.astype(np.int64), minlength=64 * words).astype(np.uint8) & 1).view(np.int64)
 
 
-def most_different_bits(similarity: float) -> int:
-    """The number of differing bits that two sets of this similarity are expected to have at most, five deviations allowed.
+def most_different_bits(similarity: float, hashes: int = HASHES, words: int = SKETCH_WORDS) -> int:
+    """The number of differing bits that two sets of this similarity are expected to have at most, 5.4 deviations allowed.
 
     The samples that differ are binomial; twice as many bits are flipped, of which some meet.
     """
-    low = similarity - 5.4 * (similarity * (1 - similarity) / HASHES) ** 0.5
-    bits = 64 * SKETCH_WORDS
-    expected = bits / 2 * (1 - np.exp(-4 * HASHES * (1 - low) / bits))
-    return int(np.ceil(expected + 2 * expected**0.5))
+    low = similarity - 5.4 * (similarity * (1 - similarity) / hashes) ** 0.5
+    bits = 64 * words
+    expected = bits / 2 * (1 - np.exp(-4 * hashes * (1 - low) / bits))
+    return int(np.ceil(expected + expected**0.5))
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -162,16 +165,18 @@ def members_bitmap(ids: DataFrame) -> np.ndarray:
 
 
 def member_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id and shingles of the documents among `ids`, and of a few others that the bitmap can't tell from them."""
+    """id, shingles and fine sketch of the documents among `ids`, and of a few others that the bitmap can't tell from them."""
     shipped = docs.sparkSession.sparkContext.broadcast(members_bitmap(ids))  # BITMAP_BITS / 8 bytes
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         slot = bitmap_slot(batch.column("doc_id").to_numpy())
         found = batch.filter(pa.array((shipped.value[slot >> 5] >> (slot & 31).astype(np.uint32) & np.uint32(1)).astype(bool)))
-        sets = [shingle_set(t).view(np.int64) for t in found.column("text").to_pylist()]
-        return pa.RecordBatch.from_arrays([found.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
+        sets = [shingle_set(t) for t in found.column("text").to_pylist()]
+        fine = [odd_sketch(minhashes(x, FINE_HASHES), FINE_WORDS) for x in sets]
+        longs = pa.list_(pa.int64())
+        return pa.RecordBatch.from_arrays([found.column("doc_id"), pa.array([x.view(np.int64) for x in sets], longs), pa.array(fine, longs)], names=["id", "shingles", "fine"])
 
-    return map_arrow(docs, run, "id long, shingles array<long>").where(F.size("shingles") > 0)
+    return map_arrow(docs, run, "id long, shingles array<long>, fine array<long>").where(F.size("shingles") > 0)
 
 
 def differing_bits(a: Column, b: Column) -> Column:
@@ -180,10 +185,59 @@ def differing_bits(a: Column, b: Column) -> Column:
 
 
 def shared_buckets(classes: DataFrame) -> DataFrame:
-    """key, id and sketch of the classes in buckets of two or more."""
+    """key and id of the classes in buckets of two or more, with the bucket's size n."""
     rows = classes.select(F.explode("bands").alias("key"), "id")
-    shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    return rows.join(shared, "key").join(classes.select("id", "sketch"), "id")
+    shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    return rows.join(shared, "key")
+
+
+def star_pairs(members: DataFrame, classes: DataFrame, most: int) -> DataFrame:
+    """a > b: each bucket's member whose buckets are largest in all, with the others that the sketch allows."""
+    weight = members.groupBy("id").agg(F.sum("n").alias("weight"))
+    middle = members.join(weight, "id").groupBy("key").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("middle"))
+    pairs = members.join(middle, "key").where("id != middle").select("id", "middle").distinct()
+    sketch = classes.select("id", "sketch")
+    both = pairs.join(sketch, "id").join(sketch.select(F.col("id").alias("middle"), F.col("sketch").alias("other")), "middle")
+    close = both.where(differing_bits(F.col("sketch"), F.col("other")) <= most)
+    return close.select(F.greatest("id", "middle").alias("a"), F.least("id", "middle").alias("b"))
+
+
+def partner_pairs(rows: DataFrame, seekers: DataFrame, partners: int, most: int) -> DataFrame:
+    """key, seeker, id and more: for each seeker the `partners` members of other components that differ least in the fine sketch.
+
+    `rows` holds key, id, component, fine and n (its bucket's size), `seekers` key
+    and id. A row with a null id says in `more` whether the sketch allows others.
+    Buckets are cut into groups of about GROUP_ROWS seekers and GROUP_ROWS members.
+    """
+    counts = seekers.groupBy("key").agg(F.count("*").alias("k"))
+    sized = rows.join(counts, "key").withColumn("across", F.ceil(F.col("n") / GROUP_ROWS)).withColumn("down", F.ceil(F.col("k") / GROUP_ROWS))
+    seek = sized.join(seekers.select("key", "id"), ["key", "id"])
+    common = ["key", "id", "component", "fine"]
+    hashed = F.xxhash64("id")
+    left = seek.select(*common, F.lit(True).alias("seeks"), F.pmod(hashed, "down").alias("g"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("across") - 1)).alias("h"))
+    right = sized.select(*common, F.lit(False).alias("seeks"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("down") - 1)).alias("g"), F.pmod(hashed, "across").alias("h"))
+
+    def nearest(group: pa.Table) -> pa.Table:
+        ids, component = group.column("id").to_numpy(), group.column("component").to_numpy()
+        fine = np.array(group.column("fine").combine_chunks().flatten().to_numpy()).view(np.uint64).reshape(-1, FINE_WORDS)  # bit_count takes absolute values
+        seeks = group.column("seeks").to_numpy(zero_copy_only=False).astype(bool)
+        rows_, members = np.flatnonzero(seeks), np.flatnonzero(~seeks)
+        members = members[np.argsort(ids[members], kind="stable")]
+        seeker, found, more = [], [], []
+        for at in range(0, len(rows_), 16):
+            some = rows_[at : at + 16]
+            bits = np.bitwise_count(fine[some][:, None, :] ^ fine[members][None]).sum(2, dtype=np.int32)
+            bits[component[some][:, None] == component[members]] = most + 1
+            for row, mine in zip(bits, some):
+                allowed = np.flatnonzero(row <= most)
+                best = allowed[np.argsort(row[allowed], kind="stable")[:partners]]
+                seeker += [ids[mine]] * (len(best) + 1)
+                found += [*ids[members[best]].tolist(), None]
+                more += [None] * len(best) + [len(allowed) > partners]
+        key = pa.array([group.column("key")[0].as_py()] * len(seeker), pa.int64())
+        return pa.Table.from_arrays([key, pa.array(seeker, pa.int64()), pa.array(found, pa.int64()), pa.array(more, pa.bool_())], names=["key", "seeker", "id", "more"])
+
+    return left.unionByName(right).groupBy("key", "g", "h").applyInArrow(nearest, "key long, seeker long, id long, more boolean")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -211,37 +265,39 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
+def join_components(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """id and component after more links a, b."""
+    known = [labels.select(F.col("id").alias(x), F.col("component").alias(x + "c")) for x in "ab"]
+    joined = links.join(known[0], "a", "left").join(known[1], "b", "left").select(F.coalesce("ac", "a").alias("a"), F.coalesce("bc", "b").alias("b"))
+    merged = components(joined)
+    old = labels.join(merged.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+    return stored(old.unionByName(merged.join(labels, "id", "left_anti")), "labels")
+
+
 def link_classes(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """id and component of every class that is linked with another."""
     spark = docs.sparkSession
     members = stored(shared_buckets(classes), "buckets")
     sets = stored(member_sets(docs, members.select("id").distinct()), "sets")
     labels = spark.createDataFrame([], "id long, component long")
-    done = spark.createDataFrame([], "key long, id long")
-    pivots, most = 1, most_different_bits(percent / 100)
+    links = stored(confirm(star_pairs(members, classes, most_different_bits(percent / 100)), sets, percent), "links")
+    partners, asked, most = 1, None, most_different_bits(percent / 100, FINE_HASHES, FINE_WORDS)
     while True:
-        named = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        left = named.join(done, ["key", "id"], "left_anti")
-        sizes = left.groupBy("key", "component").agg(F.count("*").alias("n"))
-        split = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("largest"), F.count("*").alias("parts")).where("parts > 1")
-        # pivots come from the smaller components first: when those are through, the rest of a bucket is one component
-        active = stored(left.join(split.select("key", F.col("largest.component").alias("main")), "key"), "active")
-        if active.isEmpty():
+        if not links.isEmpty():
+            labels = join_components(labels, links)
+        # all pairs of a bucket of two are through
+        named = members.where("n > 2").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        sizes = named.groupBy("key", "component").agg(F.count("*").alias("m"))
+        split = sizes.groupBy("key").agg(F.max(F.struct("m", "component")).alias("largest"), F.count("*").alias("parts")).where("parts > 1")
+        rows = stored(named.join(split.select("key", F.col("largest.component").alias("main")), "key"), "open-buckets")
+        seekers = rows.where("component != main").select("key", "id") if asked is None else rows.join(asked, ["key", "id"], "left_semi").select("key", "id")
+        if seekers.isEmpty():
             return labels
-        order = Window.partitionBy("key").orderBy((F.col("component") == F.col("main")).cast("int"), "id")
-        chosen = active.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= pivots)
-        chosen = chosen.select("key", F.col("id").alias("p"), F.col("component").alias("pc"), F.col("sketch").alias("ps"))
-        met = active.join(chosen, "key").where((F.col("component") != F.col("pc")) & (differing_bits(F.col("sketch"), F.col("ps")) <= most))
-        pairs = met.select(F.greatest("id", "p").alias("a"), F.least("id", "p").alias("b")).distinct()
+        found = stored(partner_pairs(rows.join(sets.select("id", "fine"), "id"), seekers, partners, most), "partners")
+        pairs = found.where("id is not null").select(F.greatest("seeker", "id").alias("a"), F.least("seeker", "id").alias("b")).distinct()
         links = stored(confirm(pairs, sets, percent), "links")
-        done = stored(done.unionByName(chosen.select("key", F.col("p").alias("id"))), "done")
-        if not links.isEmpty():
-            known = [labels.select(F.col("id").alias(x), F.col("component").alias(x + "c")) for x in "ab"]
-            joined = links.join(known[0], "a", "left").join(known[1], "b", "left").select(F.coalesce("ac", "a").alias("a"), F.coalesce("bc", "b").alias("b"))
-            merged = components(joined)
-            old = labels.join(merged.withColumnRenamed("component", "to"), labels.component == merged.id, "left").select(labels.id, F.coalesce("to", labels.component).alias("component"))
-            labels = stored(old.unionByName(merged.join(labels, "id", "left_anti")), "labels")
-        pivots *= MORE_PIVOTS
+        asked = found.where("more").select("key", F.col("seeker").alias("id")).distinct()
+        partners *= MORE_PARTNERS
 
 
 def identified(docs: DataFrame) -> DataFrame:

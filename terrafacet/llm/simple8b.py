@@ -20,6 +20,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,17 +34,16 @@ ESCAPE, RUN = 14, 15
 MIN_RUN, MAX_RUN, RUN_BITS = 61, 255, 52
 
 BLOCK_IDS = 1 << 16
-CACHE_PIECES = 300_000
+CACHE_CORES, TEXT_WORDS, BATCH_TEXTS = 600_000, 1000, 1024
 BLOCKS = "part int, block int, first_id long, doc_ids array<long>, starts array<int>, n_ids int, payload binary"
 
 
 def widths(ids: np.ndarray) -> np.ndarray:
     """Bits of each uint64, 1 at least."""
-    out = np.ones(len(ids), np.uint8)
-    for step in (32, 16, 8, 4, 2, 1):
-        high = ids >> np.uint64(step) > 0
-        out += high.astype(np.uint8) * np.uint8(step)
-        ids = np.where(high, ids >> np.uint64(step), ids)
+    # the exponent of a double is the width of any integer below 2 ** 53
+    out = np.maximum((ids.astype(np.float64).view(np.int64) >> 52) - 1022, 1).astype(np.uint8)
+    large = np.flatnonzero(ids >> np.uint64(53))
+    out[large] = [int(x).bit_length() for x in ids[large]]
     return out
 
 
@@ -61,8 +61,9 @@ def takes(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             wide = most[half]
             most[size] = np.maximum(wide[: n - size + 1], wide[size - half : size - half + n - size + 1])
         fits = most[size] <= dict(PACKED)[size]
-        selector[: n - size + 1][fits] = [k for k, _ in PACKED].index(size)
-        count[: n - size + 1][fits] = size
+        if fits.any():
+            np.copyto(selector[: n - size + 1], [k for k, _ in PACKED].index(size), where=fits, casting="unsafe")
+            np.copyto(count[: n - size + 1], size, where=fits, casting="unsafe")
     # long runs of one id
     edge = np.flatnonzero(np.diff(ids)) + 1
     begin, end = np.concatenate([[0], edge]), np.concatenate([edge, [n]])
@@ -129,10 +130,13 @@ def unpack(payload: bytes) -> np.ndarray:
 
 
 class PieceEncoder:
-    """Ids by the tokenizers library, each distinct piece between plain spaces or line ends asked once while it is cached.
+    """Ids by the tokenizers library, asked once for each distinct lower-cased core of a piece while it is cached.
 
-    The tokenizer must treat the pieces apart, as one does that drops white
-    space before its merges and whose patterns and special tokens hold none.
+    Pieces stand between plain spaces or line ends; a piece is a core and maybe
+    full stops and commas after it. The tokenizer must treat pieces apart, as one
+    does that drops white space before its merges and whose patterns and special
+    tokens hold none; it must lower-case, cut between a letter and a full stop or
+    comma, and end words with a suffix.
     """
 
     def __init__(self, said: str):
@@ -140,19 +144,49 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(said)
-        self.ids: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian uint32."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        need = set().union(*split)
-        if len(self.ids) + len(need) > CACHE_PIECES:
-            self.ids.clear()
-        new = list(need.difference(self.ids))
-        found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        self.ids.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(new, found))
-        ids = self.ids.__getitem__
-        return [b"".join(map(ids, pieces)) for pieces in split]
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.cores: dict[str, bytes] = {}
+
+    def learn(self, cores: list[str]) -> None:
+        """Add the library's ids of new cores; those of letters alone are one word each and go many to a text."""
+        words = [c for c in cores if c.isalpha()]
+        joined = [words[at : at + TEXT_WORDS] for at in range(0, len(words), TEXT_WORDS)]
+        for some, found in zip(joined, self.tokenizer.encode_batch_fast([" ".join(x) for x in joined], add_special_tokens=False)):
+            ids = np.array(found.ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
+            if len(ends) == len(some):  # else the tokenizer splits some letter otherwise
+                raw = ids.tobytes()
+                self.cores.update(zip(some, (raw[a:b] for a, b in zip([0, *ends], ends))))
+        rest = [c for c in cores if c not in self.cores]
+        found = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
+        self.cores.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(rest, found))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of some texts (none of them null), and where each text's ids end."""
+        pieces = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = pieces.flatten().dictionary_encode()
+        piece = coded.dictionary
+        core = pc.utf8_rtrim(piece, ".,")
+        core = pc.if_else(pc.match_substring_regex(core, "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]$"), core, piece)
+        latin = pc.match_substring_regex(core, r"^[\x{0}-\x{ff}]*$")
+        cores = pc.if_else(latin, pc.utf8_lower(core), core).to_pylist()
+        sizes = pc.binary_length(core).to_numpy(zero_copy_only=False)
+        short = np.flatnonzero(sizes < pc.binary_length(piece).to_numpy(zero_copy_only=False)).tolist()
+        tails = [raw.as_py().encode()[sizes[k] :].decode() for k, raw in zip(short, piece.take(pa.array(short, pa.int64())))]
+        need = {*cores, *tails}
+        if len(self.cores) + len(need) > CACHE_CORES:
+            self.cores.clear()
+        self.learn(list(need.difference(self.cores)))
+        found = list(map(self.cores.__getitem__, cores))
+        for k, tail in zip(short, tails):
+            found[k] += self.cores[tail]
+        held = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(held)]), pa.int32()), pa.array(np.frombuffer(b"".join(found), "<u4")))
+        codes = coded.indices
+        ends = np.cumsum(held[codes.to_numpy()])[pieces.offsets.to_numpy()[1:] - pieces.offsets[0].as_py() - 1]
+        return ids.take(codes).flatten().to_numpy(), ends
 
 
 _ENCODERS: dict[int, PieceEncoder] = {}
@@ -192,11 +226,11 @@ def write_blocks(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, p
             block, first, held, doc_ids, ids = block + 1, first + held, 0, [], []
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int32(), pa.binary()))], names=["part", "block", "first_id", "doc_ids", "starts", "n_ids", "payload"])
 
-        for batch in slices(batches):
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for doc_id, found in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts)):
+        for batch in slices(batches, BATCH_TEXTS):
+            flat, ends = encoder.encode(batch.column("text").fill_null(""))
+            for doc_id, found in zip(batch.column("doc_id").to_pylist(), np.split(flat, ends[:-1])):
                 doc_ids.append(doc_id)
-                ids.append(np.append(np.frombuffer(found, "<u4"), end_id).astype(np.uint64))
+                ids.append(np.append(found, np.uint32(end_id)))
                 held += len(ids[-1])
                 if held >= block_ids:
                     yield flush()

@@ -6,10 +6,11 @@ members are compared with one, a member that shares much with others; pairs whos
 odd sketches differ in few enough bits, by the population count of their XOR, are
 confirmed on the full sets, and links join components. Then every member outside
 its bucket's largest component looks, by finer odd sketches, for the members of
-other components that seem nearest to it: for one at first, and for eight times
-as many in each further round, until a round has offered all that the sketch
-allows. So no link is lost but by the bands or the sketch, and near copies cost
-about one comparison a member. With 32 bands of 4 rows, two sets of similarity
+other components that seem nearest to it: for one at first, then for eight. Those
+to which the sketch allows still others meet all of them, in groups of bounded
+size that confirm pairs on the full sets and give links only. So no link is lost
+but by the bands or the sketch, and near copies cost about one comparison a
+member. With 32 bands of 4 rows, two sets of similarity
 0.8 share no band with a chance of 5e-8, at 0.85 of 6e-11; sketches allow 5.4
 standard deviations.
 
@@ -20,6 +21,7 @@ documents alone that a bitmap of fixed size lets through.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +36,8 @@ HASHES = BANDS * ROWS
 SKETCH_WORDS = 8  # 64-bit words of an odd sketch
 FINE_HASHES, FINE_WORDS = 1024, 64
 CHUNK_VALUES = 1 << 19
-GROUP_ROWS = 1024
-MORE_PARTNERS = 8
+GROUP_ROWS, GROUP_SHINGLES = 1024, 1 << 21
+PARTNERS = (1, 8)
 BITMAP_BITS = 1 << 26
 NO_DOC_ID = 1 << 62  # rows without doc_id get ids from here on
 
@@ -202,42 +204,105 @@ def star_pairs(members: DataFrame, classes: DataFrame, most: int) -> DataFrame:
     return close.select(F.greatest("id", "middle").alias("a"), F.least("id", "middle").alias("b"))
 
 
-def partner_pairs(rows: DataFrame, seekers: DataFrame, partners: int, most: int) -> DataFrame:
-    """key, seeker, id and more: for each seeker the `partners` members of other components that differ least in the fine sketch.
+def grouped(rows: DataFrame, seekers: DataFrame, weight: Column, f: Callable[[pa.Table], pa.Table], schema: str, *more: str) -> DataFrame:
+    """Apply `f` to groups in which every seeker of a bucket meets every member of it, each pair once.
 
-    `rows` holds key, id, component, fine and n (its bucket's size), `seekers` key
-    and id. A row with a null id says in `more` whether the sketch allows others.
-    Buckets are cut into groups of about GROUP_ROWS seekers and GROUP_ROWS members.
+    `rows` holds key, id, component and `more`, `seekers` key and id; `f` gets
+    these columns and `seeks`. Buckets are cut into groups of about GROUP_ROWS
+    seekers and GROUP_ROWS members, or fewer if these weigh more than GROUP_ROWS.
     """
-    counts = seekers.groupBy("key").agg(F.count("*").alias("k"))
-    sized = rows.join(counts, "key").withColumn("across", F.ceil(F.col("n") / GROUP_ROWS)).withColumn("down", F.ceil(F.col("k") / GROUP_ROWS))
-    seek = sized.join(seekers.select("key", "id"), ["key", "id"])
-    common = ["key", "id", "component", "fine"]
+    seeking = rows.join(seekers.select("key", "id", F.lit(1).alias("s")), ["key", "id"], "left")
+    cut = seeking.groupBy("key").agg(F.ceil(F.sum(weight) / GROUP_ROWS).alias("across"), F.ceil(F.sum(F.when(F.col("s") == 1, weight)) / GROUP_ROWS).alias("down")).where("down > 0")
+    sized = seeking.join(cut, "key")
+    common = ["key", "id", "component", *more]
     hashed = F.xxhash64("id")
-    left = seek.select(*common, F.lit(True).alias("seeks"), F.pmod(hashed, "down").alias("g"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("across") - 1)).alias("h"))
-    right = sized.select(*common, F.lit(False).alias("seeks"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("down") - 1)).alias("g"), F.pmod(hashed, "across").alias("h"))
 
-    def nearest(group: pa.Table) -> pa.Table:
-        ids, component = group.column("id").to_numpy(), group.column("component").to_numpy()
-        fine = np.array(group.column("fine").combine_chunks().flatten().to_numpy()).view(np.uint64).reshape(-1, FINE_WORDS)  # bit_count takes absolute values
+    def spread(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+
+    left = sized.where("s = 1").select(*common, F.lit(True).alias("seeks"), F.pmod(hashed, "down").alias("g"), spread("across").alias("h"))
+    right = sized.select(*common, F.lit(False).alias("seeks"), spread("down").alias("g"), F.pmod(hashed, "across").alias("h"))
+    return left.unionByName(right).groupBy("key", "g", "h").applyInArrow(f, schema)
+
+
+class Group:
+    """One group's seekers and members, in Arrow's rows, and what their fine sketches allow."""
+
+    def __init__(self, group: pa.Table, most: int):
+        self.ids, self.component = group.column("id").to_numpy(), group.column("component").to_numpy()
+        self.fine = np.array(group.column("fine").combine_chunks().flatten().to_numpy()).view(np.uint64).reshape(-1, FINE_WORDS)  # bit_count takes absolute values
         seeks = group.column("seeks").to_numpy(zero_copy_only=False).astype(bool)
-        rows_, members = np.flatnonzero(seeks), np.flatnonzero(~seeks)
-        members = members[np.argsort(ids[members], kind="stable")]
-        seeker, found, more = [], [], []
-        for at in range(0, len(rows_), 16):
-            some = rows_[at : at + 16]
-            bits = np.bitwise_count(fine[some][:, None, :] ^ fine[members][None]).sum(2, dtype=np.int32)
-            bits[component[some][:, None] == component[members]] = most + 1
+        members = np.flatnonzero(~seeks)
+        self.seekers, self.members, self.most = np.flatnonzero(seeks), members[np.argsort(self.ids[members], kind="stable")], most
+
+    def allowed(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each seeker: its row, the places among members of other components that its sketch allows, and the bits that differ."""
+        for at in range(0, len(self.seekers), 16):
+            some = self.seekers[at : at + 16]
+            bits = np.bitwise_count(self.fine[some][:, None, :] ^ self.fine[self.members][None]).sum(2, dtype=np.int32)
+            bits[self.component[some][:, None] == self.component[self.members]] = self.most + 1
             for row, mine in zip(bits, some):
-                allowed = np.flatnonzero(row <= most)
-                best = allowed[np.argsort(row[allowed], kind="stable")[:partners]]
-                seeker += [ids[mine]] * (len(best) + 1)
-                found += [*ids[members[best]].tolist(), None]
-                more += [None] * len(best) + [len(allowed) > partners]
-        key = pa.array([group.column("key")[0].as_py()] * len(seeker), pa.int64())
+                places = np.flatnonzero(row <= self.most)
+                if len(places):
+                    yield int(mine), places, row[places]
+
+
+def partner_pairs(rows: DataFrame, seekers: DataFrame, partners: int, most: int) -> DataFrame:
+    """key, seeker, id and more: for each seeker the `partners` members of other components that differ least in the fine sketch.
+
+    `rows` holds key, id, component and fine. `more`: the sketch allows others.
+    """
+
+    def nearest(table: pa.Table) -> pa.Table:
+        group = Group(table, most)
+        seeker, found, more = [], [], []
+        for mine, places, bits in group.allowed():
+            best = places[np.argsort(bits, kind="stable")[:partners]]
+            seeker += [group.ids[mine]] * len(best)
+            found += group.ids[group.members[best]].tolist()
+            more += [len(places) > partners] * len(best)
+        key = pa.array([table.column("key")[0].as_py()] * len(seeker), pa.int64())
         return pa.Table.from_arrays([key, pa.array(seeker, pa.int64()), pa.array(found, pa.int64()), pa.array(more, pa.bool_())], names=["key", "seeker", "id", "more"])
 
-    return left.unionByName(right).groupBy("key", "g", "h").applyInArrow(nearest, "key long, seeker long, id long, more boolean")
+    return grouped(rows, seekers, F.lit(1), nearest, "key long, seeker long, id long, more boolean", "fine")
+
+
+def remaining_links(rows: DataFrame, seekers: DataFrame, percent: int, most: int) -> DataFrame:
+    """a, b: links of seekers with members of other components, as many in each group as join what is joined by any of its links.
+
+    `rows` holds key, id, component, fine and shingles. All pairs that the sketch
+    allows are confirmed on the full sets inside the group, by a list of the
+    members that hold each shingle, and none of them leaves it but the links.
+    """
+
+    def confirmed(table: pa.Table) -> pa.Table:
+        group = Group(table, most)
+        sets = table.column("shingles").combine_chunks()
+        flat, ends = sets.flatten().to_numpy(), sets.offsets.to_numpy() - sets.offsets[0].as_py()
+        size = np.diff(ends)
+        held = np.concatenate([flat[:0], *(flat[ends[m] : ends[m + 1]] for m in group.members)])
+        order = np.argsort(held, kind="stable")
+        held, holder = held[order], np.repeat(np.arange(len(group.members)), size[group.members])[order]
+        _, part = np.unique(group.component, return_inverse=True)
+        links: list[tuple[int, int]] = []
+        for mine, places, _ in group.allowed():
+            places = places[part[group.members[places]] != part[mine]]
+            if not len(places):
+                continue
+            own = flat[ends[mine] : ends[mine + 1]]
+            first, past = np.searchsorted(held, own, "left"), np.searchsorted(held, own, "right")
+            n = past - first
+            at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+            common = np.bincount(holder[at], minlength=len(group.members))[places]
+            linked = places[100 * common >= percent * (size[mine] + size[group.members[places]] - common)]
+            _, one = np.unique(part[group.members[linked]], return_index=True)
+            for member in group.members[linked[one]]:
+                links.append((int(group.ids[mine]), int(group.ids[member])))
+                part[part == part[member]] = part[mine]
+        return pa.Table.from_arrays([pa.array([max(x) for x in links], pa.int64()), pa.array([min(x) for x in links], pa.int64())], names=["a", "b"])
+
+    weight = F.greatest(F.lit(1.0), F.size("shingles") / GROUP_SHINGLES * GROUP_ROWS)
+    return grouped(rows, seekers, weight, confirmed, "a long, b long", "fine", "shingles")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -281,8 +346,8 @@ def link_classes(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame
     sets = stored(member_sets(docs, members.select("id").distinct()), "sets")
     labels = spark.createDataFrame([], "id long, component long")
     links = stored(confirm(star_pairs(members, classes, most_different_bits(percent / 100)), sets, percent), "links")
-    partners, asked, most = 1, None, most_different_bits(percent / 100, FINE_HASHES, FINE_WORDS)
-    while True:
+    asked, most = None, most_different_bits(percent / 100, FINE_HASHES, FINE_WORDS)
+    for partners in (*PARTNERS, None):
         if not links.isEmpty():
             labels = join_components(labels, links)
         # all pairs of a bucket of two are through
@@ -290,14 +355,21 @@ def link_classes(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame
         sizes = named.groupBy("key", "component").agg(F.count("*").alias("m"))
         split = sizes.groupBy("key").agg(F.max(F.struct("m", "component")).alias("largest"), F.count("*").alias("parts")).where("parts > 1")
         rows = stored(named.join(split.select("key", F.col("largest.component").alias("main")), "key"), "open-buckets")
-        seekers = rows.where("component != main").select("key", "id") if asked is None else rows.join(asked, ["key", "id"], "left_semi").select("key", "id")
+        if asked is None:
+            seekers = rows.where("component != main").select("key", "id")
+        else:  # of two members of different components one has asked so far
+            seekers = rows.join(asked, ["key", "id"], "left_semi").select("key", "id")
+            rows = rows.join(seekers.select("key").distinct(), "key", "left_semi")
         if seekers.isEmpty():
             return labels
-        found = stored(partner_pairs(rows.join(sets.select("id", "fine"), "id"), seekers, partners, most), "partners")
-        pairs = found.where("id is not null").select(F.greatest("seeker", "id").alias("a"), F.least("seeker", "id").alias("b")).distinct()
-        links = stored(confirm(pairs, sets, percent), "links")
-        asked = found.where("more").select("key", F.col("seeker").alias("id")).distinct()
-        partners *= MORE_PARTNERS
+        if partners is None:
+            links = stored(remaining_links(rows.join(sets, "id"), seekers, percent, most).distinct(), "links")
+        else:
+            found = stored(partner_pairs(rows.join(sets.select("id", "fine"), "id"), seekers, partners, most), "partners")
+            pairs = found.select(F.greatest("seeker", "id").alias("a"), F.least("seeker", "id").alias("b")).distinct()
+            links = stored(confirm(pairs, sets, percent), "links")
+            asked = found.where("more").select("key", F.col("seeker").alias("id")).distinct()
+    return labels if links.isEmpty() else join_components(labels, links)
 
 
 def identified(docs: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ def op1_signature_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = media.sound_features(known)
     return read.select(
         "doc_id",
-        F.expr("cast(length(rtrim(X'FF', payload)) as long)").alias("n_bytes"),  # UTF-8 has no byte 255
+        F.expr("cast(octet_length(rtrim(X'FF', payload)) as long)").alias("n_bytes"),  # UTF-8 has no byte 255
         F.length("payload").cast("long").alias("payload_bytes"),
         F.sha2("payload", 256).alias("payload_sha256"),
         F.crc32(F.expr("substring(payload, -32, 32)")).alias("tail_crc32"),

@@ -108,6 +108,27 @@ def test_op9_keeps_good_documents(spark, sf_dir):
     assert sum(good) >= 0.97 * len(good)
 
 
+def test_op9_rejects_bad_documents(spark):
+    sf_dir = "/root/testdata/sf0.01"  # English has enough held-out documents here
+    labels = {r["doc_id"]: r["quality"] for r in pq.read_table(f"{sf_dir}/labels.parquet").to_pylist()}
+    found = [r for r in queries.op9_kneser_ney(spark, sf_dir).collect() if r.lang == "en"]
+    bad = [r.kept for r in found if labels.get(r.doc_id) == 0]
+    good = [r.kept for r in found if labels.get(r.doc_id) == 1]
+    assert sum(bad) <= 0.05 * len(bad) and sum(good) >= 0.97 * len(good)
+
+
+def test_repeated_words_cost_perplexity(spark):
+    vocabulary = [a + b for a in ("ka", "lo", "mi", "ne", "ru", "sa") for b in ("ba", "de", "fi", "go", "tu")]
+    rng = np.random.default_rng(3)
+    clean = [" ".join(rng.choice(vocabulary, 60)) for _ in range(200)]
+    texts = [*clean, "kaba " * 60, "kaba lode\n" * 30, "kaba", "kaba lode"]
+    docs = spark.createDataFrame([(k, t, "xx") for k, t in enumerate(texts)], "doc_id long, text string, lang string")
+    found = {r.doc_id: r for r in kneser_ney.classify(docs, docs.where("doc_id < 200").select("doc_id")).collect()}
+    assert sum(found[k].kept for k in range(200)) >= 190
+    assert not found[200].kept and not found[201].kept
+    assert all(found[k].word_perplexity <= found[k].word_threshold for k in (202, 203))
+
+
 # -- nearest neighbours
 
 

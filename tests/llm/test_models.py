@@ -129,6 +129,19 @@ def test_repeated_words_cost_perplexity(spark):
     assert all(found[k].word_perplexity <= found[k].word_threshold for k in (202, 203))
 
 
+def test_languages_with_little_trusted_text_have_thresholds(spark):
+    rng = np.random.default_rng(5)
+    prose = lambda sounds: " ".join("".join(rng.choice(sounds, 2)) for _ in range(60))
+    common, rare = ["ka", "lo", "mi", "ne", "ru", "sa"], ["xy", "zo", "wu", "qi", "vä", "jö"]
+    docs = [(k, prose(common), "xx") for k in range(200)] + [(k, prose(rare), None) for k in range(200, 215)]
+    docs += [(300, "#5!9$7&3%1" * 30, None), (301, "xyzo " * 80, None)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    found = {r.doc_id: r for r in kneser_ney.classify(frame, frame.where("doc_id < 215").select("doc_id")).collect()}
+    assert found[210].threshold is not None and found[210].word_threshold is not None
+    assert not found[300].kept and not found[301].kept
+    assert sum(found[k].kept for k in range(200, 215)) >= 13
+
+
 # -- nearest neighbours
 
 

@@ -91,6 +91,16 @@ def test_perplexity_equals_the_textbook_form(spark, monkeypatch, shard_rows):
         assert found[k] == (pytest.approx(plain(text), rel=1e-4) if text else None), text
 
 
+def test_shards_keep_their_bound(spark):
+    """Every n-gram of 3 or more has an 'a' before its last character, whatever the context."""
+    rng = np.random.default_rng(6)
+    texts = ["a".join(rng.choice(list("bcdefghijklmnopqrstuvwxyz"), 60)) for _ in range(150)]
+    model = kneser_ney.train(spark.createDataFrame([(t,) for t in texts], "text string"))
+    entries, shards = model.count(), 8
+    sizes = [len(kneser_ney.load_shard(kneser_ney.keyed(model, shards), k).key) for k in range(shards)]
+    assert sum(sizes) == entries and max(sizes) <= 1.5 * entries / shards
+
+
 def test_classify_odd_rows_and_no_trusted_text(spark):
     docs = spark.createDataFrame([(1, None, None, "k"), (1, "x", "en", "k"), (None, "y", "en", "k"), (3, "", "fr", "k")], "doc_id long, text string, lang string, kept string")
     none = spark.createDataFrame([], "doc_id long")

@@ -147,6 +147,7 @@ class PieceEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.added = sorted({t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content})
         self.cores: dict[str, bytes] = {}
 
     def learn(self, cores: list[str]) -> None:
@@ -171,7 +172,10 @@ class PieceEncoder:
         core = pc.utf8_rtrim(piece, ".,")
         core = pc.if_else(pc.match_substring_regex(core, "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]$"), core, piece)
         latin = pc.match_substring_regex(core, r"^[\x{0}-\x{ff}]*$")
-        cores = pc.if_else(latin, pc.utf8_lower(core), core).to_pylist()
+        lower = pc.utf8_lower(core)
+        for token in self.added:  # matched before the library lower-cases
+            latin = pc.and_not(latin, pc.match_substring(lower, token))
+        cores = pc.if_else(latin, lower, core).to_pylist()
         sizes = pc.binary_length(core).to_numpy(zero_copy_only=False)
         short = np.flatnonzero(sizes < pc.binary_length(piece).to_numpy(zero_copy_only=False)).tolist()
         tails = [raw.as_py().encode()[sizes[k] :].decode() for k, raw in zip(short, piece.take(pa.array(short, pa.int64())))]

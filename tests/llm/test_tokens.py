@@ -7,6 +7,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
@@ -88,6 +89,16 @@ def test_blocks_of_odd_texts_and_small_blocks(spark, tmp_path):
         start += len(ids)
 
 
+def test_added_tokens_in_other_case():
+    with open(queries.WORD_BPE, encoding="utf-8") as file:
+        said = file.read()
+    library = Tokenizer.from_str(said)
+    odd = ["<|ENDOFTEXT|>", "<|EndOfText|>", "The End<|endoftext|>The END", "x <|EndOfText|>, y", "WORD word Word.", "<|StartOfText|>a"]
+    ids, ends = simple8b.PieceEncoder(said).encode(pa.array(odd))
+    for text, a, b in zip(odd, [0, *ends], ends):
+        assert ids[a:b].tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
 def test_blocks_of_an_empty_table_and_repeated_rows(spark, tmp_path):
     empty = spark.createDataFrame([], "doc_id long, text string")
     simple8b.write_blocks(empty, queries.WORD_BPE, 1, f"file://{tmp_path}/none")

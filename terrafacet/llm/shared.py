@@ -11,12 +11,16 @@ from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch that Python handles at a time; bounds a worker's memory.
 BATCH_ROWS = 256
+#: Ids of one broadcast of with_ids, and the number of broadcasts up to which it makes them.
+BROADCAST_IDS, ID_PASSES = 2_000_000, 16
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; where it is unset (tests), an own folder."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The cluster's spark.checkpoint.dir; where it is unset, an own folder if all runs on one machine, else an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file:///tmp/checkpoints"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -35,11 +39,51 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a table that `stored` wrote, by Hadoop's file system."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+class Scratch:
+    """Tables of one computation, deleted at the end of its `with` block; what leaves it must be stored elsewhere by then."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        """As `stored`, for as long as the block lasts."""
+        path = shared_path(self.spark, name)
+        self.paths.append(path)
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        jvm, hadoop = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for path in self.paths:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(hadoop).delete(at, True)
+
+
+def with_ids(docs: DataFrame, ids: DataFrame, most: int = BROADCAST_IDS, passes: int = ID_PASSES, how: str = "left_semi") -> DataFrame:
+    """The rows of `docs` whose doc_id is among `ids`, without a shuffle of their texts; the others if `how` is left_anti.
+
+    Ids go out in broadcasts of about `most`, each a range of them; the range is
+    also asked of the scan of `docs`, so that a table in doc_id order is read
+    about once. Above `passes` broadcasts rows and ids meet by a shuffle instead.
+    """
+    ids = stored(ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct(), "ids")
+    parts = max(1, -(-ids.count() // most))
+    if parts > passes:
+        return docs.join(ids, "doc_id", how)
+    cuts = ids.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], 100_000)).first()[0] if parts > 1 else []
+    found = None
+    for low, high in zip([None, *cuts], [*cuts, None]):
+
+        doc_id, mine = F.col("doc_id"), F.lit(True)
+        if high is not None:
+            mine &= doc_id <= high
+        mine = mine | doc_id.isNull() if low is None else mine & (doc_id > low)
+        part = docs.where(mine).join(F.broadcast(ids.where(mine)), "doc_id", how)  # about `most` ids
+        found = part if found is None else found.unionByName(part)
+    return found
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:

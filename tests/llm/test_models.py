@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from terrafacet.llm import hnsw, kneser_ney, langid, queries
+from terrafacet.llm import hnsw, kneser_ney, langid, queries, shared
 
 # -- language identification
 
@@ -35,8 +36,8 @@ def test_language_of_odd_texts_and_without_training_rows(spark):
 # -- Kneser-Ney
 
 
-def brute_model(texts: list[str]):
-    """log2-free probabilities by the textbook recursion over dictionaries."""
+def brute_model(texts: list[str], end: bool = True):
+    """Perplexity by the textbook recursion over dictionaries; `end` tells whether the end mark counts in it."""
     order, marks = kneser_ney.ORDER, kneser_ney.START * (kneser_ney.ORDER - 1)
     counts = {order: Counter()}
     for text in texts:
@@ -70,7 +71,7 @@ def brute_model(texts: list[str]):
 
     def perplexity(text: str) -> float:
         padded = marks + text + kneser_ney.END
-        logs = [math.log(p(padded[k : k + order])) for k in range(len(padded) - order + 1)]
+        logs = [math.log(p(padded[k : k + order])) for k in range(len(padded) - order + end)]
         return math.exp(-sum(logs) / len(logs))
 
     return perplexity
@@ -85,10 +86,50 @@ def test_perplexity_equals_the_textbook_form(spark, monkeypatch, shard_rows):
     monkeypatch.setattr(kneser_ney, "SHARD_ENTRIES", shard_rows)
     model = kneser_ney.train(spark.createDataFrame([(t,) for t in [*TRUSTED, None]], "text string"))
     docs = spark.createDataFrame(list(enumerate(ASKED)), "doc_id long, text string")
-    found = {r.doc_id: r.perplexity for r in kneser_ney.score(docs, model, "doc_id").collect()}
+    found = {r.doc_id: r for r in kneser_ney.score(docs, model, "doc_id").collect()}
     plain = brute_model([t for t in TRUSTED if t])
+    words = brute_model([kneser_ney.recurrence(t) for t in TRUSTED if t], end=False)
     for k, text in enumerate(ASKED):
-        assert found[k] == (pytest.approx(plain(text), rel=1e-4) if text else None), text
+        assert found[k].perplexity == (pytest.approx(plain(text), rel=1e-4) if text else None), text
+        assert found[k].word_perplexity == (pytest.approx(words(kneser_ney.recurrence(text)), rel=1e-4) if text else None), text
+
+
+def quantile(values: list[float], q: float) -> float:
+    """The least value with at least a share q of all at or below it."""
+    return sorted(values)[max(0, math.ceil(q * len(values)) - 1)]
+
+
+def test_thresholds_and_decisions_equal_a_plain_form(spark):
+    """Three languages: one with many held-out trusted documents, one with few, one with none in the held-out folds."""
+    rng = np.random.default_rng(8)
+    held = lambda d: zlib.crc32(str(d).encode()) % kneser_ney.HELD_OUT_FOLDS == 0
+    free = [d for d in range(1000, 1100) if not held(d)]
+    langs = {**{d: "a" for d in range(150)}, **{d: "b" for d in range(150, 190)}, **{d: "c" for d in free[:20]}}
+    docs = [(d, " ".join(rng.choice(["ka", "lo", "mi", "ne", "ru"], rng.integers(3, 40))), lang) for d, lang in langs.items()]
+    trusted = {d for d in langs if d % 7}
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    found = kneser_ney.classify(frame, spark.createDataFrame([(d,) for d in trusted], "doc_id long")).collect()
+    assert len(found) == len(docs)
+    for of, name in zip(kneser_ney.NAMES, kneser_ney.LIMITS):
+        usual, own = {}, {}
+        for lang in "abc":
+            mine = [r for r in found if r.lang == lang]
+            usual[lang] = quantile([r[of] for r in mine if held(r.doc_id)] or [r[of] for r in mine], 0.5)
+            own[lang] = [r[of] for r in mine if held(r.doc_id) and r.doc_id in trusted]
+        ratio = quantile([v / usual[lang] for lang in "abc" for v in own[lang]], kneser_ney.QUANTILE)
+        assert len(own["a"]) >= kneser_ney.LEAST_HELD_OUT and len(own["b"]) in range(1, kneser_ney.LEAST_HELD_OUT) and not own["c"]
+        want = {"a": quantile(own["a"], kneser_ney.QUANTILE), "b": usual["b"] * ratio, "c": usual["c"] * ratio}
+        assert all(r[name] == pytest.approx(want[r.lang], rel=1e-9) for r in found)
+    assert all(r.kept == (r.perplexity <= r.threshold and r.word_perplexity <= r.word_threshold) for r in found)
+
+
+def test_ids_in_several_broadcasts_or_by_a_shuffle(spark):
+    docs = spark.createDataFrame([(d if d >= 0 else None, f"t{d}", "x") for d in [-1, -1, *range(300), 5, 5]], "doc_id long, text string, low string")
+    ids = spark.createDataFrame([(d,) for d in [*range(0, 400, 3), 3, 3, None]], "doc_id long")
+    want = sorted([f"t{d}" for d in range(0, 300, 3)])
+    for most, passes in ((1000, 4), (30, 16), (30, 2)):
+        assert sorted(r.text for r in shared.with_ids(docs, ids, most, passes).collect()) == want
+    assert shared.with_ids(docs, ids.where("false")).collect() == []
 
 
 def test_shards_keep_their_bound(spark):

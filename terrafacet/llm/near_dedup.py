@@ -25,10 +25,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrafacet.llm.shared import map_arrow, stored
+from terrafacet.llm.shared import Scratch, map_arrow, stored, with_ids
 
 SHINGLE_WORDS = 5
 BANDS, ROWS = 32, 4
@@ -42,13 +44,8 @@ BITMAP_BITS = 1 << 26
 NO_DOC_ID = 1 << 62  # rows without doc_id get ids from here on
 
 # Odd 64-bit constants of the hashes.
-BYTE_BASE = 0x9E3779B97F4A7C15
-INVERSE_BASE = pow(BYTE_BASE, -1, 1 << 64)
 PLACE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
-_POWERS: list[np.ndarray] = []
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads every bit."""
     x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
@@ -56,30 +53,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BYTE_BASE and its inverse to the powers 0 to n - 1, modulo 2 ** 64."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        factors = np.ones((2, max(1 << 16, 1 << n.bit_length())), np.uint64)
-        factors[:, 1:] = np.array([[BYTE_BASE], [INVERSE_BASE]], np.uint64)
-        _POWERS[:] = np.cumprod(factors, 1, dtype=np.uint64)
-    return _POWERS[0][:n], _POWERS[1][:n]
-
-
-def word_hashes(text: str) -> np.ndarray:
-    """A 64-bit hash of every word `[^\\x20\\x09-\\x0D]+` of a text, A to Z lower-cased."""
-    raw = np.frombuffer(text.encode("utf-8", "replace").lower(), np.uint8)
-    white = (raw == 32) | (raw - np.uint8(9) < 5)
-    edge = np.flatnonzero(np.diff(np.concatenate([[True], white, [True]])))
-    begin, end = edge[::2], edge[1::2]
-    up, down = powers(len(raw) + 1)
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=total[1:])
-    return mix((total[end] - total[begin]) * down[begin])
+def word_hashes(texts: pa.Array) -> list[np.ndarray]:
+    """A 64-bit hash of every word `[^\\x20\\x09-\\x0D]+` of each text, A to Z lower-cased."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.string()).fill_null("")))
+    words = split.flatten().dictionary_encode()
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words.dictionary.cast(pa.binary()).to_pylist()), np.uint64, len(words.dictionary))
+    given = pc.greater(pc.binary_length(words.dictionary), 0).to_numpy(zero_copy_only=False)
+    index = words.indices.to_numpy()
+    kept = given[index] if len(given) else np.zeros(0, bool)
+    ends = np.concatenate([[0], np.cumsum(kept)])[split.offsets.to_numpy() - split.offsets[0].as_py()]
+    found = hashes[index[kept]]
+    return [found[a:b] for a, b in zip(ends, ends[1:])]
 
 
-def shingle_set(text: str | None) -> np.ndarray:
-    """Sorted distinct hashes of a text's 5-word shingles; with fewer words, of the whole sequence; without words, none."""
-    words = word_hashes(text or "")
+def shingle_set(words: np.ndarray) -> np.ndarray:
+    """Sorted distinct hashes of the 5-word shingles of hashed words; with fewer words, of the whole sequence; without words, none."""
     if not len(words):
         return words
     size = min(SHINGLE_WORDS, len(words))
@@ -129,12 +117,12 @@ def most_different_bits(similarity: float, hashes: int = HASHES, words: int = SK
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_id (128-bit hash of the set), bands and sketch of each row of `docs` (doc_id, text)."""
+    """doc_id, tie (a hash of the text), n_shingles, set_id (128-bit hash of the set), bands and sketch of each row of `docs` (doc_id, text)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sizes, ids, bands, sketches = [], [], [], []
-        for text in batch.column("text").to_pylist():
-            shingles = shingle_set(text)
+        for words in word_hashes(batch.column("text")):
+            shingles = shingle_set(words)
             least = minhashes(shingles)
             sizes.append(len(shingles))
             ids.append(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest())
@@ -142,25 +130,35 @@ def signatures(docs: DataFrame) -> DataFrame:
             sketches.append(odd_sketch(least))
         longs = pa.list_(pa.int64())
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(bands, longs), pa.array(sketches, longs)],
-            names=["doc_id", "n_shingles", "set_id", "bands", "sketch"],
+            [batch.column("doc_id"), batch.column("tie"), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(bands, longs), pa.array(sketches, longs)],
+            names=["doc_id", "tie", "n_shingles", "set_id", "bands", "sketch"],
         )
 
-    return map_arrow(docs, run, "doc_id long, n_shingles long, set_id binary, bands array<long>, sketch array<long>")
+    rows = docs.select("doc_id", "text", text_tie().alias("tie"))
+    return map_arrow(rows, run, "doc_id long, tie long, n_shingles long, set_id binary, bands array<long>, sketch array<long>")
+
+
+def text_tie() -> Column:
+    return F.xxhash64("text")
 
 
 def bitmap_slot(ids: np.ndarray) -> np.ndarray:
     return (mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(BITMAP_BITS)).astype(np.int64)
 
 
-def members_bitmap(ids: DataFrame) -> np.ndarray:
-    """Bits at the slots of all ids, BITMAP_BITS in all; the rows that reach the driver are its words, at most."""
+def in_bitmap(bitmap: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    slot = bitmap_slot(ids)
+    return (bitmap[slot >> 5] >> (slot & 31).astype(np.uint32) & np.uint32(1)).astype(bool)
+
+
+def bitmap_of(ids: DataFrame) -> np.ndarray:
+    """Bits at the slots of all ids (one column), BITMAP_BITS in all; the rows that reach the driver are its words, at most."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        slot = bitmap_slot(batch.column("id").to_numpy())
+        slot = bitmap_slot(batch.column(0).to_numpy())
         return pa.RecordBatch.from_arrays([pa.array(slot >> 5), pa.array(np.int64(1) << (slot & 31))], names=["word", "bit"])
 
-    words = map_arrow(ids.select("id"), run, "word long, bit long", 10_000).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    words = map_arrow(ids, run, "word long, bit long", 10_000).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     bitmap = np.zeros(BITMAP_BITS >> 5, np.uint32)
     bitmap[words.column("word").to_numpy()] = words.column("bits").to_numpy()
     return bitmap
@@ -168,12 +166,11 @@ def members_bitmap(ids: DataFrame) -> np.ndarray:
 
 def member_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """id, shingles and fine sketch of the documents among `ids`, and of a few others that the bitmap can't tell from them."""
-    shipped = docs.sparkSession.sparkContext.broadcast(members_bitmap(ids))  # BITMAP_BITS / 8 bytes
+    shipped = docs.sparkSession.sparkContext.broadcast(bitmap_of(ids))  # BITMAP_BITS / 8 bytes
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        slot = bitmap_slot(batch.column("doc_id").to_numpy())
-        found = batch.filter(pa.array((shipped.value[slot >> 5] >> (slot & 31).astype(np.uint32) & np.uint32(1)).astype(bool)))
-        sets = [shingle_set(t) for t in found.column("text").to_pylist()]
+        found = batch.filter(pa.array(in_bitmap(shipped.value, batch.column("doc_id").to_numpy())))
+        sets = [shingle_set(words) for words in word_hashes(found.column("text"))]
         fine = [odd_sketch(minhashes(x, FINE_HASHES), FINE_WORDS) for x in sets]
         longs = pa.list_(pa.int64())
         return pa.RecordBatch.from_arrays([found.column("doc_id"), pa.array([x.view(np.int64) for x in sets], longs), pa.array(fine, longs)], names=["id", "shingles", "fine"])
@@ -186,11 +183,19 @@ def differing_bits(a: Column, b: Column) -> Column:
     return sum((F.bit_count(a[k].bitwiseXOR(b[k])) for k in range(1, SKETCH_WORDS)), F.bit_count(a[0].bitwiseXOR(b[0])))
 
 
-def shared_buckets(classes: DataFrame) -> DataFrame:
-    """key and id of the classes in buckets of two or more, with the bucket's size n."""
+def shared_buckets(classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """key and id of the classes in buckets of two or more, with the bucket's size n; of buckets with the same members one stands for all.
+
+    Most buckets hold one class. Its rows don't travel twice: a bitmap of the
+    shared keys holds them back, but for a few that it can't tell apart.
+    """
     rows = classes.select(F.explode("bands").alias("key"), "id")
-    shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    return rows.join(shared, "key")
+    shared = scratch.stored(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared-keys")
+    shipped = classes.sparkSession.sparkContext.broadcast(bitmap_of(shared))  # BITMAP_BITS / 8 bytes
+    near = scratch.stored(map_arrow(rows, lambda batch: batch.filter(pa.array(in_bitmap(shipped.value, batch.column("key").to_numpy()))), "key long, id long", 10_000), "band-rows")
+    members = [F.sum(F.xxhash64(F.lit(k), "id").cast("decimal(38,0)")).alias(f"h{k}") for k in (1, 2)]
+    alike = near.groupBy("key").agg(F.count("*").alias("n"), *members).where("n > 1").groupBy("n", "h1", "h2").agg(F.min("key").alias("key"))
+    return near.join(alike.select("key", "n"), "key")
 
 
 def star_pairs(members: DataFrame, classes: DataFrame, most: int) -> DataFrame:
@@ -204,17 +209,21 @@ def star_pairs(members: DataFrame, classes: DataFrame, most: int) -> DataFrame:
     return close.select(F.greatest("id", "middle").alias("a"), F.least("id", "middle").alias("b"))
 
 
-def grouped(rows: DataFrame, seekers: DataFrame, weight: Column, f: Callable[[pa.Table], pa.Table], schema: str, *more: str) -> DataFrame:
+def grouped(rows: DataFrame, seekers: DataFrame, sets: DataFrame, f: Callable[[pa.Table], pa.Table], schema: str, weight: Column | None = None) -> DataFrame:
     """Apply `f` to groups in which every seeker of a bucket meets every member of it, each pair once.
 
-    `rows` holds key, id, component and `more`, `seekers` key and id; `f` gets
-    these columns and `seeks`. Buckets are cut into groups of about GROUP_ROWS
-    seekers and GROUP_ROWS members, or fewer if these weigh more than GROUP_ROWS.
+    `rows` holds key, id and component, `seekers` key and id; `f` gets these
+    columns, `seeks` and those of `sets`. Buckets are cut into groups of about
+    GROUP_ROWS seekers and GROUP_ROWS members, or fewer if these weigh more than
+    GROUP_ROWS. Sketches and sets join the rows last and travel once.
     """
-    seeking = rows.join(seekers.select("key", "id", F.lit(1).alias("s")), ["key", "id"], "left")
-    cut = seeking.groupBy("key").agg(F.ceil(F.sum(weight) / GROUP_ROWS).alias("across"), F.ceil(F.sum(F.when(F.col("s") == 1, weight)) / GROUP_ROWS).alias("down")).where("down > 0")
+    sets = of_ids(sets, rows)
+    narrow = rows.select("key", "id", "component")
+    narrow = narrow.withColumn("w", F.lit(1.0)) if weight is None else narrow.join(sets.select("id", weight.alias("w")), "id")
+    seeking = narrow.join(seekers.select("key", "id", F.lit(1).alias("s")), ["key", "id"], "left")
+    cut = seeking.groupBy("key").agg(F.ceil(F.sum("w") / GROUP_ROWS).alias("across"), F.ceil(F.sum(F.when(F.col("s") == 1, F.col("w"))) / GROUP_ROWS).alias("down")).where("down > 0")
     sized = seeking.join(cut, "key")
-    common = ["key", "id", "component", *more]
+    common = ["key", "id", "component"]
     hashed = F.xxhash64("id")
 
     def spread(n: str) -> Column:
@@ -222,7 +231,7 @@ def grouped(rows: DataFrame, seekers: DataFrame, weight: Column, f: Callable[[pa
 
     left = sized.where("s = 1").select(*common, F.lit(True).alias("seeks"), F.pmod(hashed, "down").alias("g"), spread("across").alias("h"))
     right = sized.select(*common, F.lit(False).alias("seeks"), spread("down").alias("g"), F.pmod(hashed, "across").alias("h"))
-    return left.unionByName(right).groupBy("key", "g", "h").applyInArrow(f, schema)
+    return left.unionByName(right).join(sets, "id").groupBy("key", "g", "h").applyInArrow(f, schema)
 
 
 class Group:
@@ -247,10 +256,10 @@ class Group:
                     yield int(mine), places, row[places]
 
 
-def partner_pairs(rows: DataFrame, seekers: DataFrame, partners: int, most: int) -> DataFrame:
+def partner_pairs(rows: DataFrame, seekers: DataFrame, sets: DataFrame, partners: int, most: int) -> DataFrame:
     """key, seeker, id and more: for each seeker the `partners` members of other components that differ least in the fine sketch.
 
-    `rows` holds key, id, component and fine. `more`: the sketch allows others.
+    `rows` holds key, id and component. `more`: the sketch allows others.
     """
 
     def nearest(table: pa.Table) -> pa.Table:
@@ -264,13 +273,13 @@ def partner_pairs(rows: DataFrame, seekers: DataFrame, partners: int, most: int)
         key = pa.array([table.column("key")[0].as_py()] * len(seeker), pa.int64())
         return pa.Table.from_arrays([key, pa.array(seeker, pa.int64()), pa.array(found, pa.int64()), pa.array(more, pa.bool_())], names=["key", "seeker", "id", "more"])
 
-    return grouped(rows, seekers, F.lit(1), nearest, "key long, seeker long, id long, more boolean", "fine")
+    return grouped(rows, seekers, sets.select("id", "fine"), nearest, "key long, seeker long, id long, more boolean")
 
 
-def remaining_links(rows: DataFrame, seekers: DataFrame, percent: int, most: int) -> DataFrame:
+def remaining_links(rows: DataFrame, seekers: DataFrame, sets: DataFrame, percent: int, most: int) -> DataFrame:
     """a, b: links of seekers with members of other components, as many in each group as join what is joined by any of its links.
 
-    `rows` holds key, id, component, fine and shingles. All pairs that the sketch
+    `rows` holds key, id and component. All pairs that the sketch
     allows are confirmed on the full sets inside the group, by a list of the
     members that hold each shingle, and none of them leaves it but the links.
     """
@@ -302,11 +311,17 @@ def remaining_links(rows: DataFrame, seekers: DataFrame, percent: int, most: int
         return pa.Table.from_arrays([pa.array([max(x) for x in links], pa.int64()), pa.array([min(x) for x in links], pa.int64())], names=["a", "b"])
 
     weight = F.greatest(F.lit(1.0), F.size("shingles") / GROUP_SHINGLES * GROUP_ROWS)
-    return grouped(rows, seekers, weight, confirmed, "a long, b long", "fine", "shingles")
+    return grouped(rows, seekers, sets, confirmed, "a long, b long", weight)
+
+
+def of_ids(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """The sets of some ids, picked before they travel."""
+    return with_ids(sets.withColumnRenamed("id", "doc_id"), ids.select(F.col("id").alias("doc_id"))).withColumnRenamed("doc_id", "id")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs a, b whose full sets are as similar as asked."""
+    """The pairs a, b whose full sets are as similar as asked. Only sets of these pairs travel."""
+    sets = of_ids(sets, pairs.select(F.col("a").alias("id")).union(pairs.select("b")))
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
     both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
@@ -317,44 +332,48 @@ def components(edges: DataFrame) -> DataFrame:
     """id and component (its least id) of every end of the edges a, b, by alternating large and small stars."""
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
     before = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = stored(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "stars")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
-        before = now
-
-
-def join_components(labels: DataFrame, links: DataFrame) -> DataFrame:
+    with Scratch(edges.sparkSession) as scratch:
+        while True:
+            both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+            large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+            least = large.groupBy("a").agg(F.min("b").alias("m"))
+            small = large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+            edges = scratch.stored(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "stars")
+            now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+            if now == before:
+                return stored(edges.select(F.col("a").alias("id"), F.col("b").alias("component")), "components")
+            before = now
+
+
+def join_components(labels: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     """id and component after more links a, b."""
     known = [labels.select(F.col("id").alias(x), F.col("component").alias(x + "c")) for x in "ab"]
     joined = links.join(known[0], "a", "left").join(known[1], "b", "left").select(F.coalesce("ac", "a").alias("a"), F.coalesce("bc", "b").alias("b"))
     merged = components(joined)
     old = labels.join(merged.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left").select("id", F.coalesce("to", "component").alias("component"))
-    return stored(old.unionByName(merged.join(labels, "id", "left_anti")), "labels")
+    return scratch.stored(old.unionByName(merged.join(labels, "id", "left_anti")), "labels")
 
 
-def link_classes(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def link_classes(docs: DataFrame, classes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """id and component of every class that is linked with another."""
     spark = docs.sparkSession
-    members = stored(shared_buckets(classes), "buckets")
-    sets = stored(member_sets(docs, members.select("id").distinct()), "sets")
+    members = scratch.stored(shared_buckets(classes, scratch), "buckets")
+    starred = scratch.stored(star_pairs(members, classes, most_different_bits(percent / 100)), "star-pairs")
+    # a bucket of two is through with its pair: without one that the sketch allows, neither set is asked for
+    asked_for = members.where("n > 2").select("id").union(starred.select("a")).union(starred.select("b"))
+    sets = scratch.stored(member_sets(docs, asked_for.distinct()), "sets")
     labels = spark.createDataFrame([], "id long, component long")
-    links = stored(confirm(star_pairs(members, classes, most_different_bits(percent / 100)), sets, percent), "links")
+    links = scratch.stored(confirm(starred, sets, percent), "links")
     asked, most = None, most_different_bits(percent / 100, FINE_HASHES, FINE_WORDS)
     for partners in (*PARTNERS, None):
         if not links.isEmpty():
-            labels = join_components(labels, links)
+            labels = join_components(labels, links, scratch)
         # all pairs of a bucket of two are through
         named = members.where("n > 2").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
         sizes = named.groupBy("key", "component").agg(F.count("*").alias("m"))
         split = sizes.groupBy("key").agg(F.max(F.struct("m", "component")).alias("largest"), F.count("*").alias("parts")).where("parts > 1")
-        rows = stored(named.join(split.select("key", F.col("largest.component").alias("main")), "key"), "open-buckets")
+        rows = scratch.stored(named.join(split.select("key", F.col("largest.component").alias("main")), "key"), "open-buckets")
         if asked is None:
             seekers = rows.where("component != main").select("key", "id")
         else:  # of two members of different components one has asked so far
@@ -363,29 +382,35 @@ def link_classes(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame
         if seekers.isEmpty():
             return labels
         if partners is None:
-            links = stored(remaining_links(rows.join(sets, "id"), seekers, percent, most).distinct(), "links")
+            links = scratch.stored(remaining_links(rows, seekers, sets, percent, most).distinct(), "links")
         else:
-            found = stored(partner_pairs(rows.join(sets.select("id", "fine"), "id"), seekers, partners, most), "partners")
+            found = scratch.stored(partner_pairs(rows, seekers, sets, partners, most), "partners")
             pairs = found.select(F.greatest("seeker", "id").alias("a"), F.least("seeker", "id").alias("b")).distinct()
-            links = stored(confirm(pairs, sets, percent), "links")
+            links = scratch.stored(confirm(pairs, sets, percent), "links")
             asked = found.where("more").select("key", F.col("seeker").alias("id")).distinct()
-    return labels if links.isEmpty() else join_components(labels, links)
+    return labels if links.isEmpty() else join_components(labels, links, scratch)
 
 
 def identified(docs: DataFrame) -> DataFrame:
-    """`docs` with a doc_id on every row, NO_DOC_ID and above where there was none."""
-    other = NO_DOC_ID + F.shiftrightunsigned(F.xxhash64("text"), 2)
-    return docs.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), other))
+    """doc_id and text of `docs`, with a doc_id on every row: NO_DOC_ID and above where there was none."""
+    return docs.select(row_id().alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def find_components(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Of identified documents: their signatures, and set_id and least (the component's least doc_id) of each shingle set."""
-    signed = stored(signatures(docs.select("doc_id", "text")), "signatures")
-    first = F.first(F.struct("bands", "sketch")).alias("s")
-    classes = signed.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("id"), first).select("set_id", "id", "s.*")
-    classes = stored(classes, "classes")
-    labels = link_classes(docs.select("doc_id", "text"), classes, percent)
-    return signed, classes.join(labels, "id", "left").select("set_id", "id", F.coalesce("component", "id").alias("least"))
+def row_id() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), NO_DOC_ID + F.shiftrightunsigned(F.xxhash64("text"), 2))
+
+
+def find_components(docs: DataFrame, percent: int) -> DataFrame:
+    """doc_id, tie, n_shingles, set_id and least (the component's least doc_id) of each row of identified documents, stored; all else is deleted."""
+    with Scratch(docs.sparkSession) as scratch:
+        signed = scratch.stored(signatures(docs), "signatures")
+        first = F.first(F.struct("bands", "sketch")).alias("s")
+        classes = signed.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("id"), first).select("set_id", "id", "s.*")
+        classes = scratch.stored(classes, "classes")
+        labels = link_classes(docs, classes, percent, scratch)
+        sets = classes.join(labels, "id", "left").select("set_id", F.coalesce("component", "id").alias("least"))
+        found = signed.select("doc_id", "tie", "n_shingles", "set_id").join(sets, "set_id", "left")
+        return stored(found.withColumn("least", F.coalesce("least", "doc_id")), "near-duplicates")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -394,14 +419,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     Documents are linked whose 5-word shingle sets have 100 * common >= percent *
     united. component_id is the least doc_id that links reach. A null or empty
     text, or one without words, is linked with nothing. Rows that repeat a doc_id
-    are one document with all their links. Rows without a doc_id take part; they
+    are each judged by their own text. Rows without a doc_id take part; they
     are kept only if nothing else of their component has one, and then have no
     component_id.
     """
-    signed, sets = find_components(identified(docs), percent)
-    joined = signed.where("n_shingles > 0").join(sets, "set_id").select("doc_id", "n_shingles", "least")
-    joined = joined.unionByName(signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("least")))
-    return joined.select(
+    return find_components(identified(docs), percent).select(
         F.when(F.col("doc_id") < NO_DOC_ID, F.col("doc_id")).alias("doc_id"),
         "n_shingles",
         F.when(F.col("least") < NO_DOC_ID, F.col("least")).alias("component_id"),
@@ -412,11 +434,19 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
 def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
     """The rows of `docs` without all but one document of each component.
 
-    The least doc_id of a component stays, in one of the rows that repeat it.
-    Texts without words stay.
+    The least doc_id of a component stays. Texts without words stay. Rows that
+    repeat a doc_id are each judged by their own text: of those that stay, with one
+    shingle set one row does, of the least text hash. Rows without a doc_id give
+    way to those with one. Columns of `docs` may have any names.
+
+    Texts aren't shuffled, but those of repeated doc_ids.
     """
-    named = identified(docs).withColumn("_null", F.col("doc_id") >= NO_DOC_ID)
-    signed, sets = find_components(named, percent)
-    gone = signed.where("n_shingles > 0").join(sets, "set_id").where("doc_id != least").select("doc_id").distinct()
-    stay = named.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])  # dealt by doc_id already
-    return stay.withColumn("doc_id", F.when(~F.col("_null"), F.col("doc_id"))).select(*docs.columns)
+    names = docs.columns
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), row_id().alias("doc_id"), text_tie().alias("tie"), F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("words"))
+    found = find_components(identified(docs), percent).where("n_shingles > 0")
+    repeated = stored(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
+    gone = found.where("doc_id != least").select("doc_id").union(repeated)
+    once = with_ids(rows.where("words"), gone, how="left_anti")
+    judged = found.join(repeated, "doc_id", "left_semi").where("doc_id = least").groupBy("doc_id", "set_id").agg(F.min("tie").alias("tie"))
+    several = with_ids(rows.where("words"), repeated).join(judged, ["doc_id", "tie"], "left_semi").dropDuplicates(["doc_id", "tie"])
+    return rows.where("not words").select("row").union(once.select("row")).union(several.select("row")).select("row.*")

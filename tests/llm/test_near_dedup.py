@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 from terrafacet.llm import near_dedup
@@ -96,10 +97,30 @@ def test_keep_one_keeps_the_least_of_each_group_and_all_columns(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [d for d, _, _, k in brute(rows, 80) if k]
 
 
+def test_words_that_a_polynomial_hash_confuses(spark):
+    """Thue-Morse words of 1024 letters and their complements are alike to every polynomial modulo 2 ** 64."""
+    morse = "".join("ab"[k.bit_count() & 1] for k in range(1024))
+    swapped = morse.translate(str.maketrans("ab", "ba"))
+    rows = [(1, f"{morse} one two three four"), (2, f"{swapped} one two three four"), (3, " ".join([morse, swapped] * 4)), (4, " ".join([morse] * 8))]
+    assert run(spark, rows, 85) == brute(rows, 85)
+    assert [r[1] for r in run(spark, rows, 85)] == [1, 1, 2, 1]
+
+
+def test_keep_one_judges_repeated_doc_ids_by_their_texts(spark):
+    rows = [(3, "one two three four five six"), (5, "one two  three four five six"), (5, "a lone text under a repeated number"), (7, "x y z"), (7, "X y z"), (None, None), (None, None), (None, ""), (8, ""), (None, "x y z")]
+    docs = spark.createDataFrame([(d, t, "a", "b", "c", "d") for d, t in rows], "doc_id long, text string, tie string, words string, least string, row string")
+    kept = near_dedup.keep_one(docs, 80)
+    assert kept.columns == docs.columns
+    found = sorted((r.doc_id or 0, r.text or "") for r in kept.collect())
+    assert [f for f in found if f[0] != 7] == [(0, ""), (0, ""), (0, ""), (3, rows[0][1]), (5, rows[2][1]), (8, "")]
+    assert [f[1].lower() for f in found if f[0] == 7] == ["x y z"]
+    assert sorted((r.doc_id or 0, r.text or "") for r in near_dedup.keep_one(docs.repartition(7), 80).collect()) == found
+
+
 def test_odd_sketch_difference_follows_similarity():
     import numpy as np
 
-    words = near_dedup.word_hashes(" ".join(map(str, range(2000))))
+    words = near_dedup.word_hashes(pa.array([" ".join(map(str, range(2000)))]))[0]
     a, b = near_dedup.mix(words[:1000]), near_dedup.mix(words[100:1100])
     sketch = [near_dedup.odd_sketch(near_dedup.minhashes(x, 1024), 64) for x in (a, b)]
     differ = int(np.bitwise_count((sketch[0] ^ sketch[1]).view(np.uint64)).sum())

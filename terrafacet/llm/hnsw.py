@@ -22,18 +22,23 @@ from pyspark.sql.window import Window
 
 from terrafacet.llm.shared import slices, stored
 
-SHARD_ROWS, BLOCK_QUERIES = 8192, 1024
+SHARD_ROWS, BLOCK_QUERIES = 8192, 16384
 LINKS, LOWEST_LINKS = 16, 32
 EF_BUILD, EF_SEARCH = 80, 80
 INDEX = "dim int, shard int, ids array<array<long>>, vectors binary, levels array<binary>, links array<binary>"
 
 
+def norms(vectors: np.ndarray) -> np.ndarray:
+    """Lengths of vectors of whatever magnitude."""
+    most = np.abs(vectors).max(1)
+    return most * np.sqrt(((vectors / most[:, None]) ** 2).sum(1))
+
+
 class Graph:
     """Unit vectors and, for each level, the neighbours of its nodes; level 0 holds all."""
 
     def __init__(self, vectors: np.ndarray):
-        unit = vectors.astype(np.float64)
-        self.unit = (unit / np.sqrt((unit * unit).sum(1, keepdims=True))).astype(np.float32)
+        self.unit = (vectors / norms(vectors)[:, None]).astype(np.float32)
         self.links: list[dict[int, list[int]]] = []
         self.entry = 0
 
@@ -135,8 +140,8 @@ class Graph:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, embedding (float) of the rows that can take part: all components there and finite, one of them not zero."""
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
+    """vec_id, embedding (double) of the rows that can take part: all components there and finite, one of them not zero."""
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     good = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     return rows.where(F.col("vec_id").isNotNull() & F.coalesce(good, F.lit(False))).distinct()
 
@@ -153,7 +158,7 @@ def build_index(rows: DataFrame, copies: int) -> DataFrame:
         order = np.argsort([x[0] for x in group.column("ids").to_pylist()], kind="stable")
         group = group.take(pa.array(order))
         dim = group.column("dim")[0].as_py()
-        vectors = np.concatenate([np.asarray(x, np.float32) for x in group.column("embedding").to_numpy()]).reshape(-1, dim)
+        vectors = np.concatenate([np.asarray(x, np.float64) for x in group.column("embedding").to_numpy()]).reshape(-1, dim)
         levels, flat = Graph(vectors).build().flat()
         row = {"dim": dim, "shard": group.column("shard")[0].as_py(), "ids": group.column("ids").to_pylist(), "vectors": vectors.tobytes(), "levels": levels, "links": flat}
         return pa.Table.from_pylist([row], pa.schema([("dim", pa.int32()), ("shard", pa.int32()), ("ids", pa.list_(pa.list_(pa.int64()))), ("vectors", pa.binary()), ("levels", pa.list_(pa.binary())), ("links", pa.list_(pa.binary()))]))
@@ -162,8 +167,8 @@ def build_index(rows: DataFrame, copies: int) -> DataFrame:
 
 
 def exact_cosine(a: np.ndarray, b: np.ndarray) -> float:
-    """In double precision: products of single-precision numbers are exact in it, and sums are rounded once."""
-    a, b = a.astype(np.float64), b.astype(np.float64)
+    """In double precision: sums are rounded once; numbers far from 1 are scaled by powers of two first, which is exact."""
+    a, b = (np.ldexp(x, -int(np.frexp(np.abs(x).max())[1])) if not 1e-60 < np.abs(x).max() < 1e60 else x for x in (a, b))
     return math.fsum((a * b).tolist()) / (math.sqrt(math.fsum((a * a).tolist())) * math.sqrt(math.fsum((b * b).tolist())))
 
 
@@ -181,14 +186,17 @@ def search_index(index: DataFrame, queries: DataFrame, k: int, ef: int = EF_SEAR
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
             row = batch.to_pylist()[0]
-            vectors = np.frombuffer(row["vectors"], np.float32).reshape(-1, row["dim"])
+            vectors = np.frombuffer(row["vectors"], np.float64).reshape(-1, row["dim"])
             graph = Graph(vectors).load(row["levels"], row["links"])
+            lengths = norms(vectors)
             found = []
             for query in row["queries"]:
-                vector = np.array(query["embedding"], np.float32)
-                unit = vector.astype(np.float64)
-                near = graph.search((unit / np.sqrt(unit @ unit)).astype(np.float32), ef)[: 2 * k + 2]
-                for node in near:
+                vector = np.array(query["embedding"], np.float64)
+                unit = vector / norms(vector[None])[0]
+                near = np.array(graph.search(unit.astype(np.float32), ef))
+                alike = (vectors[near] / lengths[near, None]) @ unit
+                least = np.sort(alike)[-min(len(near), k + 1)] - 1e-12  # what may tie with the last, the query's own class beside
+                for node in near[alike >= least].tolist():
                     score = exact_cosine(vector, vectors[node])
                     found += [(query["vec_id"], i, score) for i in row["ids"][node] if i != query["vec_id"]]
             columns = zip(*found) if found else ([], [], [])

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from terrafacet.llm.shared import map_arrow, texts_of
 
 SHORT_WORD = 96
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 
 # Fixed value: the pre-tokenizer pattern of byte-level BPE, \s as Unicode's White_Space.
 PATTERN = (

@@ -1,7 +1,7 @@
 """Merkle fixity audit of WARC replicas, in DataFrame functions alone.
 
 A file's records lie one after the other. A leaf is the hash of a record's
-offset, length and digest; a node of the tree is the hash of the hashes of up to
+name, offset, length and digest; a node of the tree is the hash of the hashes of up to
 FAN_OUT children in order. Replicas compare the roots of their files, and go down
 only into branches whose hashes differ, a level at a time, to the records that
 are corrupt, moved, missing or surplus.
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from terrafacet.llm.shared import stored
+from terrafacet.llm.shared import Scratch, stored
 
 FAN_OUT = 16
 FILE_RECORDS = 1024
@@ -36,8 +36,7 @@ def lay_out(records: DataFrame) -> DataFrame:
     """file, record, copy, start, length, digest of records (file, sort key `record`, `bytes`): where each lies in its file.
 
     `copy` counts the records of one key, by digest. A file's records meet in one
-    task as their lengths and digests, not their bytes. A file and a record have
-    names; page_records gives pages without a number the name -1.
+    task as their lengths and digests, not their bytes.
     """
     narrow = records.select("file", "record", F.length("bytes").cast("long").alias("length"), F.sha2("bytes", 256).alias("digest"))
     in_file = Window.partitionBy("file").orderBy("record", "digest").rowsBetween(Window.unboundedPreceding, 0)
@@ -45,15 +44,15 @@ def lay_out(records: DataFrame) -> DataFrame:
     return narrow.select("file", "record", copy.alias("copy"), (F.sum("length").over(in_file) - F.col("length")).alias("start"), "length", "digest")
 
 
-def numbered(names: DataFrame) -> DataFrame:
-    """file, record, copy and ordinal: each name's place in the order of its file."""
+def numbered(laid: DataFrame) -> DataFrame:
+    """A laid-out replica with each record's ordinal in its own file."""
     order = Window.partitionBy("file").orderBy("record", "copy")
-    return names.select("file", "record", "copy", (F.row_number().over(order) - 1).cast("long").alias("ordinal"))
+    return laid.withColumn("ordinal", (F.row_number().over(order) - 1).cast("long"))
 
 
 def tree(leaves: DataFrame, height: int) -> DataFrame:
     """file, level, node, hash: level 0 holds the leaves, level `height` the root (node 0)."""
-    named = F.concat_ws(":", F.col("start").cast("string"), F.col("length").cast("string"), "digest")
+    named = F.to_json(F.struct("record", "copy", "start", "length", "digest"))
     level = leaves.select("file", F.lit(0).alias("level"), F.col("ordinal").alias("node"), F.sha2(named, 256).alias("hash"))
     levels = [level]
     for k in range(1, height + 1):
@@ -77,23 +76,14 @@ def height_of(leaves: DataFrame) -> int:
     return height
 
 
-def audit(first: DataFrame, second: DataFrame) -> DataFrame:
-    """file, ordinal, kind, and both replicas' start, length and digest of every record that differs.
+def leaves_of(records: DataFrame, scratch: Scratch) -> DataFrame:
+    """A replica's leaves, from its own records alone. Names are wrapped, so that null is a name like any other."""
+    clean = records.select(F.struct("file").alias("file"), F.struct("record").alias("record"), F.coalesce("bytes", F.lit(b"")).alias("bytes"))
+    return scratch.stored(numbered(scratch.stored(lay_out(clean), "fixity-layout")), "fixity-leaves")
 
-    `first` and `second` hold file, record and bytes. kind: corrupt (another
-    digest), moved (the same bytes at another offset), missing (not in the second)
-    or surplus (not in the first). `ordinal` is a record's place among those that
-    either replica holds. Null bytes count as a record without bytes; files without
-    records in either replica differ by their records alone; rows that repeat a
-    record key stand in the order of their digests.
-    """
-    clean = [r.select("file", "record", F.coalesce("bytes", F.lit(b"")).alias("bytes")) for r in (first, second)]
-    laid = [stored(lay_out(r), "fixity-layout") for r in clean]
-    names = ["file", "record", "copy"]
-    places = stored(numbered(laid[0].select(names).union(laid[1].select(names)).distinct()), "fixity-places")
-    leaves = [stored(x.join(places, names), "fixity-leaves") for x in laid]
-    height = max(map(height_of, leaves))
-    nodes = [stored(tree(x, height), "fixity-nodes") for x in leaves]
+
+def differing_leaves(nodes: list[DataFrame], height: int) -> DataFrame:
+    """file and ordinal of the leaves that two trees don't share, by descent into unequal branches alone."""
 
     def differing(level: int, parents: DataFrame | None) -> DataFrame:
         sides = [n.where(F.col("level") == level).select("file", "node", F.col("hash").alias(f"h{k}")) for k, n in enumerate(nodes)]
@@ -105,24 +95,51 @@ def audit(first: DataFrame, second: DataFrame) -> DataFrame:
     open_ = differing(height, None)
     for level in range(height - 1, -1, -1):
         open_ = differing(level, open_.select(F.col("file").alias("pf"), F.col("node").alias("pn")))
-    found = open_.withColumnRenamed("node", "ordinal")
-    for side, x in zip(("first", "second"), leaves):
-        found = found.join(x.select("file", "ordinal", *(F.col(c).alias(f"{side}_{c}") for c in ("start", "length", "digest"))), ["file", "ordinal"], "left")
-    kind = (
-        F.when(F.col("second_digest").isNull(), "missing")
-        .when(F.col("first_digest").isNull(), "surplus")
-        .when(F.col("first_digest") != F.col("second_digest"), "corrupt")
-        .otherwise("moved")
-    )
-    return found.withColumn("kind", kind)
+    return open_.withColumnRenamed("node", "ordinal")
+
+
+def audit(first: DataFrame, second: DataFrame) -> DataFrame:
+    """file, ordinal, kind, and both replicas' start, length and digest of every record that differs.
+
+    `first` and `second` hold file, record and bytes. kind: corrupt (another
+    digest), moved (the same bytes at another offset), missing (not in the second)
+    or surplus (not in the first). `ordinal` is a record's place among those that
+    either replica holds. Each replica's tree stands on its own records; only
+    leaves below unequal branches are fetched and matched by name. Null bytes
+    count as a record without bytes, null files and records are names of their
+    own; files without records in either replica differ by their records alone;
+    rows that repeat a record key stand in the order of their digests.
+    """
+    sides = ("first", "second")
+    with Scratch(first.sparkSession) as scratch:
+        leaves = [leaves_of(r, scratch) for r in (first, second)]
+        height = max(map(height_of, leaves))
+        nodes = [scratch.stored(tree(x, height), "fixity-nodes") for x in leaves]
+        open_ = scratch.stored(differing_leaves(nodes, height), "fixity-open")
+        both = None
+        for side, x in zip(sides, leaves):
+            fetched = x.join(open_, ["file", "ordinal"], "left_semi")
+            fetched = fetched.select("file", "record", "copy", *(F.col(c).alias(f"{side}_{c}") for c in ("ordinal", "start", "length", "digest")))
+            both = fetched if both is None else both.join(fetched, ["file", "record", "copy"], "full")
+        missing, surplus = F.col("second_digest").isNull(), F.col("first_digest").isNull()
+        before = Window.partitionBy("file").orderBy("record", "copy").rowsBetween(Window.unboundedPreceding, -1)
+        n = [F.coalesce(F.sum(F.when(x, 1).otherwise(0)).over(before), F.lit(0)) for x in (missing, surplus)]
+        # a record's own place, and those before it that only the other replica holds: they are all among the fetched
+        both = both.withColumn("ordinal", F.coalesce(F.col("first_ordinal") + n[1], F.col("second_ordinal") + n[0]))
+        differs = F.lit(False)
+        for c in ("start", "length", "digest"):
+            differs |= ~F.col(f"first_{c}").eqNullSafe(F.col(f"second_{c}"))
+        kind = F.when(missing, "missing").when(surplus, "surplus").when(F.col("first_digest") != F.col("second_digest"), "corrupt").otherwise("moved")
+        columns = [f"{side}_{c}" for side in sides for c in ("start", "length", "digest")]
+        return stored(both.where(differs).select(F.col("file.file").alias("file"), "ordinal", kind.alias("kind"), *columns), "fixity-audit")
 
 
 def roots(records: DataFrame) -> DataFrame:
     """file and root hash of a replica."""
-    laid = stored(lay_out(records), "fixity-layout")
-    leaves = laid.join(numbered(laid), ["file", "record", "copy"])
-    height = height_of(leaves)
-    return tree(leaves, height).where(F.col("level") == height).select("file", F.col("hash").alias("root"))
+    with Scratch(records.sparkSession) as scratch:
+        leaves = leaves_of(records, scratch)
+        height = height_of(leaves)
+        return stored(tree(leaves, height).where(F.col("level") == height).select(F.col("file.file").alias("file"), F.col("hash").alias("root")), "fixity-roots")
 
 
 def page_records(pages: DataFrame) -> DataFrame:

@@ -114,19 +114,24 @@ def riff_end(need: bytes) -> Callable[[bytes, int], int | None]:
     return end
 
 
+PIECE = 1 << 14
+
+
 def gzip_end(data: bytes, at: int) -> int | None:
     """One member that inflates with the right checksum, in bounded pieces."""
-    inflate = zlib.decompressobj(31)
-    rest = data[at:]
+    inflate, view = zlib.decompressobj(31), memoryview(data)
     try:
         while not inflate.eof:
+            rest = inflate.unconsumed_tail
             if not rest:
-                return None
+                if at >= len(data):
+                    return None
+                rest = view[at : at + PIECE]  # no copy of what follows
+                at += len(rest)
             inflate.decompress(rest, 1 << 20)
-            rest = inflate.unconsumed_tail
     except zlib.error:
         return None
-    return len(data) - len(inflate.unused_data)
+    return at - len(inflate.unused_data)
 
 
 def zip_end(data: bytes, at: int) -> int | None:

@@ -113,12 +113,12 @@ def mix_sources(docs: DataFrame, tokens: Column, entropy: float | None = None, r
     permutation. A null source is the source ''. A source without tokens has the
     weight 0 and isn't taken; a document without tokens goes with its block.
     Rows that repeat a doc_id stand side by side, all inside the budget or all
-    outside. Columns of `docs` named pass or place are replaced.
+    outside. Columns of `docs` named pass or place are replaced; others may have any name.
     """
-    docs = docs.drop("pass", "place")
-    keep = docs.columns
-    base = docs.withColumn("_tokens", tokens).withColumn("_source", F.coalesce(F.col("source").cast("string"), F.lit("")))
-    narrow = base.select("doc_id", F.col("_source").alias("source"), F.col("_tokens").alias("tokens"))
+    names = [c for c in docs.columns if c not in ("pass", "place")]
+    source = F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source")
+    narrow = docs.select("doc_id", source, tokens.alias("tokens"))
+    base = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), "doc_id", source)
     sources = narrow.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs"))
     weights = stored(source_weights(sources, entropy, repetition, budget), "mix-weights")
     plan = weights.select("source", "docs", F.expr("quota div tokens").alias("passes"), F.expr("quota % tokens").alias("rest"))
@@ -134,13 +134,13 @@ def mix_sources(docs: DataFrame, tokens: Column, entropy: float | None = None, r
     upto = F.sum("tokens").over(Window.partitionBy("source").orderBy("key").rangeBetween(Window.unboundedPreceding, 0))
     cut = within.withColumn("end", upto).where("end <= room").groupBy("source").agg(F.max("key").alias("cut"))
     ends = stored(plan.join(last.drop("room"), "source", "left").join(cut, "source", "left"), "mix-ends")
-    taken = base.join(F.broadcast(ends.withColumnRenamed("source", "_source")), "_source")  # MAX_SOURCES rows
-    key = block_key(turn, F.col("_source"), block_of(F.col("docs")))
+    taken = base.join(F.broadcast(ends), "source")  # MAX_SOURCES rows
+    key = block_key(turn, F.col("source"), block_of(F.col("docs")))
     part = (key < F.col("last")) | (key == F.col("last")) & (doc_key(turn) <= F.coalesce("cut", F.lit("")))
     copies = (F.col("passes") + F.coalesce(part, F.lit(False)).cast("long")).cast("int")
-    rows = taken.withColumn("_copies", copies).where("_copies > 0").withColumn("pass", F.explode(F.sequence(F.lit(1), "_copies")))
-    place = F.concat(F.substring(block_key(F.col("pass"), F.col("_source"), block_of(F.col("docs"))), 1, 16), F.substring(doc_key(F.col("pass")), 1, 16))
-    return rows.select(*keep, "pass", place.alias("place"))
+    rows = taken.withColumn("copies", copies).where("copies > 0").withColumn("pass", F.explode(F.sequence(F.lit(1), "copies")))
+    place = F.concat(F.substring(block_key(F.col("pass"), F.col("source"), block_of(F.col("docs"))), 1, 16), F.substring(doc_key(F.col("pass")), 1, 16))
+    return rows.select("row.*", "pass", place.alias("place"))
 
 
 def oracle(entropy: float) -> str:

@@ -91,9 +91,9 @@ def op7_rank_array_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pages as WARC records against a damaged replica: every record that differs."""
-    records = fixity.page_records(table(spark, sf_dir, "pages"))
-    found = fixity.audit(records, fixity.damaged(records))
+    """The pages stored as WARC records against a damaged stored replica: every record that differs, by the bytes read back."""
+    records = stored(fixity.page_records(table(spark, sf_dir, "pages")), "op8-first")
+    found = fixity.audit(records, stored(fixity.damaged(records), "op8-second"))
     return found.select("file", "ordinal", "kind", *(f"{side}_{c}" for side in ("first", "second") for c in ("start", "length", "digest")))
 
 

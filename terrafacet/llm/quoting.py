@@ -17,12 +17,14 @@ from terrafacet.llm.shared import stored
 
 # Quote marks before a line, and the line that announces a quotation.
 MARKS = r"^((?:[ \t]?>)+)[ \t]?(.*)$"
-ANNOUNCES = r"^(?:On .{1,200} wrote:|.{1,80} (?:schrieb|a écrit|escribió) ?:)\s*$"
+ANNOUNCES = r"(?md)^(?![ \t]?>)(?:On .{1,200} wrote:|.{1,80} (?:schrieb|a écrit|escribió) ?:)[^\S\n]*$(?=\n(?:[^\S\n]*\n)*[ \t]?>)"
+ANNOUNCED = "\r"  # put before an announcing line; no line holds one otherwise
 
 
 def parse_lines(text: Column) -> Column:
-    """level and content of every line."""
-    lines = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n"), "\n")
+    """level and content of every line. A line announces a quotation only if one follows it, but for blank lines."""
+    plain = F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n")
+    lines = F.split(F.regexp_replace(plain, ANNOUNCES, ANNOUNCED + "$0"), "\n")
 
     def parsed(line: Column) -> Column:
         marks = F.regexp_extract(line, MARKS, 1)
@@ -36,7 +38,7 @@ def passages(lines: Column) -> Column:
     """level and text of every run of lines of one level without a blank one; announcing lines are left out."""
 
     def blank(x: Column) -> Column:
-        return (F.trim(x["content"]) == "") | (x["level"] == 0) & x["content"].rlike(ANNOUNCES)
+        return (F.trim(x["content"]) == "") | x["content"].startswith(ANNOUNCED)
 
     def begins(x: Column, i: Column) -> Column:
         before = F.get(lines, i - 1)
@@ -59,7 +61,7 @@ def normalised(text: Column) -> Column:
 
 def own_text(lines: Column) -> Column:
     """The lines of level 0 without announcing ones, blank lines cut from both ends."""
-    own = F.filter(lines, lambda x: (x["level"] == 0) & ~x["content"].rlike(ANNOUNCES))
+    own = F.filter(lines, lambda x: (x["level"] == 0) & ~x["content"].startswith(ANNOUNCED))
     return F.regexp_replace(F.array_join(F.transform(own, lambda x: x["content"]), "\n"), r"^\s*\n|\s+$", "")
 
 

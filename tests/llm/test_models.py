@@ -231,6 +231,20 @@ def test_several_shards_copies_ties_and_unusable_vectors(spark, monkeypatch):
     assert set(found) == {0, 50, 100, 150, 200, 250}
 
 
+def test_scores_are_of_the_original_doubles_and_scaled_copies_tie(spark):
+    rng = np.random.default_rng(7)
+    rows = [(k, rng.normal(size=4).tolist()) for k in range(100, 140)]
+    rows += [(k, [v * 2.0**p for v in (0.1, 0.2, 0.3, 0.4)]) for k, p in zip(range(30), rng.permutation(np.arange(-15, 15)).tolist())]
+    rows += [(200, [1e200, 2e200, 0.0, 0.0]), (201, [1e-200, 2.0000001e-200, 0.0, 0.0])]
+    frame = spark.createDataFrame([(k, v, "x") for k, v in rows], "vec_id long, embedding array<double>, score string")
+    found: dict = {}
+    for r in sorted(hnsw.nearest(frame, frame.where("vec_id in (29, 200)"), 5).collect(), key=lambda r: (r.query_id, r.rank)):
+        found.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert [i for i, _ in found[29]] == [0, 1, 2, 3, 4] and len({s for _, s in found[29]}) == 1
+    a, b = (1.0, 2.0), (1.0, 2.0000001)
+    assert found[200][0][0] == 201 and found[200][0][1] == pytest.approx(sum(x * y for x, y in zip(a, b)) / math.hypot(*a) / math.hypot(*b), abs=1e-15)
+
+
 def test_no_vectors(spark):
     frame = spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>")
     assert hnsw.nearest(frame, frame, 5).collect() == []

@@ -13,7 +13,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from terrafacet.llm import fixity, media, mixing, queries, quoting
+from terrafacet.llm import fixity, media, mixing, queries, quoting, shared
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
@@ -31,6 +31,32 @@ def test_mixing_of_nulls_repeats_and_an_empty_table(spark):
     assert mixing.mix_sources(docs.where("false"), mixing.text_tokens(), entropy=0.9).collect() == []
 
 
+def test_mixing_leaves_columns_of_any_name_alone(spark):
+    """The names that the operator uses itself, in a table of its own."""
+    own = ["last", "docs", "cut", "rest", "passes", "row", "tokens", "copies", "_source", "bkey", "key"]
+    docs = spark.createDataFrame([(k, "ab"[k % 2], "x" * 40, *[f"{c}{k}" for c in own]) for k in range(30)], ["doc_id", "source", "text", *own])
+    found = mixing.mix_sources(docs, mixing.text_tokens(), entropy=0.9)
+    assert found.columns == [*docs.columns, "pass", "place"]
+    rows = found.collect()
+    assert rows and all(r[c] == f"{c}{r.doc_id}" for r in rows for c in own)
+
+
+def test_repetition_is_the_lowest_exponent_within_the_limit(spark):
+    """Against a bisection in plain Python: passes over the sources, and the weights."""
+    tokens, limit = {"a": 9000, "b": 700, "c": 100}, 1.5
+    share = {k: v / sum(tokens.values()) for k, v in tokens.items()}
+    low, high = 0.0, 1.0
+    for _ in range(60):
+        a = (low + high) / 2
+        norm = sum(p**a for p in share.values())
+        low, high = (a, high) if max(p ** (a - 1) / norm for p in share.values()) > limit else (low, a)
+    norm = sum(p**high for p in share.values())
+    sources = spark.createDataFrame([(k, v, 9) for k, v in tokens.items()], "source string, tokens long, docs long")
+    found = {r.source: r for r in mixing.source_weights(sources, repetition=limit).collect()}
+    assert all(found[k].weight == pytest.approx(share[k] ** high / norm) for k in tokens)
+    assert max(found[k].quota / tokens[k] for k in tokens) <= limit
+
+
 def test_weights_meet_the_entropy(spark):
     import math
 
@@ -55,6 +81,46 @@ def test_quotes_link_to_originals(spark):
     assert found[None].text == "" and quoting.link_replies(messages.where("false")).collect() == []
 
 
+def test_lines_that_announce_nothing_stay(spark):
+    texts = ["On balance the council wrote:\nkeep this", "On Monday x wrote:\n\n \n> gone\nkept", "Er schrieb:", "> On Monday y wrote:\n>> deeper\nkept too", "a\nOn Monday x wrote:\r\n> gone\r\nb", "b" * 100_000 + "\nOn it wrote:"]
+    messages = spark.createDataFrame([(1, k, "u", t, "x") for k, t in enumerate([*texts, texts[0]])], "conv_id long, turn long, role string, text string, lines string")
+    found = {r.turn: r.text for r in quoting.link_replies(messages).collect()}
+    assert [found[k] for k in range(7)] == [texts[0], "kept", texts[2], "kept too", "a\nb", texts[5], texts[0]]
+    repeated = quoting.link_replies(messages.union(messages)).collect()
+    assert len(repeated) == 14
+
+
+def test_audit_of_null_names_inserts_and_equal_bytes(spark):
+    """Against a plain alignment by name."""
+    bodies = {**{(0, k): b"same" if k % 3 else f"body {k}".encode() for k in range(0, 400, 2)}, (None, None): b"n", (None, 1): b"m", (2, None): b"o"}
+    other = {**bodies, (None, None): b"N", (2, None): b"O", (0, 51): b"same", (0, 101): b"same"}
+    del other[(0, 200)], other[(0, 20)]
+    schema = "file long, record long, bytes binary, digest string"
+    frames = [spark.createDataFrame([(*name, b, "x") for name, b in side.items()], schema) for side in (bodies, other)]
+    found = sorted(((r.file is not None, r.file, r.ordinal, r.kind) for r in fixity.audit(*frames).collect()), key=str)
+    want = []
+    order = lambda name: (name[1] is not None, name[1] or 0)
+    for file in (None, 0, 2):
+        names = sorted({n for side in (bodies, other) for n in side if n[0] == file}, key=order)
+        start = [0, 0]
+        for ordinal, name in enumerate(names):
+            a, b = (side.get(name) for side in (bodies, other))
+            kind = "missing" if b is None else "surplus" if a is None else "corrupt" if a != b else "moved" if start[0] != start[1] else None
+            if kind:
+                want.append((file is not None, file, ordinal, kind))
+            start = [start[0] + len(a or b""), start[1] + len(b or b"")]
+    assert found == sorted(want, key=str)
+
+
+def test_nothing_below_equal_branches_is_fetched(spark):
+    first = spark.createDataFrame([(f, k, f"{f} {k}".encode()) for f in range(3) for k in range(500)], "file long, record long, bytes binary")
+    second = first.withColumn("bytes", F.when((F.col("file") == 1) & (F.col("record") == 77), F.lit(b"X 77")).otherwise(F.col("bytes")))
+    with shared.Scratch(spark) as scratch:
+        leaves = [fixity.leaves_of(r, scratch) for r in (first, second)]
+        nodes = [fixity.tree(x, fixity.height_of(x)) for x in leaves]
+        assert [(r.file.file, r.ordinal) for r in fixity.differing_leaves(nodes, fixity.height_of(leaves[0])).collect()] == [(1, 77)]
+
+
 def test_audit_finds_planted_damage_alone(spark):
     rows = [(0, k, f"body {k}".encode()) for k in range(300)] + [(None, 1, None)]
     first = spark.createDataFrame(rows[:-1] + [(1, 1, None)], "file long, record long, bytes binary")

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from terrafacet.operators.order import numbered
+
 
 def keyword_search(df: DataFrame, columns: list[str], words: str) -> DataFrame:
     """Rows with the words in any of the columns, whatever their case."""
@@ -94,8 +96,8 @@ def upsert_names(known: DataFrame, names: DataFrame) -> DataFrame:
     """The name index (id, name) with new lower-cased names numbered on from the highest id, in order."""
     new = names.select(F.lower("name").alias("name")).where("name is not null").distinct().join(known.select("name"), "name", "left_anti")
     top = known.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    numbered = new.withColumn("n", F.row_number().over(Window.orderBy("name"))).crossJoin(F.broadcast(top))  # one row
-    return known.select("id", "name").unionByName(numbered.select((F.col("top") + F.col("n")).cast("int").alias("id"), "name"))
+    placed = numbered(new, [F.col("name")]).crossJoin(F.broadcast(top))  # one row
+    return known.select("id", "name").unionByName(placed.select((F.col("top") + F.col("n")).cast("int").alias("id"), "name"))
 
 
 def infer_type(df: DataFrame, column: str) -> DataFrame:
@@ -125,3 +127,142 @@ def quality_checks(layers: DataFrame) -> DataFrame:
     }
     broken = F.concat_ws(",", *(F.when(test, F.lit(rule)) for rule, test in rules.items()))
     return layers.select("id", broken.alias("broken")).where("broken != ''")
+
+
+def field_id(fields: DataFrame, layers: DataFrame, layer: int) -> DataFrame:
+    """One row, id: a new field id for a layer: prefix and number; if taken, prefix, the next count and the number in three places."""
+    kind = layers.where(F.col("id") == layer).select(F.when(F.lower("type") == "contextual", "cl").otherwise("el").alias("prefix"))
+    end = str(layer).rjust(3, "0")
+    rest = F.regexp_extract("id", rf"^..(\d+){end}$", 1)
+    joined = kind.join(fields.select("id"), F.substring("id", 1, 2) == F.col("prefix"), "left").groupBy("prefix").agg(
+        F.coalesce(F.bool_or(F.substring("id", 3, 100) == str(layer)), F.lit(False)).alias("taken"), F.coalesce(F.max(rest.try_cast("int")), F.lit(0)).alias("most")
+    )
+    return joined.select(F.when(F.col("taken"), F.concat("prefix", (F.col("most") + 1).cast("string"), F.lit(end))).otherwise(F.concat("prefix", F.lit(str(layer)))).alias("id"))
+
+
+def layer_number(field: Column) -> Column:
+    """The layer number in a field id of up to six characters, null for other texts."""
+    return F.when(F.length(field) <= 6, F.substring(field, 3, 4).try_cast("int"))
+
+
+def typed(column: str, kind: str) -> Column:
+    """A text column as INT, LONG, FLOAT, DOUBLE or STRING: whole numbers may be cut from decimals; what doesn't read is null, as is 'n/a'."""
+    text = F.trim(F.col(column).cast("string"))
+    given = F.when(~text.isin("", "n/a"), text)
+    if kind == "STRING":
+        return given
+    number = given.try_cast("double")
+    if kind in ("INT", "LONG"):
+        whole = "int" if kind == "INT" else "long"
+        return F.coalesce(given.try_cast(whole), F.when(number >= 0, F.floor(number)).otherwise(F.ceil(number)).try_cast(whole))
+    return number if kind == "DOUBLE" else given.try_cast("float")
+
+
+def masked(df: DataFrame, mask: DataFrame, columns: list[str], key: str = "pt") -> DataFrame:
+    """Columns of the rows that a mask (a table of keys) lets through."""
+    return df.join(mask.select(key).distinct(), key, "left_semi").select(*columns)
+
+
+def user_data_search(headers: DataFrame, every: dict[str, str], any_: dict[str, str], start: int = 0, limit: int | None = None) -> DataFrame:
+    """Rows whose columns equal all of `every` (description without case, as a pattern) and one of `any_`, by id."""
+    tests = [F.col(c).ilike(v) if c == "description" else F.col(c) == v for c, v in every.items()]
+    ors = [F.col(c) == v for c, v in any_.items()]
+    found = headers.where(where_all([*tests, reduce(lambda a, b: a | b, ors) if ors else None])).orderBy("id").offset(start)
+    return found if limit is None else found.limit(limit)
+
+
+def list_refs(data: DataFrame, header: str, kind: str) -> DataFrame:
+    """ref of a header's data of one type: those of a facet ('id:facet') without its name, or those of none."""
+    number, _, facet = header.partition(":")
+    rows = data.where((F.col("header") == int(number)) & (F.col("data_type") == kind))
+    if facet:
+        return rows.where(F.col("ref").endswith(" " + facet)).select(F.replace("ref", F.lit(" " + facet), F.lit("")).alias("ref"))
+    return rows.where(~F.col("ref").contains(" ")).select("ref")
+
+
+def resolved_url(path: Column, base: str, mark: str) -> Column:
+    """A path below a base address; another text has its mark replaced by the address."""
+    return F.when(path.startswith("/"), F.concat(F.lit(base), path)).otherwise(F.replace(path, F.lit(mark), F.lit(base)))
+
+
+def names_then_objects(names: DataFrame, objects: DataFrame, words: str, limit: int) -> DataFrame:
+    """The first objects of names in order of the place of the words, name and pid."""
+    ranked = names.withColumn("place", F.locate(words.lower(), F.lower("name"))).where("place > 0")
+    met = ranked.join(objects.select("pid", F.lower("name").alias("name"), "fid"), "name")
+    return met.orderBy("place", "name", "pid").limit(limit).select("pid", "name", "fid", "place")
+
+
+def with_classes(found: DataFrame, classes: DataFrame, limit: int) -> DataFrame:
+    """Search results, and raster classes after them if there are fewer than the limit; the classes aren't cut."""
+    room = found.agg((F.count("*") < limit).alias("room"))
+    return found.unionByName(classes.crossJoin(F.broadcast(room)).where("room").drop("room"))  # one row
+
+
+def numeric_order(names: DataFrame, prefix: str = "__f") -> DataFrame:
+    """name and place: names of the prefix by their number, then all others by text, from 0."""
+    number = F.when(F.col("name").startswith(prefix), F.regexp_extract("name", r"(\d+)$", 1).try_cast("int"))
+    order = [F.col("number").asc_nulls_last(), F.col("name")]
+    return numbered(names.withColumn("number", number), order, "place").select("name", (F.col("place") - 1).alias("place"))
+
+
+def insert_absent(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """A table with the rows whose keys it doesn't hold; null keys are keys, of rows that repeat one any stays."""
+    named = [F.struct(*keys).alias("key_"), F.struct(*table.columns).alias("row_")]
+    new = rows.select(*table.columns).dropDuplicates(keys).select(*named).join(table.select(named[0]), "key_", "left_anti")
+    return table.unionByName(new.select("row_.*"))
+
+
+def replace_rows(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """A table in which rows replace those of their keys, or join them."""
+    return delete_rows(table, rows, keys).unionByName(rows.select(*table.columns))
+
+
+def delete_rows(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """A table without the rows whose keys are among those of `rows`; null keys are keys."""
+    gone = rows.select(F.struct(*keys).alias("key_")).distinct()
+    return table.withColumn("key_", F.struct(*keys)).join(gone, "key_", "left_anti").select(*table.columns)
+
+
+def delete_field(fields: DataFrame, objects: DataFrame, field: str) -> tuple[DataFrame, DataFrame]:
+    """Fields and objects without a field and its objects."""
+    return fields.where(F.col("id") != field), objects.where(F.col("fid") != field)
+
+
+def add_task(tasks: DataFrame, new: DataFrame) -> DataFrame:
+    """Tasks with those added of which none of the same name and json waits."""
+    waiting = tasks.where("started is null")
+    fresh = insert_absent(waiting, new, ["name", "json"])
+    return tasks.where("started is not null").unionByName(fresh)
+
+
+def start_tasks(tasks: DataFrame, ids: DataFrame, now: Column) -> DataFrame:
+    """The tasks of `ids` started now, unless they already were."""
+    marked = tasks.join(ids.select("id", F.lit(True).alias("hit")).distinct(), "id", "left")
+    return marked.withColumn("started", F.when(F.col("hit"), F.coalesce("started", now)).otherwise(F.col("started"))).select(*tasks.columns)
+
+
+def reset_tasks(tasks: DataFrame) -> DataFrame:
+    """Tasks that began and never ended wait again."""
+    return tasks.withColumn("started", F.when(F.col("finished").isNotNull(), F.col("started")))
+
+
+def next_task(tasks: DataFrame, most: int) -> DataFrame:
+    """The oldest waiting task of at most a size."""
+    return tasks.where(F.col("started").isNull() & (F.coalesce("size", F.lit(0)) <= most)).orderBy("created", "id").limit(1)
+
+
+def registry(fields: DataFrame, layers: DataFrame) -> DataFrame:
+    """key and field: how a source is found: by field id, and by layer name and layer id the default field, or the least."""
+    joined = fields.join(layers.select(F.col("id").cast("string").alias("spid"), F.col("name").alias("layer")), "spid")
+    first = F.min_by("id", F.struct(~F.coalesce("defaultlayer", F.lit(False)), "id"))
+    by_id = joined.select(F.col("id").alias("key"), F.col("id").alias("field"))
+    by_name = joined.groupBy(F.col("layer").alias("key")).agg(first.alias("field"))
+    by_number = joined.groupBy(F.col("spid").alias("key")).agg(first.alias("field"))
+    return by_id.unionByName(by_name).unionByName(by_number)
+
+
+def nested(fields: DataFrame, layers: DataFrame) -> DataFrame:
+    """field and layer: joined rows as two structs."""
+    a = fields.select(F.struct(*fields.columns).alias("field"))
+    b = layers.select(F.struct(*layers.columns).alias("layer"))
+    return a.join(b, F.col("field.spid") == F.col("layer.id").cast("string"))

@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from terrafacet.operators.order import numbered, running
 
 CLASSES = 10
 
@@ -52,8 +53,12 @@ def histogram(df: DataFrame, value: str) -> DataFrame:
 def equal_size(df: DataFrame, value: str) -> DataFrame:
     """k and cutoff: classes of equal numbers of distinct values, each the largest of its class."""
     ranked = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("value")).distinct()
-    numbered = ranked.withColumn("k", F.ntile(CLASSES).over(Window.orderBy("value")))
-    return numbered.groupBy("k").agg(F.max("value").alias("cutoff"))
+    placed = numbered(ranked, [F.col("value")])
+    placed = placed.crossJoin(F.broadcast(placed.agg(F.count("*").alias("all"))))  # one row
+    # the first classes take one more while some are left over
+    each, over = F.floor(F.col("all") / CLASSES), F.col("all") % CLASSES
+    k = F.when(F.col("n") <= over * (each + 1), F.ceil(F.col("n") / (each + 1))).otherwise(over + F.ceil((F.col("n") - over * (each + 1)) / each))
+    return placed.groupBy(k.cast("int").alias("k")).agg(F.max("value").alias("cutoff"))
 
 
 def equal_area(df: DataFrame, value: str) -> DataFrame:
@@ -62,8 +67,7 @@ def equal_area(df: DataFrame, value: str) -> DataFrame:
     A value goes to the class in which the middle of its records falls.
     """
     counted = histogram(df, value)
-    so_far = F.sum("n").over(Window.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
-    placed = counted.withColumn("end", so_far).crossJoin(F.broadcast(counted.agg(F.sum("n").alias("all"))))  # one row
+    placed = running(counted, F.col("n"), [F.col("value")], "end").crossJoin(F.broadcast(counted.agg(F.sum("n").alias("all"))))  # one row
     k = F.least(F.floor((F.col("end") - F.col("n") / 2) * CLASSES / F.col("all")) + 1, F.lit(CLASSES)).cast("int")
     return placed.groupBy(k.alias("k")).agg(F.max("value").alias("cutoff"))
 
@@ -90,5 +94,5 @@ def best(df: DataFrame, value: str) -> DataFrame:
 def categories(df: DataFrame, value: str, colours: int) -> DataFrame:
     """value, records and colour number by falling records, ties by value; the last colour is used again."""
     counted = df.groupBy(F.col(value).alias("value")).agg(F.count("*").alias("records"))
-    rank = F.row_number().over(Window.orderBy(F.desc("records"), "value"))
-    return counted.withColumn("colour", F.least(rank, F.lit(colours)))
+    ranked = numbered(counted, [F.desc("records"), F.col("value")], "rank")
+    return ranked.withColumn("colour", F.least("rank", F.lit(colours)).cast("int")).drop("rank")

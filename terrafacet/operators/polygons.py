@@ -143,6 +143,37 @@ def nearest(objects: DataFrame, x: float, y: float, k: int) -> DataFrame:
     return found.withColumn("metres", measure.sphere_distance(F.lit(x), F.lit(y), F.col("x"), F.col("y"))).withColumn("azimuth", measure.azimuth(F.lit(x), F.lit(y), F.col("x"), F.col("y")))
 
 
+def within_degrees(rings: DataFrame, x: float, y: float, metres: float) -> DataFrame:
+    """oid and distance of the objects within a radius that is turned into plane degrees, at 111 km a degree."""
+    place = rings.sparkSession.range(1).select(F.col("id").alias("pt"), F.lit(x).alias("x"), F.lit(y).alias("y"))
+    return near(place, rings, metres / 1.11 * 1e-5).select("oid", "distance")
+
+
+def places_in(places: DataFrame, rings: DataFrame, oid: int | None = None) -> DataFrame:
+    """The places (pid, x, y, ...) inside a layer, or inside one object of it."""
+    return within_area(places, rings if oid is None else rings.where(F.col("oid") == oid))
+
+
+def object_contains(rings: DataFrame, oid: int, x: float, y: float) -> DataFrame:
+    """One row: whether an object holds a place."""
+    place = rings.sparkSession.range(1).select(F.col("id").alias("pt"), F.lit(x).alias("x"), F.lit(y).alias("y"))
+    return contains(place, rings.where(F.col("oid") == oid)).agg((F.count("*") > 0).alias("inside"))
+
+
+def at_location(points: DataFrame, rings: DataFrame, classes: DataFrame, lattice, layer: str) -> DataFrame:
+    """pt and pid: the first object that holds a point; where none does, `layer`:class of a class raster; else null."""
+    cell = points.select("pt", lattice.cell(F.col("x"), F.col("y")).alias("cell")).join(classes.select("cell", F.col("value").cast("int").alias("class")), "cell", "left")
+    hits = first_hit(points.select("pt", "x", "y"), rings).select("pt", "oid")
+    pid = F.coalesce(F.col("oid").cast("string"), F.when(F.col("class").isNotNull(), F.concat_ws(":", F.lit(layer), F.col("class").cast("string"))))
+    return hits.join(cell, "pt").select("pt", pid.alias("pid"))
+
+
+def by_layer_value(objects: DataFrame, cells: DataFrame, lattice, test: Column) -> DataFrame:
+    """The point objects whose raster value passes a test of column `value`."""
+    placed = objects.withColumn("cell", lattice.cell(F.col("x"), F.col("y")))
+    return placed.join(cells.where(test).select("cell").distinct(), "cell", "left_semi").drop("cell")
+
+
 def numbered_hits(hits: DataFrame) -> DataFrame:
     """All hits of a point with their rank in file order."""
     return hits.withColumn("rank", F.row_number().over(Window.partitionBy("pt").orderBy("oid")))

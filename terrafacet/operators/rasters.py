@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from terrafacet.functions.measure import cell_area
+from terrafacet.session import settle
 
 
 @dataclass(frozen=True)
@@ -44,11 +45,12 @@ class Lattice:
 
 
 def sample(points: DataFrame, cells: DataFrame, lattice: Lattice) -> DataFrame:
-    """Points (pt, x, y) with layer and value of each layer; a point off the lattice or on no data has a null value."""
+    """Points (pt, x, y) with layer and value of each layer, a row for each row of points; off the lattice or on no data the value is null."""
     layers = cells.select("layer").distinct()
     placed = points.select("pt", lattice.cell(F.col("x"), F.col("y")).alias("cell"))
-    hits = placed.join(cells.select("layer", "cell", "value"), "cell").select("pt", "layer", "value")
-    return placed.select("pt").crossJoin(F.broadcast(layers)).join(hits, ["pt", "layer"], "left")  # a row per layer
+    by_cell = cells.groupBy("cell").agg(F.map_from_entries(F.collect_list(F.struct("layer", "value"))).alias("held"))  # an entry per layer
+    met = placed.join(by_cell, "cell", "left").crossJoin(F.broadcast(layers))  # a row per layer
+    return met.select("pt", "layer", F.expr("held[layer]").alias("value"))
 
 
 def sample_classes(points: DataFrame, cells: DataFrame, names: DataFrame, lattice: Lattice) -> DataFrame:
@@ -119,14 +121,15 @@ def components(cells: DataFrame, same: str = "value") -> DataFrame:
     Labels move to neighbours and jump to their label's label, so rounds grow with
     the logarithm of the diameter of usual shapes; each round is checkpointed.
     """
-    now = cells.select("cell", "row", "col", same).where(F.col(same).isNotNull()).withColumn("component", F.col("cell")).checkpoint()
+    now = cells.select("cell", "row", "col", same).where(F.col(same).isNotNull()).withColumn("component", F.col("cell"))
+    now = settle(now)
     steps = F.explode(F.array(*(F.struct(F.lit(r).alias("dr"), F.lit(c).alias("dc")) for r, c in ((0, 1), (1, 0), (0, -1), (-1, 0)))))
     while True:
         sent = now.withColumn("d", steps).select((F.col("row") + F.col("d.dr")).alias("row"), (F.col("col") + F.col("d.dc")).alias("col"), same, F.col("component").alias("heard"))
         heard = sent.groupBy("row", "col", same).agg(F.min("heard").alias("heard"))
         moved = now.join(heard, ["row", "col", same], "left").select("cell", "row", "col", same, F.least("component", "heard").alias("to"), F.col("component").alias("was"))
         jump = moved.groupBy(F.col("was").alias("root")).agg(F.min("to").alias("lower"))
-        after = moved.join(jump, moved["to"] == jump["root"], "left").select("cell", "row", "col", same, F.least("to", "lower").alias("component"), (F.least("to", "lower") != F.col("was")).alias("changed")).checkpoint()
+        after = settle(moved.join(jump, moved["to"] == jump["root"], "left").select("cell", "row", "col", same, F.least("to", "lower").alias("component"), (F.least("to", "lower") != F.col("was")).alias("changed")))
         if after.where("changed").isEmpty():
             return after.drop("changed")
         now = after.drop("changed")
@@ -147,3 +150,52 @@ def region_mask(lattice: Lattice, spark_range: DataFrame, rings: DataFrame) -> D
     centres = spark_range.select(F.col("id").cast("int").alias("pt"), row.alias("row"), col.alias("col")).withColumn("x", lattice.x + (F.col("col") + 0.5) * lattice.dx).withColumn("y", lattice.south(F.col("row")) + lattice.dy / 2)
     hits = contains(centres, rings).select("pt").distinct()
     return centres.join(hits, "pt", "left_semi").select(F.col("pt").alias("cell"), "row", "col")
+
+
+def minmax(cells: DataFrame, rescale: float = 1.0) -> DataFrame:
+    """layer, low and high of the cells with data, times a factor."""
+    return cells.where(F.col("value").isNotNull() & ~F.isnan("value")).groupBy("layer").agg((F.min("value") * F.lit(rescale).cast("float")).alias("low"), (F.max("value") * F.lit(rescale).cast("float")).alias("high"))
+
+
+def translate(cells: DataFrame, values: DataFrame) -> DataFrame:
+    """Cells with their value replaced where `values` (old, new) has another for it."""
+    joined = cells.join(values.select(F.col("old").cast("float").alias("value"), F.col("new").cast("float").alias("new")), "value", "left")
+    return joined.select("layer", "cell", F.coalesce("new", "value").alias("value"))
+
+
+def merge_classes(names: DataFrame) -> DataFrame:
+    """class, class_name and merged: one number, the least of its classes, for all classes of a name."""
+    least = names.groupBy("class_name").agg(F.min("class").alias("merged"))
+    return names.join(least, "class_name").select("class", "class_name", "merged")
+
+
+def snap_extent(low: Column, high: Column, resolution: float) -> tuple[Column, Column]:
+    """An interval shrunk to multiples of a resolution, at least two cells wide; ends that are multiples stay."""
+    down = F.ceil(low / resolution) * resolution
+    up = F.floor(high / resolution) * resolution
+    return down, F.greatest(up, down + 2 * resolution)
+
+
+def common_extent(boxes: DataFrame) -> DataFrame:
+    """x0, y0, x9, y9 of what all boxes share; no row if they share no area."""
+    shared = boxes.agg(F.max("x0").alias("x0"), F.max("y0").alias("y0"), F.min("x9").alias("x9"), F.min("y9").alias("y9"))
+    return shared.where("x0 < x9 and y0 < y9")
+
+
+def resolution_of(registry: DataFrame, wanted: float) -> DataFrame:
+    """layer and the finest resolution that isn't finer than the wanted one, of a table (layer, resolution); a layer without one is left out."""
+    return registry.where(F.col("resolution") >= wanted).groupBy("layer").agg(F.min("resolution").alias("resolution"))
+
+
+def common_resolution(registry: DataFrame) -> DataFrame:
+    """The finest resolution that every layer has, whatever its size."""
+    layers = registry.agg(F.count_distinct("layer").alias("all"))
+    held = registry.groupBy("resolution").agg(F.count_distinct("layer").alias("n"))
+    return held.join(F.broadcast(layers), F.col("n") == F.col("all")).agg(F.min("resolution").alias("resolution"))  # one row
+
+
+def row_starts(points: DataFrame, lattice: Lattice) -> DataFrame:
+    """row, records and start: how many records lie in a raster row, and in the rows north of it."""
+    counted = points.select(F.floor(lattice.cell(F.col("x"), F.col("y")) / lattice.columns).cast("int").alias("row")).where("row is not null").groupBy("row").agg(F.count("*").alias("records"))
+    so_far = F.sum("records").over(Window.orderBy("row").rowsBetween(Window.unboundedPreceding, 0))  # a row per raster row
+    return counted.withColumn("start", so_far - F.col("records"))

@@ -60,3 +60,27 @@ def pairs_to_process(fields: DataFrame, layers: DataFrame, done: DataFrame) -> D
     a, b = (named.select(F.col("id").alias(f"fid{k}"), F.col("domain").alias(f"d{k}")) for k in (1, 2))
     same = F.col("d1").isNull() | F.col("d2").isNull() | F.arrays_overlap("d1", "d2")
     return a.join(b, (F.col("fid1") < F.col("fid2")) & same).select("fid1", "fid2").join(done, ["fid1", "fid2"], "left_anti")
+
+
+def raster_pair_records(a: DataFrame, b: DataFrame, records: DataFrame, lattice: Lattice) -> DataFrame:
+    """value1, value2, area (km2), occurrences and species of two rasters on one lattice and records (x, y, species); 0 where there are none."""
+    other = b.where("value is not null").select("cell", F.col("value").cast("int").alias("value2"))
+    both = a.where("value is not null").select("cell", "row", F.col("value").cast("int").alias("value1")).join(other, "cell")
+    areas = both.groupBy("value1", "value2").agg(F.sum(lattice.area(F.col("row"))).alias("area"))
+    placed = records.select(lattice.cell(F.col("x"), F.col("y")).alias("cell"), "species").where("cell is not null")
+    found = placed.join(both.select("cell", "value1", "value2"), "cell").groupBy("value1", "value2").agg(F.count("*").alias("occurrences"), F.count_distinct("species").alias("species"))
+    return areas.join(found, ["value1", "value2"], "left").na.fill(0, ["occurrences", "species"])
+
+
+def named_tabulation(tabulation: DataFrame, objects: DataFrame) -> DataFrame:
+    """A tabulation with name1 and name2 of its pids; of several names of a pid the least, null without one."""
+    names = objects.groupBy("pid").agg(F.min("name").alias("name"))
+    for k in (1, 2):
+        tabulation = tabulation.join(names.select(F.col("pid").alias(f"pid{k}"), F.col("name").alias(f"name{k}")), f"pid{k}", "left")
+    return tabulation
+
+
+def distance_pairs(fields: DataFrame, layers: DataFrame, done: DataFrame) -> DataFrame:
+    """fid1 < fid2 of the fields of environmental layers of a common domain whose distance isn't known yet."""
+    usable = layers.where("type = 'Environmental'")
+    return pairs_to_process(fields.withColumn("analysis", F.lit(True)), usable, done)

@@ -525,3 +525,6 @@ def type_inference(objects):
         one = catalog.infer_type(objects, column).select(F.lit(column).alias("field"), "type")
         found = one if found is None else found.unionByName(one)
     return found
+
+
+from terrafacet.plans import areas, records  # noqa: E402, F401 (they register their queries)

@@ -30,6 +30,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """`df` cut from its lineage in the shared checkpoint folder; an own folder where the setting is unset on one machine."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir("file:///tmp/checkpoints")
+    return df.checkpoint()
+
+
 def ship_package(spark: SparkSession) -> None:
     """Give the executors this package, once per application, so that Python tasks can import it wherever they run."""
     application = spark.sparkContext.applicationId

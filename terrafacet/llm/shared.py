@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch that Python handles at a time; bounds a worker's memory.
 BATCH_ROWS = 256
+#: Rows of one Arrow batch between Spark and Python; bounds what both hold of long texts.
+ARROW_ROWS = 1024
 #: Ids of one broadcast of with_ids, and the number of broadcasts up to which it makes them.
 BROADCAST_IDS, ID_PASSES = 2_000_000, 16
 
@@ -94,7 +96,10 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterato
 
 
 def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, rows: int = BATCH_ROWS) -> DataFrame:
-    """Apply `f` to small Arrow batches."""
+    """Apply `f` to small Arrow batches. Spark sends ARROW_ROWS at a time, unless the session asks for another number than Spark's default."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, rows):

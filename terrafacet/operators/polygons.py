@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from terrafacet.functions import measure
+from terrafacet.session import settle
 
 CELL = 2.0
 
@@ -60,9 +61,26 @@ def cells_of(low: Column, high: Column, cell: float) -> Column:
 
 
 def candidates(points: DataFrame, shape: DataFrame, cell: float = CELL, margin: float = 0.0) -> DataFrame:
-    """Pairs of a point (pt, x, y) and an object whose box, grown by `margin`, holds it."""
+    """Pairs of a point (pt, x, y) and an object whose box, grown by `margin`, holds it.
+
+    A cell takes along only edges that matter to its points: in `parts` those over
+    its column that don't end south of it, for a ray to the north, and in `close`
+    those within `margin` of it.
+    """
+    slack = cell * 1e-6  # a place on the border of a cell may be rounded into it
+    east_west = lambda e: [F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"])]
+    north_south = lambda e: [F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"])]
+
+    def meets(ends: list[Column], k: Column, by: float) -> Column:
+        return (ends[0] <= (k + 1) * cell + by) & (ends[1] >= k * cell - by)
+
+    kx, ky = F.col("kx"), F.col("ky")
     grown = shape.withColumn("kx", F.explode(cells_of(F.col("x0") - margin, F.col("x9") + margin, cell)))
+    grown = grown.withColumn("close", F.filter(F.flatten("parts"), lambda e: meets(east_west(e), kx, margin + slack)))
+    grown = grown.withColumn("parts", F.transform("parts", lambda part: F.filter(part, lambda e: meets(east_west(e), kx, slack))))
     grown = grown.withColumn("ky", F.explode(cells_of(F.col("y0") - margin, F.col("y9") + margin, cell)))
+    grown = grown.withColumn("close", F.filter("close", lambda e: meets(north_south(e), ky, margin + slack)))
+    grown = grown.withColumn("parts", F.transform("parts", lambda part: F.filter(part, lambda e: north_south(e)[1] >= ky * cell - slack)))
     keyed = points.withColumn("kx", F.floor(F.col("x") / cell)).withColumn("ky", F.floor(F.col("y") / cell))
     near = keyed.join(grown, ["kx", "ky"])
     in_box = F.col("x").between(F.col("x0") - margin, F.col("x9") + margin) & F.col("y").between(F.col("y0") - margin, F.col("y9") + margin)
@@ -85,8 +103,7 @@ def first_hit(points: DataFrame, rings: DataFrame, order: str = "oid", cell: flo
     return points.join(hits.select("pt.x", "pt.y", "oid"), ["x", "y"], "left")
 
 
-def part_distance(parts: Column, px: Column, py: Column) -> Column:
-    edges = F.flatten(parts)
+def edge_distance(edges: Column, px: Column, py: Column) -> Column:
     return F.array_min(F.transform(edges, lambda e: measure.segment_distance(px, py, e["x1"], e["y1"], e["x2"], e["y2"])))
 
 
@@ -94,19 +111,43 @@ def near(points: DataFrame, rings: DataFrame, distance: float, cell: float = CEL
     """pt, oid and distance (plane degrees, 0 inside) of every object within a distance of a point."""
     pairs = candidates(points.select("pt", "x", "y"), shapes(rings), cell, distance)
     x, y = F.col("x"), F.col("y")
-    far = F.when(inside(F.col("parts"), x, y), 0.0).otherwise(part_distance(F.col("parts"), x, y))
+    far = F.when(inside(F.col("parts"), x, y), 0.0).otherwise(edge_distance(F.col("close"), x, y))
     return pairs.select("pt", "oid", far.alias("distance")).where(F.col("distance") <= distance)
 
 
-def outliers(points: DataFrame, rings: DataFrame) -> DataFrame:
+def outliers(points: DataFrame, rings: DataFrame, cell: float = CELL) -> DataFrame:
     """pt and distance to the nearest object, of the points outside all objects but inside their common box.
 
-    All objects are one range, as the map of a species' distribution is: one row, which every point meets.
+    All objects are one range, as the map of a species' distribution is. Each
+    distinct place looks for edges as far as a cell's width; the width doubles for
+    the places that found none so near.
     """
-    whole = shapes(rings).agg(F.flatten(F.collect_list("parts")).alias("parts"), *bounds())
-    pairs = points.select("pt", "x", "y").join(F.broadcast(whole), F.col("x").between(F.col("x0"), F.col("x9")) & F.col("y").between(F.col("y0"), F.col("y9")))
-    x, y = F.col("x"), F.col("y")
-    return pairs.where(~inside(F.col("parts"), x, y)).select("pt", part_distance(F.col("parts"), x, y).alias("distance")).where("distance > 0")
+    box = rings.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()  # one row
+    if box[0] is None:
+        return points.select("pt", F.lit(0.0).alias("distance")).limit(0)
+    shape = shapes(rings)
+    edges = shape.select(F.explode(F.flatten("parts")).alias("e")).select("e.*")
+    places = points.where(F.col("x").between(box[0], box[2]) & F.col("y").between(box[1], box[3])).select("x", "y").distinct()
+    held = contains(places.withColumn("pt", F.struct("x", "y")), rings, cell).select("pt.x", "pt.y").distinct()
+    open_ = settle(places.join(held, ["x", "y"], "left_anti"))
+    reach, found = cell, []
+    while not open_.isEmpty():
+        keyed = open_.withColumn("kx", F.floor(F.col("x") / reach)).withColumn("ky", F.floor(F.col("y") / reach))
+        spread = edges.withColumn("kx", F.explode(cells_of(F.least("x1", "x2") - reach, F.greatest("x1", "x2") + reach, reach)))
+        spread = spread.withColumn("ky", F.explode(cells_of(F.least("y1", "y2") - reach, F.greatest("y1", "y2") + reach, reach)))
+        far = measure.segment_distance(F.col("x"), F.col("y"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
+        least = keyed.join(spread, ["kx", "ky"]).groupBy("x", "y").agg(F.min(far).alias("distance")).where(F.col("distance") <= reach)
+        now = settle(open_.join(least, ["x", "y"], "left"))
+        found.append(now.where("distance is not null"))
+        if reach > (box[2] - box[0]) + (box[3] - box[1]):  # no edge at all
+            break
+        open_, reach = now.where("distance is null").select("x", "y"), reach * 2
+    if not found:
+        return points.select("pt", F.lit(0.0).alias("distance")).limit(0)
+    every = found[0]
+    for some in found[1:]:
+        every = every.unionByName(some)
+    return points.join(every.where("distance > 0"), ["x", "y"]).select("pt", "distance")
 
 
 def overlapping_boxes(a: DataFrame, b: DataFrame, cell: float = CELL) -> DataFrame:

@@ -152,6 +152,40 @@ def region_mask(lattice: Lattice, spark_range: DataFrame, rings: DataFrame) -> D
     return centres.join(hits, "pt", "left_semi").select(F.col("pt").alias("cell"), "row", "col")
 
 
+def cell_states(rings: DataFrame, lattice: Lattice) -> DataFrame:
+    """oid, cell, row, col and state of the lattice cells that an object covers in part or in full.
+
+    'partial': an edge passes through the inside of the cell; 'full': none does and
+    the cell lies in the object. An edge along the border of a cell doesn't pass
+    through it. Other cells have no row.
+    """
+    from terrafacet.operators.polygons import contains
+
+    ahead = rings.select("oid", "part", "ring", (F.col("i") - 1).alias("i"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    edges = rings.withColumnsRenamed({"x": "x1", "y": "y1"}).join(ahead, ["oid", "part", "ring", "i"])
+
+    def crossed(low: Column, high: Column, start: float, step: float, most: int) -> Column:
+        """The cells of one axis whose inside an interval meets."""
+        first, last = F.greatest(F.floor((low - start) / step), F.lit(0)), F.least(F.ceil((high - start) / step) - 1, F.lit(most - 1))
+        return F.explode(F.when(first <= last, F.sequence(first, last)))
+
+    by_col = edges.withColumn("col", crossed(F.least("x1", "x2"), F.greatest("x1", "x2"), lattice.x, lattice.dx, lattice.columns))
+    west = F.lit(lattice.x) + F.col("col") * lattice.dx
+    slope = F.when(F.col("x1") != F.col("x2"), (F.col("y2") - F.col("y1")) / (F.col("x2") - F.col("x1")))
+    inside = [F.coalesce(F.col("y1") + (x - F.col("x1")) * slope, F.col(y)) for x, y in ((F.greatest(F.least("x1", "x2"), west), "y1"), (F.least(F.greatest("x1", "x2"), west + lattice.dx), "y2"))]
+    by_cell = by_col.select("oid", "col", crossed(F.least(*inside), F.greatest(*inside), lattice.y, lattice.dy, lattice.rows).alias("up"))
+    partial = by_cell.distinct().select("oid", (F.lit(lattice.rows - 1) - F.col("up")).cast("int").alias("row"), F.col("col").cast("int").alias("col"))
+    partial = partial.withColumn("cell", F.col("row") * lattice.columns + F.col("col"))
+
+    col, row = (F.col("id") % lattice.columns).cast("int"), F.floor(F.col("id") / lattice.columns).cast("int")
+    centres = rings.sparkSession.range(lattice.columns * lattice.rows).select(F.col("id").cast("int").alias("pt"), (lattice.x + (col + 0.5) * lattice.dx).alias("x"), (lattice.south(row) + lattice.dy / 2).alias("y"))
+    held = contains(centres, rings).select("oid", F.col("pt").alias("cell"))
+    full = held.join(partial.select("oid", "cell"), ["oid", "cell"], "left_anti")
+    full = full.select("oid", F.floor(F.col("cell") / lattice.columns).cast("int").alias("row"), (F.col("cell") % lattice.columns).alias("col"), "cell")
+    states = partial.withColumn("state", F.lit("partial")).unionByName(full.withColumn("state", F.lit("full")))
+    return states.select("oid", "cell", "row", "col", "state")
+
+
 def minmax(cells: DataFrame, rescale: float = 1.0) -> DataFrame:
     """layer, low and high of the cells with data, times a factor."""
     return cells.where(F.col("value").isNotNull() & ~F.isnan("value")).groupBy("layer").agg((F.min("value") * F.lit(rescale).cast("float")).alias("low"), (F.max("value") * F.lit(rescale).cast("float")).alias("high"))

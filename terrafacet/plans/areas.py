@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from terrafacet.functions import colours, wkt
-from terrafacet.operators import overlay, polygons, rasters
-from terrafacet.plans.catalogue import BOTH, CELL, FOCUS, LATTICE, hits_sql, query
+from terrafacet.operators import outlines, overlay, polygons, rasters
+from terrafacet.plans.catalogue import BOTH, CELL, FOCUS, LATTICE, MASK, RANGES, hits_sql, query
 
 # The areas of rings as text, by string aggregation.
 RING_TEXT = "rt AS (SELECT oid, part, ring, string_agg(cast(x AS varchar) || ' ' || cast(y AS varchar), ',' ORDER BY i) AS t FROM {0} GROUP BY ALL)"
@@ -166,6 +166,61 @@ def merged_classes(names):
     return rasters.merge_classes(names.withColumn("class_name", F.when(F.col("class_name").isin("Crop", "Grass"), "Field").otherwise(F.col("class_name"))))
 
 
+# Components by reachability; rings and corners by how many of a component's cells meet at a lattice point: a ring turns by four
+# corners to the left, a hole by four to the right.
+OUTLINED = """edges AS (SELECT a.cell AS a, b.cell AS b FROM kept a JOIN kept b ON a.value = b.value AND abs(a.row - b.row) + abs(a.col - b.col) = 1),
+    reach(cell, seen) AS (SELECT cell, cell FROM kept UNION SELECT e.a, r.seen FROM reach r JOIN edges e ON e.b = r.cell WHERE r.seen < e.a),
+    comp AS (SELECT k.cell, k.row, k.col, min(r.seen) AS component FROM kept k JOIN reach r USING (cell) GROUP BY ALL),
+    meet AS (SELECT component, x, y, count(*) AS n, count(*) = 2 AND sum(a) = 1 AND sum(b) = 1 AS crosswise
+      FROM (SELECT component, col + a AS x, row + b AS y, a, b FROM comp, (VALUES (0), (1)) AS u(a), (VALUES (0), (1)) AS v(b)) GROUP BY ALL),
+    turns AS (SELECT component, count(CASE WHEN n = 1 THEN 1 END) AS l, count(CASE WHEN n = 3 THEN 1 END) + 2 * count(CASE WHEN crosswise THEN 1 END) AS r FROM meet GROUP BY component)
+    SELECT component, cast(2 - (l - r) // 4 AS bigint) AS rings, cast(l + r AS bigint) AS corners, count(*) * 0.25e0 AS degrees2
+    FROM turns JOIN comp USING (component) GROUP BY component, l, r"""
+
+
+def outlined(cells):
+    """Rings, corners and size of the polygons of each component, by way of their text."""
+    text = overlay.areas_of(outlines.outlines(rasters.components(cells), LATTICE)).select("oid", wkt.to_wkt(F.col("geometry")).alias("wkt"))
+    area = text.select("oid", wkt.from_wkt(F.col("wkt")).alias("g"))
+    rings = F.flatten("g")
+    corners = F.aggregate(rings, F.lit(0).cast("long"), lambda n, r: n + F.size(r) - 1)
+    return area.select(F.col("oid").alias("component"), F.size(rings).cast("long").alias("rings"), corners.alias("corners"), wkt.plane_area(F.col("g")).alias("degrees2"))
+
+
+@query("raster", "kept AS (SELECT cell, row, col, cast(floor(value / 100000) AS int) AS value FROM raster), " + OUTLINED)
+def raster_outlines(raster):
+    return outlined(raster.withColumn("value", F.floor(F.col("value") / 100_000).cast("int")))
+
+
+@query("raster raster2", f"kept AS (SELECT cell, row, col, 1 AS value FROM ({MASK})), " + OUTLINED)
+def envelope_outlines(raster, raster2):
+    return outlined(rasters.envelope([raster, raster2], RANGES).withColumn("value", F.lit(1)))
+
+
+LATTICE_SQL = "lat AS (SELECT cast(c AS int) AS c, cast(u AS int) AS u, 112 + c * 0.5e0 AS c0, -44 + u * 0.5e0 AS r0 FROM range(80) AS a(c), range(70) AS b(u))"
+SIDE = "(x2 - x1) * (r0 + {b} - y1) - (y2 - y1) * (c0 + {a} - x1)"
+SIDES = ", ".join(SIDE.format(a=a, b=b) for a in ("0", "0.5e0") for b in ("0", "0.5e0"))
+
+
+def states_sql(edge: str) -> str:
+    centre = hits_sql(edge).replace("FROM occ JOIN", "FROM (SELECT (69 - u) * 80 + c AS pt, c0 + 0.25e0 AS x, r0 + 0.25e0 AS y FROM lat) JOIN")
+    return f"""{LATTICE_SQL}, {centre},
+    partial AS (SELECT DISTINCT oid, (69 - u) * 80 + c AS cell FROM lat JOIN {edge} ON greatest(x1, x2) > c0 AND least(x1, x2) < c0 + 0.5e0
+      AND greatest(y1, y2) > r0 AND least(y1, y2) < r0 + 0.5e0 AND greatest({SIDES}) > 0 AND least({SIDES}) < 0),
+    states AS (SELECT oid, cell, 'partial' AS state FROM partial UNION ALL SELECT oid, pt, 'full' FROM hits WHERE (oid, pt) NOT IN (SELECT (oid, cell) FROM partial))
+    SELECT oid, cell, cast(floor(cell / 80) AS int) AS row, cell % 80 AS col, state FROM states"""
+
+
+@query("ring edge", states_sql("edge"))
+def cell_states(ring, _):
+    return rasters.cell_states(ring, LATTICE)
+
+
+@query("box box_edge", states_sql("box_edge"))
+def cell_states_holes(box, _):
+    return rasters.cell_states(box, LATTICE)
+
+
 # -- colours
 
 PLACE = "(value - low) / (high - low) * 10"

@@ -115,9 +115,9 @@ def within_radius(objects):
     return polygons.within_radius(objects, *FOCUS, 500_000).select("pid", F.round("metres", 3).alias("metres"))
 
 
-@query("object", f"SELECT pid, round({HAVERSINE}, 3) AS metres FROM object ORDER BY sqrt(pow(x - {FOCUS[0]}, 2) + pow(y - {FOCUS[1]}, 2)), pid LIMIT 10")
+@query("object", f"SELECT pid, round({HAVERSINE}, 3) AS metres, round((360 + degrees(atan2(x - {FOCUS[0]}, y - {FOCUS[1]}))) - 360 * floor((360 + degrees(atan2(x - {FOCUS[0]}, y - {FOCUS[1]}))) / 360), 6) AS azimuth FROM object ORDER BY sqrt(pow(x - {FOCUS[0]}, 2) + pow(y - {FOCUS[1]}, 2)), pid LIMIT 10")
 def k_nearest(objects):
-    return polygons.nearest(objects, *FOCUS, 10).select("pid", F.round("metres", 3).alias("metres"))
+    return polygons.nearest(objects, *FOCUS, 10).select("pid", F.round("metres", 3).alias("metres"), F.round("azimuth", 6).alias("azimuth"))
 
 
 # -- rasters ------------------------------------------------------------------
@@ -505,9 +505,15 @@ def legend_sizes(raster):
     return legends.sizes(raster, "value", legends.even(raster, "value")).select("k", F.round("cutoff", 4).alias("cutoff"), "records", "uniques")
 
 
-@query("raster")
+@query("raster", ENDS + """, cut AS (
+      SELECT 0 AS rank, 'log10' AS name, k, CASE WHEN k = 10 THEN high ELSE pow(10, log10(low) + (log10(high) - log10(low)) * (k / 10)) END AS cutoff FROM ends, ks
+      UNION ALL SELECT 1, 'even', k, CASE WHEN k = 10 THEN high ELSE low + (high - low) * (k / 10) END FROM ends, ks
+      UNION ALL SELECT 2, 'log', k, CASE WHEN k = 10 THEN high ELSE exp(ln(low) + (ln(high) - ln(low)) * (k / 10)) END FROM ends, ks),
+    span AS (SELECT rank, name, k, cutoff, lag(cutoff) OVER (PARTITION BY rank ORDER BY k) AS above FROM cut),
+    sized AS (SELECT rank, name, k, count(value) AS n FROM span LEFT JOIN (SELECT cast(value AS double) AS value FROM raster) ON value <= cutoff AND (above IS NULL OR value > above) GROUP BY ALL)
+    SELECT name, round(stddev_pop(n), 6) AS deviation FROM sized GROUP BY rank, name ORDER BY stddev_pop(n), rank LIMIT 1""")
 def legend_best(raster):
-    return legends.best(raster, "value")
+    return legends.best(raster, "value").select("name", F.round("deviation", 6).alias("deviation"))
 
 
 @query("occ", "SELECT value, records, cast(least(row_number() OVER (ORDER BY records DESC, value), 3) AS int) AS colour FROM (SELECT kind AS value, count(*) AS records FROM occ GROUP BY kind)")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrafacet.functions import colours, wkt
-from terrafacet.operators import catalog, facets, overlay, rasters
+from terrafacet.operators import catalog, facets, outlines, overlay, rasters
 from terrafacet.sources import grids, records
 
 SQUARE = "POLYGON((0 0,4 0,4 4,0 4,0 0),(1 1,2 1,2 2,1 2,1 1))"
@@ -126,3 +126,23 @@ def test_tasks_and_user_data(spark):
     assert [r.id for r in catalog.user_data_search(heads, {"description": "old%"}, {"user_id": "u"}).collect()] == [1]
     kept = catalog.delete_rows(heads, heads.where("id = 2"), ["id"])
     assert kept.columns == heads.columns and sorted(r.id for r in kept.collect()) == [1, 3]
+
+
+def test_outlines_of_holes_corner_touches_and_repeats(spark):
+    #  a ring of cells that touches itself by a corner alone, and a lone cell beside it
+    picture = ["XXX.", "X.X.", "XX.X", "...."]
+    cells = [(1 if (r, c) != (2, 3) else 9, r, c) for r, line in enumerate(picture) for c, x in enumerate(line) if x == "X"]
+    frame = spark.createDataFrame([*cells, cells[0], (None, 0, 0), (1, None, 0)], "component int, row int, col int")
+    found = outlines.outlines(frame, rasters.Lattice(10.0, 20.0, 1.0, 1.0, 4, 4))
+    texts = {r.oid: r.t for r in overlay.areas_of(found).select("oid", wkt.to_wkt(F.col("geometry")).alias("t")).collect()}
+    assert texts[9] == "POLYGON((13.0 21.0,14.0 21.0,14.0 22.0,13.0 22.0,13.0 21.0))"
+    assert texts[1].count("(") == 3 and texts[1].endswith(",(11.0 22.0,11.0 23.0,12.0 23.0,12.0 22.0,11.0 22.0))")
+    assert one(spark, wkt.plane_area(wkt.from_wkt(F.col("t"))), t=texts[1]) == 7.0
+    assert outlines.outlines(frame.limit(0), rasters.Lattice(0.0, 0.0, 1.0, 1.0, 4, 4)).count() == 0
+
+
+def test_cell_states_of_a_slanted_shape(spark):
+    ring = [(0.0, 0.0), (3.0, 0.0), (3.0, 3.0), (0.0, 0.0)]
+    rings = spark.createDataFrame([(1, 0, 0, i, x, y) for i, (x, y) in enumerate(ring)], "oid long, part int, ring int, i int, x double, y double")
+    found = {(r.row, r.col): r.state for r in rasters.cell_states(rings, rasters.Lattice(0.0, 0.0, 1.0, 1.0, 4, 3)).collect()}
+    assert found == {(2, 0): "partial", (1, 1): "partial", (0, 2): "partial", (2, 1): "full", (2, 2): "full", (1, 2): "full"}

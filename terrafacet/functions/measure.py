@@ -125,6 +125,19 @@ def pixel_y(y: Column, zoom: int = PIXEL_ZOOM) -> Column:
     return F.round(half - half / math.pi * F.log((1 + s) / (1 - s)) / 2).cast("long")
 
 
+def pixel_distance(x1: Column, y1: Column, x2: Column, y2: Column, zoom: int) -> Column:
+    """Whole pixels between two places at a zoom level."""
+    dx, dy = pixel_x(x1) - pixel_x(x2), pixel_y(y1) - pixel_y(y2)
+    return F.shiftright(F.floor(F.sqrt(dx * dx + dy * dy)).cast("long"), PIXEL_ZOOM - zoom)
+
+
+def clamped_ring(ring: Column) -> Column:
+    """A ring with longitudes within 180 and latitudes within 90 degrees, closed if it wasn't."""
+    inside = F.transform(ring, lambda v: F.struct(F.greatest(F.lit(-180.0), F.least(F.lit(180.0), v["x"])).alias("x"), F.greatest(F.lit(-90.0), F.least(F.lit(90.0), v["y"])).alias("y")))
+    first = F.get(inside, 0)
+    return F.when(first == F.get(inside, F.size(inside) - 1), inside).otherwise(F.concat(inside, F.array(first)))
+
+
 def circle(x: Column, y: Column, metres: Column, points: int = 360) -> Column:
     """A closed ring at a distance around a place; moved east by 360 degrees if it crosses the western end."""
     angle = metres / EARTH_RADIUS

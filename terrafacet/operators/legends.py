@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrafacet.operators.order import numbered, running
+from terrafacet.session import settle
 
 CLASSES = 10
 
@@ -91,8 +92,28 @@ def best(df: DataFrame, value: str) -> DataFrame:
     return found.orderBy("deviation", "rank").limit(1).select("name", "deviation")
 
 
-def categories(df: DataFrame, value: str, colours: int) -> DataFrame:
+def categories(df: DataFrame, value: str, most: int) -> DataFrame:
     """value, records and colour number by falling records, ties by value; the last colour is used again."""
     counted = df.groupBy(F.col(value).alias("value")).agg(F.count("*").alias("records"))
     ranked = numbered(counted, [F.desc("records"), F.col("value")], "rank")
-    return ranked.withColumn("colour", F.least("rank", F.lit(colours)).cast("int")).drop("rank")
+    return ranked.withColumn("colour", F.least("rank", F.lit(most)).cast("int")).drop("rank")
+
+
+def by_type(df: DataFrame, value: str, most: int = CLASSES) -> DataFrame:
+    """name and records: of a numeric column the ranges of equal_area, with 'n/a' for what is no number; of another its values, of which all beyond the first `most` are one 'n more'."""
+    if df.schema[value].dataType.simpleString() in ("string", "boolean", "date", "timestamp"):
+        ranked = categories(df, value, most)
+        counted = ranked.groupBy("colour").agg(F.count("*").alias("all"), F.min(F.col("value").cast("string")).alias("one"), F.sum("records").alias("records"))
+        return counted.select("colour", F.when(F.col("all") == 1, F.col("one")).otherwise(F.concat(F.col("all").cast("string"), F.lit(" more"))).alias("name"), "records")
+    number = F.col(value).cast("double")
+    known = df.where(number.isNotNull() & ~F.isnan(number))
+    cutoffs = settle(equal_area(known, value))
+    text = F.array_sort(F.collect_list("cutoff"))
+    limits = cutoffs.agg(text.alias("all"))  # CLASSES at most
+    inside = sizes(known, value, cutoffs).crossJoin(F.broadcast(limits))
+    low = F.when(F.col("k") == 1, "*").otherwise(F.get("all", F.col("k") - 2).cast("string"))
+    high = F.when(F.col("k") == F.size("all"), "*").otherwise(F.col("cutoff").cast("string"))
+    named = inside.select(F.col("k").alias("colour"), F.concat(F.lit(f"{value}:["), low, F.lit(" TO "), high, F.lit("]")).alias("name"), "records")
+    unknown = df.where(number.isNull() | F.isnan(number)).agg(F.count("*").alias("records")).where("records > 0")
+    return named.unionByName(unknown.select(F.lit(0).alias("colour"), F.lit("n/a").alias("name"), "records"))
+

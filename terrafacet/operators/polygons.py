@@ -18,6 +18,7 @@ from terrafacet.functions import measure
 from terrafacet.session import settle
 
 CELL = 2.0
+PIXEL_CELL = float(1 << 21)  # some one and a half degrees at the equator
 
 
 def shapes(rings: DataFrame) -> DataFrame:
@@ -93,6 +94,12 @@ def contains(points: DataFrame, rings: DataFrame, cell: float = CELL) -> DataFra
     return pairs.where(inside(F.col("parts"), F.col("x"), F.col("y"))).select("pt", "oid")
 
 
+def contains_in_pixels(points: DataFrame, rings: DataFrame) -> DataFrame:
+    """As contains, over whole Web Mercator pixels."""
+    pixels = {"x": measure.pixel_x(F.col("x")).cast("double"), "y": measure.pixel_y(F.col("y")).cast("double")}
+    return contains(points.withColumns(pixels), rings.withColumns(pixels), PIXEL_CELL)
+
+
 def first_hit(points: DataFrame, rings: DataFrame, order: str = "oid", cell: float = CELL) -> DataFrame:
     """Every point with the object that comes first in `order` of those that hold it; null if none does.
 

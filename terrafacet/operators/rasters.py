@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -152,6 +152,26 @@ def region_mask(lattice: Lattice, spark_range: DataFrame, rings: DataFrame) -> D
     return centres.join(hits, "pt", "left_semi").select(F.col("pt").alias("cell"), "row", "col")
 
 
+def centres(spark: SparkSession, lattice: Lattice) -> DataFrame:
+    """pt (the cell), x and y of the middle of every lattice cell."""
+    col, row = (F.col("id") % lattice.columns).cast("int"), F.floor(F.col("id") / lattice.columns).cast("int")
+    return spark.range(lattice.columns * lattice.rows).select(F.col("id").cast("int").alias("pt"), (lattice.x + (col + 0.5) * lattice.dx).alias("x"), (lattice.south(row) + lattice.dy / 2).alias("y"))
+
+
+def rasterise(rings: DataFrame, lattice: Lattice) -> DataFrame:
+    """cell, row, col and oid of the cells whose middle lies in an object; of several objects the least."""
+    from terrafacet.operators.polygons import contains
+
+    found = contains(centres(rings.sparkSession, lattice), rings).groupBy(F.col("pt").alias("cell")).agg(F.min("oid").alias("oid"))
+    return found.select("cell", F.floor(F.col("cell") / lattice.columns).cast("int").alias("row"), (F.col("cell") % lattice.columns).alias("col"), "oid")
+
+
+def resample(cells: DataFrame, n: int) -> DataFrame:
+    """layer, row, col and mean value of blocks of n by n cells, over the cells with data."""
+    block = [F.floor(F.col(c) / n).cast("int").alias(c) for c in ("row", "col")]
+    return cells.where("value is not null").groupBy("layer", *block).agg(F.avg(F.col("value").cast("double")).alias("value"))
+
+
 def cell_states(rings: DataFrame, lattice: Lattice) -> DataFrame:
     """oid, cell, row, col and state of the lattice cells that an object covers in part or in full.
 
@@ -177,9 +197,7 @@ def cell_states(rings: DataFrame, lattice: Lattice) -> DataFrame:
     partial = by_cell.distinct().select("oid", (F.lit(lattice.rows - 1) - F.col("up")).cast("int").alias("row"), F.col("col").cast("int").alias("col"))
     partial = partial.withColumn("cell", F.col("row") * lattice.columns + F.col("col"))
 
-    col, row = (F.col("id") % lattice.columns).cast("int"), F.floor(F.col("id") / lattice.columns).cast("int")
-    centres = rings.sparkSession.range(lattice.columns * lattice.rows).select(F.col("id").cast("int").alias("pt"), (lattice.x + (col + 0.5) * lattice.dx).alias("x"), (lattice.south(row) + lattice.dy / 2).alias("y"))
-    held = contains(centres, rings).select("oid", F.col("pt").alias("cell"))
+    held = contains(centres(rings.sparkSession, lattice), rings).select("oid", F.col("pt").alias("cell"))
     full = held.join(partial.select("oid", "cell"), ["oid", "cell"], "left_anti")
     full = full.select("oid", F.floor(F.col("cell") / lattice.columns).cast("int").alias("row"), (F.col("cell") % lattice.columns).alias("col"), "cell")
     states = partial.withColumn("state", F.lit("partial")).unionByName(full.withColumn("state", F.lit("full")))

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from terrafacet.functions import colours, wkt
-from terrafacet.operators import outlines, overlay, polygons, rasters
+from terrafacet.functions import colours, measure, wkt
+from terrafacet.operators import legends, outlines, overlay, polygons, rasters, sampling
 from terrafacet.plans.catalogue import BOTH, CELL, FOCUS, LATTICE, MASK, RANGES, hits_sql, query
 
 # The areas of rings as text, by string aggregation.
@@ -236,3 +236,66 @@ def colour_ramp(raster):
     ends = raster.agg(F.min("value").cast("double").alias("low"), F.max("value").cast("double").alias("high"))
     colour = colours.ramp(F.col("value").cast("double"), F.col("low"), F.col("high"))
     return raster.crossJoin(F.broadcast(ends)).select("cell", colours.rgb_text(colour).alias("rgb"))  # one row
+
+
+EQUAL_AREA = """h AS (SELECT cast(species AS double) AS value, count(*) AS n FROM occ WHERE species <> 5 GROUP BY 1),
+    c AS (SELECT *, sum(n) OVER (ORDER BY value) AS ends, sum(n) OVER () AS everything FROM h),
+    g AS (SELECT cast(least(floor((ends - n / 2) * 10 / everything) + 1, 10) AS int) AS k, max(value) AS cutoff, sum(n) AS n FROM c GROUP BY 1),
+    o AS (SELECT row_number() OVER (ORDER BY cutoff) AS k, n, lag(cutoff) OVER (ORDER BY cutoff) AS low, cutoff, lead(cutoff) OVER (ORDER BY cutoff) AS more FROM g)"""
+
+
+@query("occ", EQUAL_AREA + """ SELECT cast(k AS int) AS colour, 'species:[' || coalesce(cast(low AS varchar), '*') || ' TO ' || CASE WHEN more IS NULL THEN '*' ELSE cast(cutoff AS varchar) END || ']' AS name, cast(n AS bigint) AS records FROM o
+    UNION ALL SELECT 0, 'n/a', count(*) FROM occ WHERE species = 5""")
+def legend_of_numbers(occ):
+    return legends.by_type(occ.withColumn("species", F.when(F.col("species") != 5, F.col("species"))), "species")
+
+
+@query("occ", """c AS (SELECT species, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, 's' || species) AS r FROM occ GROUP BY species)
+    SELECT cast(r AS int) AS colour, 's' || species AS name, n AS records FROM c WHERE r < 10
+    UNION ALL SELECT 10, count(*) || ' more', cast(sum(n) AS bigint) FROM c WHERE r >= 10""")
+def legend_of_texts(occ):
+    return legends.by_type(occ.withColumn("species", F.concat(F.lit("s"), F.col("species").cast("string"))), "species")
+
+
+# -- pixels, rings and samples
+
+PIXEL_Y = "round(268435456e0 - 268435456e0 / pi() * ln((1 + sin(radians({y}))) / (1 - sin(radians({y})))) / 2)"
+PIXEL_X = "round(268435456e0 + {x} * (268435456e0 / 180))"
+
+
+@query("object", f"p AS (SELECT pid, {PIXEL_X.format(x='x')} - {PIXEL_X.format(x='132.5e0')} AS a, {PIXEL_Y.format(y='y')} - {PIXEL_Y.format(y='(-27.25e0)')} AS b FROM object) SELECT pid, cast(floor(sqrt(a * a + b * b)) AS bigint) >> 13 AS pixels FROM p")
+def pixel_distances(objects):
+    x, y = (F.lit(v) for v in FOCUS)
+    return objects.select("pid", measure.pixel_distance(F.col("x"), F.col("y"), x, y, 8).alias("pixels"))
+
+
+@query("occ edge ring", f"pocc AS (SELECT pt, {PIXEL_X.format(x='x')} AS x, {PIXEL_Y.format(y='y')} AS y FROM occ), pedge AS (SELECT oid, part, {PIXEL_X.format(x='x1')} AS x1, {PIXEL_Y.format(y='y1')} AS y1, {PIXEL_X.format(x='x2')} AS x2, {PIXEL_Y.format(y='y2')} AS y2 FROM edge), " + hits_sql("pedge").replace("FROM occ JOIN", "FROM pocc JOIN") + " SELECT pt, oid FROM hits")
+def pip_pixels(occ, _, ring):
+    return polygons.contains_in_pixels(occ, ring)
+
+
+@query("ring", "SELECT oid, i, greatest(-180, least(180, x * 1.2e0)) AS x, greatest(-90, least(90, y * 3)) AS y FROM ring")
+def clamped_rings(ring):
+    v = F.transform(F.array_sort(F.collect_list(F.struct("i", "x", "y"))), lambda p: F.struct((p["x"] * 1.2).alias("x"), (p["y"] * 3).alias("y")))
+    open_ = ring.where("i < 4").groupBy("oid").agg(v.alias("v"))
+    return open_.select("oid", F.posexplode(measure.clamped_ring(F.col("v"))).alias("i", "p")).select("oid", "i", "p.x", "p.y")
+
+
+@query("box box_edge", LATTICE_SQL + "," + hits_sql("box_edge").replace("FROM occ JOIN", "FROM (SELECT (69 - u) * 80 + c AS pt, c0 + 0.25e0 AS x, r0 + 0.25e0 AS y FROM lat) JOIN") + " SELECT pt AS cell, cast(floor(pt / 80) AS int) AS row, pt % 80 AS col, min(oid) AS oid FROM hits GROUP BY pt")
+def rasterised(box, _):
+    return rasters.rasterise(box, LATTICE)
+
+
+@query("raster", "SELECT layer, cast(floor(row / 4) AS int) AS row, cast(floor(col / 4) AS int) AS col, round(avg(cast(value AS double)), 4) AS value FROM raster GROUP BY ALL")
+def raster_resampled(raster):
+    return rasters.resample(raster, 4).withColumn("value", F.round("value", 4))
+
+
+@query("occ ring edge diamond raster classes classname", hits_sql("edge") + f""", c AS (SELECT pt, {CELL} AS cell FROM occ), h AS (SELECT pt, min(oid) AS oid FROM hits GROUP BY pt)
+    SELECT pt, 'cl9' AS field, 'Diamonds' AS layername, coalesce(name, '') AS value, cast(oid AS varchar) AS pid, CAST(NULL AS varchar) AS units FROM occ LEFT JOIN h USING (pt) LEFT JOIN diamond USING (oid)
+    UNION ALL SELECT pt, 'el1', 'Elevation', coalesce(cast(floor(value) AS varchar), ''), NULL, 'm' FROM c LEFT JOIN raster USING (cell)
+    UNION ALL SELECT pt, 'cl3', 'Cover', coalesce(class_name, ''), CASE WHEN class_name IS NOT NULL THEN '77:' || class END, NULL FROM c LEFT JOIN (SELECT cell, cast(value AS int) AS class FROM classes) USING (cell) LEFT JOIN classname USING (class)""")
+def rich_samples(occ, ring, _, diamond, raster, classes, names):
+    found = sampling.of_polygons(occ, ring, diamond, "cl9", "Diamonds")
+    found = found.unionByName(sampling.of_raster(occ, raster.withColumn("value", F.floor("value").cast("float")), LATTICE, "el1", "Elevation", "m"))
+    return found.unionByName(sampling.of_classes(occ, classes, names, LATTICE, "cl3", "Cover", "77"))

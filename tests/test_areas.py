@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrafacet.functions import colours, wkt
-from terrafacet.operators import catalog, facets, outlines, overlay, rasters
+from terrafacet.operators import catalog, facets, outlines, overlay, rasters, sampling
 from terrafacet.sources import grids, records
 
 SQUARE = "POLYGON((0 0,4 0,4 4,0 4,0 0),(1 1,2 1,2 2,1 2,1 1))"
@@ -146,3 +146,19 @@ def test_cell_states_of_a_slanted_shape(spark):
     rings = spark.createDataFrame([(1, 0, 0, i, x, y) for i, (x, y) in enumerate(ring)], "oid long, part int, ring int, i int, x double, y double")
     found = {(r.row, r.col): r.state for r in rasters.cell_states(rings, rasters.Lattice(0.0, 0.0, 1.0, 1.0, 4, 3)).collect()}
     assert found == {(2, 0): "partial", (1, 1): "partial", (0, 2): "partial", (2, 1): "full", (2, 2): "full", (1, 2): "full"}
+
+
+def test_analysis_layer_ids(spark):
+    cases = {
+        "species_12": ("12", "maxent/12/12", "Prediction"),
+        "aloc_a_b": ("a_b", "aloc/a_b/aloc", "Classification"),
+        "odensity_7": ("7", "sitesbyspecies/7/occurrence_density", "Occurrence Density"),
+        "7_srichness": ("7", "sitesbyspecies/7/species_richness", "Species Richness"),
+        "1_2_odensity": ("1", "gdm/1/2_odensityTran", "Transformed 2_odensity"),
+        "envelope_9": ("9", "envelope/9/envelope", "Environmental Envelope"),
+        "gdm_el1Tran_33": ("33", "gdm/33/el1Tran", "Transformed el1"),
+        "33_el1": ("33", "gdm/33/el1Tran", "Transformed el1"),
+        "el1": None,
+    }
+    rows = spark.createDataFrame([(k,) for k in cases], "id string").select("id", sampling.analysis_layer(F.col("id")).alias("a")).collect()
+    assert {r.id: r.a and tuple(r.a) for r in rows} == cases

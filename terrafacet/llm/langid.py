@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from terrafacet.llm.shared import map_arrow
@@ -166,21 +167,26 @@ def fit(languages: list[str], labels: list[int], buckets: list[np.ndarray], coun
 
 
 def predict(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
-    """`keep` columns with lang_pred, score and accepted for every row.
+    """`keep` columns (one or more, of any names) with lang_pred, score and accepted for every row.
 
-    A null text and one without a letter are `und` with score 0 and not accepted.
+    A null or empty text and one without a letter are `und` with score 0 and not
+    accepted. A very long text is read whole. Rows that repeat are each judged, with
+    the same result, and an empty table has none.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS * MAX_LANGUAGES floats at most
-    kept = docs.select(*keep, F.col("text").alias("_text"))
+    carried = "text" in keep  # then it travels once
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("keep"), *([] if carried else [F.col("text").cast("string").alias("text")]))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [shipped.value.predict(t) for t in batch.column("_text").to_pylist()]
+        texts = batch.column("keep").field("text") if carried else batch.column("text")
+        found = [shipped.value.predict(t) for t in texts.to_pylist()]
         more = [
             pa.array([x for x, _ in found], pa.string()),
             pa.array([s for _, s in found], pa.float64()),
             pa.array([x != UNDETERMINED and s >= shipped.value.reject for x, s in found], pa.bool_()),
         ]
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *more], names=[*keep, "lang_pred", "score", "accepted"])
+        return pa.RecordBatch.from_arrays([batch.column("keep"), *more], names=["keep", "lang_pred", "score", "accepted"])
 
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.drop("_text").schema)
-    return map_arrow(kept, run, fields + "lang_pred string, score double, accepted boolean")
+    schema = StructType([rows.schema["keep"]]).add("lang_pred", "string").add("score", "double").add("accepted", "boolean")
+    found = map_arrow(rows, run, schema)
+    return found.select("keep.*", "lang_pred", "score", "accepted")

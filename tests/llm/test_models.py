@@ -33,6 +33,35 @@ def test_language_of_odd_texts_and_without_training_rows(spark):
     assert found == dict.fromkeys([1, 2, 3, 4], ("und", 0.0, False))
 
 
+def test_language_of_repeated_rows_long_texts_and_columns_of_any_name(spark):
+    rng = np.random.default_rng(2)
+    prose = lambda sounds, n: " ".join("".join(rng.choice(sounds, 3)) for _ in range(n))
+    sounds = {"aa": ["ka", "lo", "mi"], "bb": ["xy", "zu", "wä"]}
+    rows = [(k, prose(sounds[x], 40), x) for k, x in enumerate(["aa", "bb"] * 40)]
+    more = [(7, rows[7][1], "bb"), (100, prose(sounds["aa"], 120_000), None), (101, "kaka 9" * 3, None)]
+    docs = spark.createDataFrame(rows + more, "doc_id long, text string, lang string").selectExpr("*", "1 AS `_text`", "2 AS keep", "'x' AS `a b.c`")
+    model = langid.train(docs, F.lit(True))
+    found = langid.predict(docs, model, "doc_id", "text", "_text", "keep", "a b.c").collect()
+    assert len(found) == len(rows) + len(more)
+    for r in found:
+        assert (r.lang_pred, pytest.approx(r.score)) == model.predict(r.text) and r.accepted == (r.score >= model.reject)
+    assert [r.lang_pred for r in found if r.doc_id == 7] == ["bb", "bb"] and [r.lang_pred for r in found if r.doc_id == 100] == ["aa"]
+    assert langid.predict(docs.where("false"), model, "doc_id").collect() == []
+
+
+def test_calibration_rejects_what_is_unlike_the_held_back_texts():
+    """fit keeps every fifth text of a language back; their right answers' scores set the score below which it rejects."""
+    rng = np.random.default_rng(9)
+    texts = [(x, " ".join("".join(rng.choice(s, 3)) for _ in range(30))) for x, s in enumerate((["ka", "lo"], ["xy", "zu"])) for _ in range(60)]
+    buckets, counts = zip(*(np.unique(langid.subwords(t), return_counts=True) for _, t in texts))
+    model = langid.fit(["aa", "bb"], [x for x, _ in texts], list(buckets), list(counts), 1)
+    held = [t for x in (0, 1) for t in [t for y, t in texts if y == x][4::5]]
+    scores = sorted(model.predict(t)[1] for t in held)
+    assert model.reject == pytest.approx(min(langid.MOST_STRICT, scores[int((1 - langid.KEEP) * len(scores))]), rel=1e-5)
+    assert all(model.predict(t)[0] == ("aa", "bb")[x] for x, t in texts)
+    assert 0.25 <= model.temperature <= 8
+
+
 # -- Kneser-Ney
 
 

@@ -128,10 +128,14 @@ def quantile(values: list[float], q: float) -> float:
     return sorted(values)[max(0, math.ceil(q * len(values)) - 1)]
 
 
+def held(doc_id: int) -> bool:
+    """Whether a document is kept out of the counts."""
+    return zlib.crc32(str(doc_id).encode()) % kneser_ney.HELD_OUT_FOLDS == 0
+
+
 def test_thresholds_and_decisions_equal_a_plain_form(spark):
     """Three languages: one with many held-out trusted documents, one with few, one with none in the held-out folds."""
     rng = np.random.default_rng(8)
-    held = lambda d: zlib.crc32(str(d).encode()) % kneser_ney.HELD_OUT_FOLDS == 0
     free = [d for d in range(1000, 1100) if not held(d)]
     langs = {**{d: "a" for d in range(150)}, **{d: "b" for d in range(150, 190)}, **{d: "c" for d in free[:20]}}
     docs = [(d, " ".join(rng.choice(["ka", "lo", "mi", "ne", "ru"], rng.integers(3, 40))), lang) for d, lang in langs.items()]

@@ -51,26 +51,96 @@ def histogram(df: DataFrame, value: str) -> DataFrame:
     return df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("value")).agg(F.count("*").alias("n"))
 
 
+def positions(df: DataFrame, value: str) -> DataFrame:
+    """value, n, rank from 1, and the records before (start) and up to (end) each distinct value."""
+    ranked = numbered(histogram(df.where(~F.isnan(F.col(value).cast("double"))), value), [F.col("value")], "rank")
+    return settle(running(ranked, F.col("n"), [F.col("value")], "end").withColumn("start", F.col("end") - F.col("n")))
+
+
 def equal_size(df: DataFrame, value: str) -> DataFrame:
-    """k and cutoff: classes of equal numbers of distinct values, each the largest of its class."""
-    ranked = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("value")).distinct()
-    placed = numbered(ranked, [F.col("value")])
-    placed = placed.crossJoin(F.broadcast(placed.agg(F.count("*").alias("all"))))  # one row
-    # the first classes take one more while some are left over
-    each, over = F.floor(F.col("all") / CLASSES), F.col("all") % CLASSES
-    k = F.when(F.col("n") <= over * (each + 1), F.ceil(F.col("n") / (each + 1))).otherwise(over + F.ceil((F.col("n") - over * (each + 1)) / each))
-    return placed.groupBy(k.cast("int").alias("k")).agg(F.max("value").alias("cutoff"))
+    """k and cutoff: classes of equal numbers of distinct values, what is left dealt anew after each.
+
+    A class whose last value has one record also takes the next value if that has
+    more, and the count of what is left doesn't see it. The last class ends at the
+    maximum; classes without values are left out. The ranks at which a class may
+    end are known from the number of values, so at most CLASSES ** 2 rows meet.
+    """
+    placed = positions(df, value)
+    ends = placed.agg(F.count("*").alias("all"), F.max("value").alias("high"))
+
+    def deal(done: Column, k: Column) -> Column:
+        return F.concat(done, F.array(F.element_at(done, -1) + F.ceil((F.col("all") - F.element_at(done, -1)) / (CLASSES + 1 - k))))
+
+    dealt = F.aggregate(F.sequence(F.lit(1), F.lit(CLASSES)), F.array(F.lit(0).cast("long")), deal)
+    ends = ends.withColumn("dealt", dealt)
+    # as many values as classes ended before may have been taken on the way
+    near = placed.join(F.broadcast(ends.select(F.posexplode("dealt").alias("k", "at"))), F.col("rank").between(F.col("at"), F.col("at") + F.col("k")))
+    known = near.groupBy().agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("rank", F.struct("value", "n"))))).alias("known"))
+
+    def end(state: Column, k: Column) -> Column:
+        at = F.get("dealt", k) + state["taken"]
+        own, after = F.try_element_at("known", at), F.try_element_at("known", at + 1)
+        takes = F.coalesce((own["n"] == 1) & (after["n"] > 1), F.lit(False))
+        ended = F.coalesce((at < F.col("all")) | (own["n"] > 1) & (F.get("dealt", k) > F.get("dealt", k - 1)), F.lit(False))
+        cutoff = F.struct(k.alias("k"), F.when(takes, after["value"]).otherwise(own["value"]).alias("cutoff"))
+        return F.struct((state["taken"] + takes.cast("long")).alias("taken"), F.when(ended, F.array_append(state["found"], cutoff)).otherwise(state["found"]).alias("found"))
+
+    none = F.struct(F.lit(0).cast("long").alias("taken"), F.expr("cast(array() as array<struct<k: int, cutoff: double>>)").alias("found"))
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(CLASSES - 1)), none, end)["found"]
+    last = F.array(F.struct(F.lit(CLASSES).alias("k"), F.col("high").alias("cutoff")))
+    return ends.crossJoin(F.broadcast(known)).where("all > 0").select(F.inline(F.concat(found, last)))  # one row each
+
+
+SCALES = (200, 20)  # powers of 1.2 by which a step is made smaller and larger: enough for 10^16 records
 
 
 def equal_area(df: DataFrame, value: str) -> DataFrame:
     """k and cutoff: classes of about equal numbers of records, equal values in one class.
 
-    A value goes to the class in which the middle of its records falls.
+    A value with as many records as a step is a class alone. A step is what is left
+    over the classes left, times a power of 1.2: the least power from 1 on that takes
+    all records, or, if classes are left over and there are values enough, the
+    greatest one below 1 that fills them. All powers are walked side by side, a row
+    each, one class after the other. Fewer values than classes give fewer classes.
     """
-    counted = histogram(df, value)
-    placed = running(counted, F.col("n"), [F.col("value")], "end").crossJoin(F.broadcast(counted.agg(F.sum("n").alias("all"))))  # one row
-    k = F.least(F.floor((F.col("end") - F.col("n") / 2) * CLASSES / F.col("all")) + 1, F.lit(CLASSES)).cast("int")
-    return placed.groupBy(k.alias("k")).agg(F.max("value").alias("cutoff"))
+    placed = positions(df, value)
+    following = placed.select(F.col("start").alias("end"), F.col("n").alias("next"))
+    rows = settle(placed.join(following, "end", "left").select("value", "n", "start", "end", F.coalesce("next", F.lit(0)).alias("next")))
+    one = rows.agg(F.count("*").alias("uniques"), F.coalesce(F.sum("n"), F.lit(0)).alias("all"))
+    scales = [(0, 1.0)]
+    for turn, most in zip((-1, 1), SCALES):
+        scale = 1.0
+        for k in range(1, most + 1):
+            scale = scale / 1.2 if turn < 0 else scale * 1.2
+            scales.append((turn * k, scale))
+    walks = df.sparkSession.createDataFrame(scales, "power int, scale double").crossJoin(F.broadcast(one))  # one row
+
+    def step(left: Column, classes: Column) -> Column:
+        return F.floor(F.ceil(left / classes) * F.col("scale")).cast("long")
+
+    first = step(F.col("all"), F.lit(CLASSES))
+    # `at`: the record at which a class ends at the latest; the first class begins to count one record late
+    walks = walks.select("*", first.alias("alone"), F.lit(0).cast("long").alias("begin"), first.alias("at"), F.expr("cast(array() as array<double>)").alias("cutoffs"))
+    for k in range(1, CLASSES + 1):
+        open_ = walks.select("power", "begin", "alone", F.least("at", F.col("all") - 1).alias("at"))
+        stops = (F.col("start") >= F.col("begin")) & ((F.col("end") > F.col("at")) | (F.col("n") >= F.col("alone")) | (F.col("next") >= F.col("alone")))
+        ended = rows.join(F.broadcast(open_), stops).groupBy("power").agg(F.min("end").alias("stop"), F.min_by("value", "end").alias("cutoff"))
+        left = F.col("all") - F.col("stop") + 1
+        size = step(left, F.lit(CLASSES - k)) if k < CLASSES else F.lit(0)
+        walks = walks.join(F.broadcast(ended), "power", "left").select(
+            *("power", "scale", "uniques", "all", "alone"),
+            F.coalesce("stop", "begin").alias("begin"),
+            F.when(F.col("stop").isNotNull(), F.greatest(F.col("stop") + size - 1, "stop")).otherwise(F.col("at")).alias("at"),
+            F.when(F.col("stop").isNotNull(), F.array_append("cutoffs", F.col("cutoff"))).otherwise(F.col("cutoffs")).alias("cutoffs"),
+        )
+        walks = settle(walks)  # a row a power
+    whole, few = F.col("begin") == F.col("all"), (F.size("cutoffs") < CLASSES) & (F.col("uniques") > CLASSES)
+    plain = F.first(F.when(F.col("power") == 0, F.when(~whole, 1).when(few, -1).otherwise(0)), ignorenulls=True)
+    larger, smaller = (F.min_by("cutoffs", F.when((F.col("power") * turn > 0) & good, F.abs("power"))) for turn, good in ((1, whole), (-1, ~few)))
+    same = F.min_by("cutoffs", F.abs("power"))
+    best_ = walks.agg(plain.alias("turn"), larger.alias("larger"), smaller.alias("smaller"), same.alias("same"))
+    chosen = F.when(F.col("turn") > 0, F.col("larger")).when(F.col("turn") < 0, F.col("smaller")).otherwise(F.col("same"))
+    return best_.select(F.posexplode(chosen).alias("p", "cutoff")).select((F.col("p") + 1).alias("k"), "cutoff")
 
 
 def sizes(df: DataFrame, value: str, cutoffs: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from terrafacet.functions import colours, measure, wkt
 from terrafacet.operators import legends, outlines, overlay, polygons, rasters, sampling
-from terrafacet.plans.catalogue import BOTH, CELL, FOCUS, LATTICE, MASK, RANGES, hits_sql, query
+from terrafacet.plans.catalogue import BOTH, CELL, FOCUS, LATTICE, MASK, RANGES, equal_area_sql, hits_sql, query
 
 # The areas of rings as text, by string aggregation.
 RING_TEXT = "rt AS (SELECT oid, part, ring, string_agg(cast(x AS varchar) || ' ' || cast(y AS varchar), ',' ORDER BY i) AS t FROM {0} GROUP BY ALL)"
@@ -238,9 +238,7 @@ def colour_ramp(raster):
     return raster.crossJoin(F.broadcast(ends)).select("cell", colours.rgb_text(colour).alias("rgb"))  # one row
 
 
-EQUAL_AREA = """h AS (SELECT cast(species AS double) AS value, count(*) AS n FROM occ WHERE species <> 5 GROUP BY 1),
-    c AS (SELECT *, sum(n) OVER (ORDER BY value) AS ends, sum(n) OVER () AS everything FROM h),
-    g AS (SELECT cast(least(floor((ends - n / 2) * 10 / everything) + 1, 10) AS int) AS k, max(value) AS cutoff, sum(n) AS n FROM c GROUP BY 1),
+EQUAL_AREA = equal_area_sql("SELECT cast(species AS double) AS value FROM occ WHERE species <> 5") + """,
     o AS (SELECT row_number() OVER (ORDER BY cutoff) AS k, n, lag(cutoff) OVER (ORDER BY cutoff) AS low, cutoff, lead(cutoff) OVER (ORDER BY cutoff) AS more FROM g)"""
 
 

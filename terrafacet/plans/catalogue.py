@@ -484,16 +484,50 @@ def legend_decade(occ):
     return legends.decades(occ, "year")
 
 
-@query("raster", "SELECT cast(k AS int) AS k, max(value) AS cutoff FROM (SELECT value, ntile(10) OVER (ORDER BY value) AS k FROM (SELECT DISTINCT cast(value AS double) AS value FROM raster)) GROUP BY k")
-def legend_equal_size(raster):
-    return legends.equal_size(raster, "value")
+def equal_area_sql(source: str) -> str:
+    """Common table expressions up to g: k, cutoff and n of the classes of equal area of a query's column value."""
+    step = "cast(floor(ceil({left} / cast({classes} AS double)) * scale) AS bigint)"
+    return f"""h AS (SELECT value, count(*) AS n FROM ({source}) GROUP BY value),
+    spread AS (SELECT value, n, cast(sum(n) OVER w - n AS bigint) AS start, cast(sum(n) OVER w AS bigint) AS stop, coalesce(lead(n) OVER w, 0) AS following FROM h WINDOW w AS (ORDER BY value)),
+    size AS (SELECT count(*) AS uniques, cast(sum(n) AS bigint) AS everything FROM h),
+    up(power, scale) AS (SELECT 0, 1.0::DOUBLE UNION ALL SELECT power + 1, scale * 1.2::DOUBLE FROM up WHERE power < 20),
+    down(power, scale) AS (SELECT 0, 1.0::DOUBLE UNION ALL SELECT power - 1, scale / 1.2::DOUBLE FROM down WHERE power > -60),
+    walk(power, scale, k, start, latest, alone, cutoff) AS (
+      SELECT power, scale, 0, 0::BIGINT, {step.format(left="everything", classes="10")}, {step.format(left="everything", classes="10")}, NULL::DOUBLE
+      FROM (SELECT * FROM up UNION SELECT * FROM down), size
+      UNION ALL
+      SELECT power, scale, k + 1, hit.stop, CASE WHEN k = 9 THEN hit.stop ELSE greatest(hit.stop - 1 + {step.format(left="(everything - hit.stop + 1)", classes="(9 - k)")}, hit.stop) END, alone, hit.value
+      FROM (SELECT *, (SELECT min({{'stop': s.stop, 'value': s.value}}) FROM spread s
+              WHERE s.start >= walk.start AND (s.stop > least(walk.latest, everything - 1) OR s.n >= walk.alone OR s.following >= walk.alone)) AS hit FROM walk, size WHERE k < 10)
+      WHERE hit IS NOT NULL),
+    walked AS (SELECT power, max(k) AS classes, max(start) = (SELECT everything FROM size) AS whole FROM walk GROUP BY power),
+    chosen AS (
+      SELECT CASE WHEN NOT w.whole THEN (SELECT min(power) FROM walked WHERE power > 0 AND whole)
+        WHEN w.classes < 10 AND uniques > 10 THEN (SELECT max(power) FROM walked WHERE power < 0 AND classes = 10) ELSE 0 END AS power
+      FROM walked w, size WHERE w.power = 0),
+    cut AS (SELECT k, cutoff, lag(cutoff) OVER (ORDER BY k) AS low FROM walk JOIN chosen USING (power) WHERE k > 0),
+    g AS (SELECT k, cutoff, (SELECT sum(n) FROM h WHERE value <= cut.cutoff AND (cut.low IS NULL OR value > cut.low)) AS n FROM cut)"""
 
 
 @query(
-    "occ",
-    """h AS (SELECT cast(species AS double) AS value, count(*) AS n FROM occ GROUP BY 1), c AS (SELECT *, sum(n) OVER (ORDER BY value) AS ends, sum(n) OVER () AS everything FROM h)
-    SELECT cast(least(floor((ends - n / 2) * 10 / everything) + 1, 10) AS int) AS k, max(value) AS cutoff FROM c GROUP BY 1""",
+    "raster",
+    """h AS (SELECT cast(value AS double) AS value, count(*) AS n FROM raster WHERE NOT isnan(value) GROUP BY 1),
+    ranked AS (SELECT *, row_number() OVER (ORDER BY value) AS rank, count(*) OVER () AS uniques FROM h),
+    class(k, seen, rank, cutoff) AS (
+      SELECT 0, 0::BIGINT, 0::BIGINT, NULL::DOUBLE
+      UNION ALL
+      SELECT k + 1, c.seen + step, own.rank + CASE WHEN takes THEN 1 ELSE 0 END, CASE WHEN takes THEN after.value ELSE own.value END
+      FROM (SELECT c.*, cast(ceil(((SELECT count(*) FROM h) - seen) / cast(10 - k AS double)) AS bigint) AS step FROM class c WHERE k < 9) c
+        JOIN ranked own ON own.rank = c.rank + c.step LEFT JOIN ranked after ON after.rank = own.rank + 1,
+        LATERAL (SELECT own.n = 1 AND coalesce(after.n > 1, false) AS takes)
+      WHERE c.step > 0 AND (own.rank < own.uniques OR own.n > 1))
+    SELECT k, cutoff FROM class WHERE k > 0 UNION ALL SELECT 10, max(value) FROM h HAVING count(*) > 0""",
 )
+def legend_equal_size(raster):
+    return legends.equal_size(raster, "value")
+
+
+@query("occ", equal_area_sql("SELECT cast(species AS double) AS value FROM occ") + " SELECT k, cutoff FROM g")
 def legend_equal_area(occ):
     return legends.equal_area(occ, "species")
 

@@ -6,9 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from terrafacet.operators.order import numbered
+from terrafacet.operators.order import numbered, running
 
 
 def keyword_search(df: DataFrame, columns: list[str], words: str) -> DataFrame:
@@ -40,8 +39,7 @@ def page(df: DataFrame, order: list[str], number: int, size: int) -> DataFrame:
 
 def class_pages(classes: DataFrame, start: int, size: int) -> DataFrame:
     """Classes (class, polygons) that hold the polygons start to start + size - 1 of all, with their running position."""
-    end = F.sum("polygons").over(Window.orderBy("class").rowsBetween(Window.unboundedPreceding, 0))
-    placed = classes.withColumn("end", end).withColumn("begin", F.col("end") - F.col("polygons"))
+    placed = running(classes.select("class", "polygons"), F.col("polygons"), [F.col("class")], "end").withColumn("begin", F.col("end") - F.col("polygons"))
     return placed.where((F.col("begin") < start + size) & (F.col("end") > start)).select("class", "polygons", "begin")
 
 

@@ -8,9 +8,14 @@ from pyspark.sql import functions as F
 from terrafacet.operators.rasters import Lattice
 
 
+def classes_of(hits: DataFrame, name: str) -> DataFrame:
+    """pt and each of its classes once, however often hits (pt, oid) repeat it; dealt by pt, as joins by pt ask."""
+    return hits.groupBy("pt").agg(F.collect_set("oid").alias("all")).select("pt", F.explode("all").alias(name))
+
+
 def species_pairs(records: DataFrame, first: DataFrame, second: DataFrame) -> DataFrame:
     """pid1, pid2, occurrences and species of records (pt, species) by their classes (pt, oid) in two layers."""
-    a, b = first.select("pt", F.col("oid").alias("pid1")), second.select("pt", F.col("oid").alias("pid2"))
+    a, b = classes_of(first, "pid1"), classes_of(second, "pid2")
     return records.select("pt", "species").join(a, "pt").join(b, "pt").groupBy("pid1", "pid2").agg(F.count("*").alias("occurrences"), F.count_distinct("species").alias("species"))
 
 
@@ -19,7 +24,7 @@ def species_totals(records: DataFrame, first: DataFrame, second: DataFrame) -> D
 
     One pass by grouping sets over distinct species, not three aggregates of the records.
     """
-    a, b = first.select("pt", F.col("oid").alias("pid1")), second.select("pt", F.col("oid").alias("pid2"))
+    a, b = classes_of(first, "pid1"), classes_of(second, "pid2")
     counted = records.select("pt", "species").join(a, "pt").join(b, "pt").groupBy("pid1", "pid2", "species").agg(F.count("*").alias("n"))
     sets = counted.groupingSets([["pid1", "pid2"], ["pid1"], ["pid2"]], "pid1", "pid2").agg(F.sum("n").alias("occurrences"), F.count_distinct("species").alias("species"), F.grouping_id().alias("g"))
     pairs, rows, columns = (sets.where(F.col("g") == g) for g in (0, 1, 2))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrafacet.functions import colours, wkt
-from terrafacet.operators import catalog, facets, outlines, overlay, rasters, sampling
+from terrafacet.operators import catalog, facets, outlines, overlay, rasters, sampling, tabulation
 from terrafacet.sources import grids, records
 
 SQUARE = "POLYGON((0 0,4 0,4 4,0 4,0 0),(1 1,2 1,2 2,1 2,1 1))"
@@ -95,6 +95,16 @@ def test_sampling_does_not_multiply_repeated_points(spark):
     assert len(found) == 8 and sum("value=1.0" in r for r in found) == 2 and sum("value=None" in r for r in found) == 4
 
 
+def test_tabulating_does_not_multiply_repeated_records(spark):
+    records = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (2, "a")], "pt int, species string")
+    first = spark.createDataFrame([(1, "p"), (1, "p"), (1, "q"), (2, "p")], "pt int, oid string")
+    second = spark.createDataFrame([(1, "x"), (1, "x"), (1, "x")], "pt int, oid string")
+    want = {("p", "x", 3, 2), ("q", "x", 3, 2)}
+    assert {tuple(r) for r in tabulation.species_pairs(records, first, second).collect()} == want
+    totals = tabulation.species_totals(records, first, second).select("pid1", "pid2", "occurrences", "species", "speciest1", "speciest2")
+    assert {tuple(r) for r in totals.collect()} == {(*w, 2, 2) for w in want}
+
+
 def test_facet_bounds_text_and_mixed_operators():
     facet = facets.parse("a:[1 TO 5] OR a:[3 TO 9] OR b:[* TO 2] OR c:x")
     assert facets.bounds_of(facet) == {"a": (1.0, 9.0), "b": (None, 2.0)}

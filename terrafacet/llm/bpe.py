@@ -16,7 +16,9 @@ from __future__ import annotations
 import heapq
 import json
 import re
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -167,6 +169,19 @@ def merge_long(word: bytes, vocabulary: Vocabulary) -> bytes:
     return np.array([p for p in parts if p >= 0], "<u4").tobytes()
 
 
+def merge_words(words: Iterable[bytes], pairs: PairRanks, vocabulary: Vocabulary) -> Iterator[tuple[bytes, bytes]]:
+    """Each word with its ids; words of similar length are merged together."""
+    classes: dict[int, list[bytes]] = {}
+    for word in words:
+        size = len(word)
+        if size > SHORT_WORD:
+            yield word, merge_long(word, vocabulary)
+        else:
+            classes.setdefault(size if size <= 16 else 16 + -(-size // 16), []).append(word)
+    for same in classes.values():
+        yield from zip(same, merge_short(same, pairs))
+
+
 class Encoder:
     """Encodes and decodes whole texts in one Python worker."""
 
@@ -178,23 +193,16 @@ class Encoder:
         self.words: dict[str, bytes] = {}  # ids by word
 
     def learn(self, words: set[str]) -> None:
-        """Add the ids of new words, those of similar length together."""
-        classes: dict[int, list[bytes]] = {}
-        for word in map(str.encode, words):
-            size = len(word)
-            if size > SHORT_WORD:
-                self.words[word.decode()] = merge_long(word, self.vocabulary)
-            else:
-                classes.setdefault(size if size <= 16 else 16 + -(-size // 16), []).append(word)
-        for same in classes.values():
-            self.words.update(zip(map(bytes.decode, same), merge_short(same, self.pairs)))
+        """Add the ids of new words."""
+        self.words.update((word.decode(), ids) for word, ids in merge_words(map(str.encode, words), self.pairs, self.vocabulary))
 
     def ordinary(self, texts: list[str]) -> list[bytes]:
         """Ids of texts without special tokens."""
         split = list(map(self.words_of, texts))
         need = set().union(*split)
-        if len(self.words) + len(need) > CACHE_WORDS:
-            self.words.clear()
+        if len(self.words) + len(need) > CACHE_WORDS:  # half of it stays, the youngest words and those needed now
+            now = {word: self.words[word] for word in need & self.words.keys()}
+            self.words = dict(islice(reversed(self.words.items()), CACHE_WORDS // 2)) | now
         self.learn(need.difference(self.words))
         ids = self.words.__getitem__
         return [b"".join(map(ids, words)) for words in split]

@@ -84,27 +84,45 @@ def index_rows(block: int, ids: pa.Array, texts: pa.Array, documents: int, lengt
     n = np.bincount(text, minlength=len(texts))
     pair, tf = np.unique(term * len(texts) + text, return_counts=True)
     term, text = np.divmod(pair, len(texts))
-    impact = impacts(tf, n[text], documents, length) if length else tf
+    impact = impacts(tf, n[text], documents, length).astype(np.uint32) if length else tf
     begins = np.flatnonzero(np.diff(term, prepend=-1))
-    ends = np.append(begins[1:], len(term))
-    places = text.astype("<u2").tobytes()
-    packed = []
-    for a, b in zip(begins.tolist(), ends.tolist()):
-        packed.append(np.packbits((impact[a:b] >> np.arange(IMPACT_BITS)[:, None] & 1).astype(np.uint8), axis=1, bitorder="little").tobytes())
+    df = np.diff(np.append(begins, len(term)))
     rows = 1 + len(terms)
+
+    def binaries(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
+        """A null, then pieces of these sizes."""
+        ends = np.concatenate([[0, 0], np.cumsum(sizes)]).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), rows, [pa.array([False] + [True] * len(sizes)).buffers()[1], pa.py_buffer(ends), pa.py_buffer(flat)])
+
     return pa.RecordBatch.from_arrays(
         [
             pa.array(np.full(rows, block)),
             pa.concat_arrays([pa.nulls(1, pa.string()), terms]),
             pa.concat_arrays([pa.array([ids.to_pylist()], pa.list_(pa.int64())), pa.nulls(len(terms), pa.list_(pa.int64()))]),
-            pa.array([None, *(places[2 * a : 2 * b] for a, b in zip(begins, ends))], pa.binary()),
-            pa.array([None, *packed], pa.binary()),
-            pa.array(np.append(0, ends - begins)),
+            binaries(text.astype("<u2"), 2 * df),
+            binaries(packed_slices(impact, df), IMPACT_BITS * -(-df // 8)),
+            pa.array(np.append(0, df)),
         ],
         names=["block", "term", "ids", "docs", "slices", "df"],
     )
 
 
+def packed_slices(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Bit slices of the values of each term (`counts` of them), a term after the other: per bit as many bytes as its values need."""
+    wide = -(-counts // 8)  # bytes of a slice
+    before = np.cumsum(wide) - wide
+    place = np.arange(len(values)) + np.repeat(8 * before - (np.cumsum(counts) - counts), counts)
+    total = int(wide.sum())
+    byte = np.arange(total)
+    target = np.repeat(IMPACT_BITS * before - before, wide) + byte
+    step, flat = np.repeat(wide, wide), np.zeros(IMPACT_BITS * total, np.uint8)
+    for k in range(IMPACT_BITS):
+        bits = np.zeros(8 * total, np.uint8)
+        bits[place] = values >> k & 1
+        flat[target + k * step] = np.packbits(bits, bitorder="little")
+    return flat
+
+
 def build_index(docs: DataFrame) -> tuple[DataFrame, int, int]:
     """The stored index (INDEX) of all rows of `docs` (doc_id, text), with N and L.
 

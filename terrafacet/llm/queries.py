@@ -9,12 +9,13 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrafacet.llm import bpe, fixity, hnsw, kneser_ney, langid, media, mixing, near_dedup, quoting, simple8b
+from terrafacet.llm import ball_trees, bpe, fixity, hnsw, kneser_ney, langid, lexical, media, mixing, near_dedup, quoting, simple8b, token_counts
 from terrafacet.llm.shared import shared_path, stored
 from terrafacet.session import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 MIX_ENTROPY = 0.98
+BEST, TOKEN_LIMIT = 50, 512
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -109,6 +110,21 @@ def op10_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.nearest(vectors, vectors.where("vec_id % 50 = 0"), 5)
 
 
+def op11_ball_tree_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three rounds of 16 centroids over all vectors of 64 components, as integers."""
+    return ball_trees.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_bit_sliced_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of every benchmark item."""
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), BEST)
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and byte-level BPE tokens of every document."""
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), BYTE_BPE, TOKEN_LIMIT)
+
+
 QUERIES = {
     "op1_signature_sniffing": op1_signature_sniffing,
     "op2_simple8b": op2_simple8b,
@@ -120,9 +136,14 @@ QUERIES = {
     "op8_merkle_audit": op8_merkle_audit,
     "op9_kneser_ney": op9_kneser_ney,
     "op10_hnsw": op10_hnsw,
+    "op11_ball_tree_clusters": op11_ball_tree_clusters,
+    "op12_bit_sliced_search": op12_bit_sliced_search,
+    "op13_token_counts": op13_token_counts,
 }
 ORACLES: dict[str, str] = {
     "op4_temperature_mixing": mixing.oracle(MIX_ENTROPY),
     "op6_quotation_linking": quoting.ORACLE,
     "op8_merkle_audit": fixity.ORACLE,
+    "op11_ball_tree_clusters": ball_trees.oracle(),
+    "op12_bit_sliced_search": lexical.oracle(BEST),
 }

@@ -35,13 +35,21 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors."""
+    """Write `df` as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors. Deleted when the driver ends."""
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    at, fs = file_system(spark, path)
+    fs.deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def file_system(spark: SparkSession, path: str) -> tuple:
+    """The path and its file system, as Spark sees them."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 class Scratch:
     """Tables of one computation, deleted at the end of its `with` block; what leaves it must be stored elsewhere by then."""
 
@@ -59,10 +67,9 @@ class Scratch:
         return self
 
     def __exit__(self, *_: object) -> None:
-        jvm, hadoop = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         for path in self.paths:
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(hadoop).delete(at, True)
+            at, fs = file_system(self.spark, path)
+            fs.delete(at, True)
 
 
 def with_ids(docs: DataFrame, ids: DataFrame, most: int = BROADCAST_IDS, passes: int = ID_PASSES, how: str = "left_semi") -> DataFrame:

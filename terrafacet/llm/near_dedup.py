@@ -14,6 +14,12 @@ member. With 32 bands of 4 rows, two sets of similarity
 0.8 share no band with a chance of 5e-8, at 0.85 of 6e-11; sketches allow 5.4
 standard deviations.
 
+A class is named by a 64-bit hash of its set, and never by an id of the rows, so
+that absent, repeated and arbitrarily large ids do no harm. Sets are of 64-bit
+hashes of shingles: among 10 ** 9 different sets, two have one name with a chance
+of 3 percent, and a given pair of documents counts a shingle wrongly with one of
+10 ** -12 at most at 1000 shingles each.
+
 Texts aren't shuffled. The second pass over them computes the sets of those
 documents alone that a bitmap of fixed size lets through.
 """
@@ -30,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrafacet.llm.shared import Scratch, map_arrow, stored, with_ids
+from terrafacet.llm.shared import Scratch, map_arrow, stored, texts_of, with_ids
 
 SHINGLE_WORDS = 5
 BANDS, ROWS = 32, 4
@@ -41,7 +47,6 @@ CHUNK_VALUES = 1 << 19
 GROUP_ROWS, GROUP_SHINGLES = 1024, 1 << 21
 PARTNERS = (1, 8)
 BITMAP_BITS = 1 << 26
-NO_DOC_ID = 1 << 62  # rows without doc_id get ids from here on
 
 # Odd 64-bit constants of the hashes.
 PLACE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -116,8 +121,13 @@ def most_different_bits(similarity: float, hashes: int = HASHES, words: int = SK
     return int(np.ceil(expected + expected**0.5))
 
 
+def set_name(shingles: np.ndarray) -> int:
+    """The name of the class of documents with this set."""
+    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, tie (a hash of the text), n_shingles, set_id (128-bit hash of the set), bands and sketch of each row of `docs` (doc_id, text)."""
+    """doc_id, tie (a hash of the text), n_shingles, id (the name of the set), bands and sketch of each row of `docs` (doc_id, text)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sizes, ids, bands, sketches = [], [], [], []
@@ -125,17 +135,17 @@ def signatures(docs: DataFrame) -> DataFrame:
             shingles = shingle_set(words)
             least = minhashes(shingles)
             sizes.append(len(shingles))
-            ids.append(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest())
+            ids.append(set_name(shingles))
             bands.append(band_keys(least))
             sketches.append(odd_sketch(least))
         longs = pa.list_(pa.int64())
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("tie"), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(bands, longs), pa.array(sketches, longs)],
-            names=["doc_id", "tie", "n_shingles", "set_id", "bands", "sketch"],
+            [batch.column("doc_id"), batch.column("tie"), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(bands, longs), pa.array(sketches, longs)],
+            names=["doc_id", "tie", "n_shingles", "id", "bands", "sketch"],
         )
 
     rows = docs.select("doc_id", "text", text_tie().alias("tie"))
-    return map_arrow(rows, run, "doc_id long, tie long, n_shingles long, set_id binary, bands array<long>, sketch array<long>")
+    return map_arrow(rows, run, "doc_id long, tie long, n_shingles long, id long, bands array<long>, sketch array<long>")
 
 
 def text_tie() -> Column:
@@ -164,18 +174,28 @@ def bitmap_of(ids: DataFrame) -> np.ndarray:
     return bitmap
 
 
-def member_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, shingles and fine sketch of the documents among `ids`, and of a few others that the bitmap can't tell from them."""
-    shipped = docs.sparkSession.sparkContext.broadcast(bitmap_of(ids))  # BITMAP_BITS / 8 bytes
+def member_sets(docs: DataFrame, picks: DataFrame, scratch: Scratch) -> DataFrame:
+    """id, shingles and fine sketch of the sets of the rows among `picks`, once each, and of a few others that the bitmap can't tell from them."""
+    shipped = docs.sparkSession.sparkContext.broadcast(bitmap_of(picks))  # BITMAP_BITS / 8 bytes
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = batch.filter(pa.array(in_bitmap(shipped.value, batch.column("doc_id").to_numpy())))
+        found = batch.filter(pa.array(in_bitmap(shipped.value, batch.column("pick").to_numpy())))
         sets = [shingle_set(words) for words in word_hashes(found.column("text"))]
         fine = [odd_sketch(minhashes(x, FINE_HASHES), FINE_WORDS) for x in sets]
         longs = pa.list_(pa.int64())
-        return pa.RecordBatch.from_arrays([found.column("doc_id"), pa.array([x.view(np.int64) for x in sets], longs), pa.array(fine, longs)], names=["id", "shingles", "fine"])
+        return pa.RecordBatch.from_arrays([pa.array(map(set_name, sets), pa.int64()), pa.array([x.view(np.int64) for x in sets], longs), pa.array(fine, longs)], names=["id", "shingles", "fine"])
+
+    rows = docs.select("text", row_pick(F.col("doc_id"), text_tie()).alias("pick"))
+    sets = scratch.stored(map_arrow(rows, run, "id long, shingles array<long>, fine array<long>").where(F.size("shingles") > 0), "sets")
+    twice = scratch.stored(sets.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"), "sets-twice")
+    if twice.isEmpty():
+        return sets
+    return of_ids(sets, twice, "left_anti").unionByName(of_ids(sets, twice).dropDuplicates(["id"]))
+
 
-    return map_arrow(docs, run, "id long, shingles array<long>, fine array<long>").where(F.size("shingles") > 0)
+def row_pick(doc_id: Column, tie: Column) -> Column:
+    """A hash of a row's id and text, by which a second reading finds it again."""
+    return F.xxhash64(doc_id, tie)
 
 
 def differing_bits(a: Column, b: Column) -> Column:
@@ -201,7 +221,7 @@ def shared_buckets(classes: DataFrame, scratch: Scratch) -> DataFrame:
 def star_pairs(members: DataFrame, classes: DataFrame, most: int) -> DataFrame:
     """a > b: each bucket's member whose buckets are largest in all, with the others that the sketch allows."""
     weight = members.groupBy("id").agg(F.sum("n").alias("weight"))
-    middle = members.join(weight, "id").groupBy("key").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("middle"))
+    middle = members.join(weight, "id").groupBy("key").agg(F.max_by("id", F.struct("weight", "id")).alias("middle"))
     pairs = members.join(middle, "key").where("id != middle").select("id", "middle").distinct()
     sketch = classes.select("id", "sketch")
     both = pairs.join(sketch, "id").join(sketch.select(F.col("id").alias("middle"), F.col("sketch").alias("other")), "middle")
@@ -314,9 +334,9 @@ def remaining_links(rows: DataFrame, seekers: DataFrame, sets: DataFrame, percen
     return grouped(rows, seekers, sets, confirmed, "a long, b long", weight)
 
 
-def of_ids(sets: DataFrame, ids: DataFrame) -> DataFrame:
-    """The sets of some ids, picked before they travel."""
-    return with_ids(sets.withColumnRenamed("id", "doc_id"), ids.select(F.col("id").alias("doc_id"))).withColumnRenamed("doc_id", "id")
+def of_ids(sets: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The sets of some ids, picked before they travel; the others if `how` is left_anti."""
+    return with_ids(sets.withColumnRenamed("id", "doc_id"), ids.select(F.col("id").alias("doc_id")), how=how).withColumnRenamed("doc_id", "id")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -362,7 +382,8 @@ def link_classes(docs: DataFrame, classes: DataFrame, percent: int, scratch: Scr
     starred = scratch.stored(star_pairs(members, classes, most_different_bits(percent / 100)), "star-pairs")
     # a bucket of two is through with its pair: without one that the sketch allows, neither set is asked for
     asked_for = members.where("n > 2").select("id").union(starred.select("a")).union(starred.select("b"))
-    sets = scratch.stored(member_sets(docs, asked_for.distinct()), "sets")
+    picks = classes.join(asked_for.distinct(), "id", "left_semi").select(row_pick(F.col("least.doc_id"), F.col("least.tie")).alias("pick"))
+    sets = member_sets(docs, picks, scratch)
     labels = spark.createDataFrame([], "id long, component long")
     links = scratch.stored(confirm(starred, sets, percent), "links")
     asked, most = None, most_different_bits(percent / 100, FINE_HASHES, FINE_WORDS)
@@ -391,26 +412,22 @@ def link_classes(docs: DataFrame, classes: DataFrame, percent: int, scratch: Scr
     return labels if links.isEmpty() else join_components(labels, links, scratch)
 
 
-def identified(docs: DataFrame) -> DataFrame:
-    """doc_id and text of `docs`, with a doc_id on every row: NO_DOC_ID and above where there was none."""
-    return docs.select(row_id().alias("doc_id"), F.col("text").cast("string").alias("text"))
-
-
-def row_id() -> Column:
-    return F.coalesce(F.col("doc_id").cast("long"), NO_DOC_ID + F.shiftrightunsigned(F.xxhash64("text"), 2))
-
-
 def find_components(docs: DataFrame, percent: int) -> DataFrame:
-    """doc_id, tie, n_shingles, set_id and least (the component's least doc_id) of each row of identified documents, stored; all else is deleted."""
+    """doc_id, tie, n_shingles and least (the component's first row: absent, doc_id, tie; null without words) of each row of `docs`, stored; all else is deleted."""
+    docs = texts_of(docs)
     with Scratch(docs.sparkSession) as scratch:
         signed = scratch.stored(signatures(docs), "signatures")
-        first = F.first(F.struct("bands", "sketch")).alias("s")
-        classes = signed.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("id"), first).select("set_id", "id", "s.*")
+        row = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "tie")
+        classes = signed.where("n_shingles > 0").groupBy("id").agg(F.min(row).alias("least"), F.first(F.struct("bands", "sketch")).alias("s")).select("id", "least", "s.*")
         classes = scratch.stored(classes, "classes")
         labels = link_classes(docs, classes, percent, scratch)
-        sets = classes.join(labels, "id", "left").select("set_id", F.coalesce("component", "id").alias("least"))
-        found = signed.select("doc_id", "tie", "n_shingles", "set_id").join(sets, "set_id", "left")
-        return stored(found.withColumn("least", F.coalesce("least", "doc_id")), "near-duplicates")
+        named = scratch.stored(classes.select("id", "least").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")), "named")
+        least = named.groupBy("component").agg(F.min("least").alias("least"))
+        sets = named.select("id", "component").join(least, "component").select("id", "least")
+        rows = signed.select("doc_id", "tie", "n_shingles", "id")
+        worded = rows.where("n_shingles > 0").join(sets, "id").drop("id")
+        wordless = rows.where("n_shingles = 0").drop("id").withColumn("least", F.lit(None).cast(sets.schema["least"].dataType))
+        return stored(worded.unionByName(wordless), "near-duplicates")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -419,15 +436,17 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     Documents are linked whose 5-word shingle sets have 100 * common >= percent *
     united. component_id is the least doc_id that links reach. A null or empty
     text, or one without words, is linked with nothing. Rows that repeat a doc_id
-    are each judged by their own text. Rows without a doc_id take part; they
-    are kept only if nothing else of their component has one, and then have no
-    component_id.
+    are each judged by their own text, and linked through it alone. Rows without a
+    doc_id take part; one of them is kept only if nothing else of its component
+    has one, and then has no component_id. A doc_id may be any 64-bit number.
     """
-    return find_components(identified(docs), percent).select(
-        F.when(F.col("doc_id") < NO_DOC_ID, F.col("doc_id")).alias("doc_id"),
+    doc_id, least = F.col("doc_id"), F.col("least")
+    first = doc_id.isNull() & least.absent & (F.col("tie") == least.tie)
+    return find_components(docs, percent).select(
+        "doc_id",
         "n_shingles",
-        F.when(F.col("least") < NO_DOC_ID, F.col("least")).alias("component_id"),
-        (F.col("doc_id") == F.col("least")).alias("kept"),
+        F.when(F.col("n_shingles") > 0, least.doc_id).otherwise(doc_id).alias("component_id"),
+        ((F.col("n_shingles") == 0) | F.coalesce(doc_id == least.doc_id, first)).alias("kept"),
     )
 
 
@@ -435,18 +454,25 @@ def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
     """The rows of `docs` without all but one document of each component.
 
     The least doc_id of a component stays. Texts without words stay. Rows that
-    repeat a doc_id are each judged by their own text: of those that stay, with one
-    shingle set one row does, of the least text hash. Rows without a doc_id give
+    repeat a doc_id are each judged by their own text: of those of a component's
+    least doc_id one stays, of the least text hash. Rows without a doc_id give
     way to those with one. Columns of `docs` may have any names.
 
-    Texts aren't shuffled, but those of repeated doc_ids.
+    Texts aren't shuffled, but those of repeated or absent doc_ids.
     """
     names = docs.columns
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), row_id().alias("doc_id"), text_tie().alias("tie"), F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("words"))
-    found = find_components(identified(docs), percent).where("n_shingles > 0")
-    repeated = stored(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
-    gone = found.where("doc_id != least").select("doc_id").union(repeated)
-    once = with_ids(rows.where("words"), gone, how="left_anti")
-    judged = found.join(repeated, "doc_id", "left_semi").where("doc_id = least").groupBy("doc_id", "set_id").agg(F.min("tie").alias("tie"))
-    several = with_ids(rows.where("words"), repeated).join(judged, ["doc_id", "tie"], "left_semi").dropDuplicates(["doc_id", "tie"])
-    return rows.where("not words").select("row").union(once.select("row")).union(several.select("row")).select("row.*")
+    words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("tie"), words.alias("words"))
+    found = find_components(docs, percent).where("n_shingles > 0")
+    stays = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("tie") == F.col("least.tie"))
+    repeated = stored(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
+    gone = found.where(~stays).select("doc_id").union(repeated)
+    once = with_ids(rows.where("words and doc_id is not null"), gone, how="left_anti")
+    first = found.where(stays).select("doc_id", "tie").distinct()
+    several = with_ids(rows.where("words and doc_id is not null"), repeated).join(first.join(repeated, "doc_id", "left_semi"), ["doc_id", "tie"], "left_semi").dropDuplicates(["doc_id", "tie"])
+    nameless = rows.where("words and doc_id is null").join(first.where("doc_id is null").select("tie"), "tie", "left_semi").dropDuplicates(["tie"])
+    parts = [rows.where("not words"), once, several, nameless]
+    kept = parts[0].select("row")
+    for part in parts[1:]:
+        kept = kept.union(part.select("row"))
+    return kept.select("row.*")

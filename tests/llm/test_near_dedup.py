@@ -117,6 +117,55 @@ def test_keep_one_judges_repeated_doc_ids_by_their_texts(spark):
     assert sorted((r.doc_id or 0, r.text or "") for r in near_dedup.keep_one(docs.repartition(7), 80).collect()) == found
 
 
+def test_large_ids_and_texts_under_one_id(spark):
+    """Any 64-bit number is an id; an unrelated text under the id of a near copy stays."""
+    text = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen"
+    huge = (1 << 62) + 5
+    rows = [(huge, "alpha beta gamma"), (-5, "delta"), ((1 << 63) - 1, text), (-(1 << 63), "lone words of the least id")]
+    rows += [(3, "a " + text), (7, text + " b"), (7, "an unrelated text that has words of its own"), (9, "an unrelated text that has words of its own")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted(map(tuple, near_dedup.near_duplicates(docs, 80).drop("n_shingles").collect()))
+    assert found == sorted([(huge, huge, True), (-5, -5, True), ((1 << 63) - 1, 3, False), (-(1 << 63), -(1 << 63), True), (3, 3, True), (7, 3, False), (7, 7, True), (9, 7, False)])
+    assert sorted(map(tuple, near_dedup.keep_one(docs, 80).collect())) == sorted([rows[0], rows[1], rows[3], rows[4], rows[6]])
+
+
+def test_repeated_rows_of_a_hot_group(spark):
+    texts = near_copies(11, 1, 30, 100, 3)
+    rows = [(k % 30, texts[k % 30]) for k in range(600)]
+    assert run(spark, rows, 85) == brute(rows, 85)
+
+
+def test_op5_equals_brute_force(spark):
+    """The query over all documents of sf0.01, against all pairs by an inverted list of shingles."""
+    import pyarrow.parquet as pq
+
+    from terrafacet.llm import queries
+
+    where = "/root/testdata/sf0.01"
+    docs = pq.read_table(f"{where}/documents.parquet").select(["doc_id", "text"]).to_pylist()
+    sets = {d["doc_id"]: shingles(d["text"]) for d in docs}
+    holders, common = {}, {}
+    for i in sorted(sets):
+        for s in sets[i]:
+            for j in holders.setdefault(s, []):
+                common[j, i] = common.get((j, i), 0) + 1
+            holders[s].append(i)
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for (j, i), n in common.items():
+        if 100 * n >= 85 * (len(sets[i]) + len(sets[j]) - n):
+            a, b = sorted((find(i), find(j)))
+            root[b] = a
+    want = sorted((i, len(s), find(i), find(i) == i) for i, s in sets.items())
+    found = queries.op5_odd_sketch_dedup(spark, where).select("doc_id", "n_shingles", "component_id", "kept").collect()
+    assert sorted(map(tuple, found)) == want and any(not w[3] for w in want)
+
+
 def test_odd_sketch_difference_follows_similarity():
     import numpy as np
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from terrafacet.functions import colours, measure, wkt
-from terrafacet.operators import legends, outlines, overlay, polygons, rasters, sampling
+from terrafacet.operators import dissolve, legends, outlines, overlay, polygons, rasters, sampling, sphere
 from terrafacet.plans.catalogue import BOTH, CELL, FOCUS, LATTICE, MASK, RANGES, equal_area_sql, hits_sql, query
 
 # The areas of rings as text, by string aggregation.
@@ -68,6 +68,32 @@ def overlay_area(_, ring, box):
     return overlay.overlay_areas(ring, box).where("degrees2 > 1e-9").select("oid_a", "oid_b", F.round("degrees2", 6).alias("degrees2"))
 
 
+# Rings by Euler: of the intervals of all slabs (nodes) and their meetings (links), rings are twice the components, less nodes, plus links.
+DISSOLVED = """r AS (SELECT oid, ring AS h, min(x) AS x0, max(x) AS x9, min(y) AS y0, max(y) AS y9 FROM box GROUP BY ALL),
+    j AS (SELECT d.oid AS oid_a, o.oid AS oid_b, cx, cy, o.x0, o.x9, o.y0, o.y9, i.x0 AS h0, i.x9 AS h9, i.y0 AS g0, i.y9 AS g9
+      FROM diamond d JOIN r o ON o.h = 0 AND o.x0 < cx + 5 AND o.x9 > cx - 5 AND o.y0 < cy + 4.375 AND o.y9 > cy - 4.375 JOIN r i ON i.h = 1 AND i.oid = o.oid),
+    cut AS (SELECT DISTINCT j.*, x FROM (SELECT j, unnest([x0, x9, h0, h9, cx - 5, cx, cx + 5] || list_transform([y0, y9, g0, g9], lambda v: cx - 5 * (1 - abs(v - cy) / 4.375)) || list_transform([y0, y9, g0, g9], lambda v: cx + 5 * (1 - abs(v - cy) / 4.375))) AS x FROM j)
+      WHERE x BETWEEN greatest(j.x0, j.cx - 5) AND least(j.x9, j.cx + 5)),
+    slab AS (SELECT *, x AS a, lead(x) OVER w AS b, row_number() OVER w AS n FROM cut WINDOW w AS (PARTITION BY oid_a, oid_b ORDER BY x)),
+    ends AS (SELECT *, (a + b) / 2 AS m, list_transform([a, (a + b) / 2, b], lambda p: greatest(y0, cy - 4.375 * (1 - abs(p - cx) / 5))) AS lo, list_transform([a, (a + b) / 2, b], lambda p: least(y9, cy + 4.375 * (1 - abs(p - cx) / 5))) AS hi FROM slab WHERE b IS NOT NULL),
+    node AS (SELECT * FROM (SELECT oid_a, oid_b, n, a, b, k, CASE WHEN k = 2 THEN list_transform(lo, lambda v: greatest(v, g9)) ELSE lo END AS lo, CASE WHEN k = 1 THEN list_transform(hi, lambda v: least(v, g0)) ELSE hi END AS hi
+      FROM ends, (VALUES (0), (1), (2)) AS v(k) WHERE (k > 0) = (m > h0 AND m < h9)) WHERE hi[2] > lo[2] + 1e-9),
+    link AS (SELECT p.oid_a, p.oid_b, p.n * 3 + p.k AS a, q.n * 3 + q.k AS b FROM node p JOIN node q ON p.oid_a = q.oid_a AND p.oid_b = q.oid_b AND q.n = p.n + 1 AND least(p.hi[3], q.hi[1]) > greatest(p.lo[3], q.lo[1]) + 1e-9),
+    ways AS (SELECT * FROM link UNION ALL SELECT oid_a, oid_b, b, a FROM link),
+    walked(oid_a, oid_b, a, seen) AS (SELECT oid_a, oid_b, n * 3 + k, n * 3 + k FROM node UNION SELECT w.oid_a, w.oid_b, t.b, w.seen FROM walked w JOIN ways t ON t.oid_a = w.oid_a AND t.oid_b = w.oid_b AND t.a = w.a),
+    part AS (SELECT oid_a, oid_b, count(DISTINCT least_) AS c FROM (SELECT oid_a, oid_b, a, min(seen) AS least_ FROM walked GROUP BY ALL) GROUP BY ALL),
+    size AS (SELECT oid_a, oid_b, count(*) AS n, sum((b - a) * (hi[2] - lo[2])) AS degrees2 FROM node GROUP BY ALL)
+    SELECT oid_a, oid_b, c AS parts, 2 * c - n + (SELECT count(*) FROM link l WHERE l.oid_a = s.oid_a AND l.oid_b = s.oid_b) AS rings, round(degrees2, 6) AS degrees2 FROM size s JOIN part USING (oid_a, oid_b)"""
+
+
+@query("diamond ring box", DISSOLVED)
+def dissolved_overlay(_, ring, box):
+    """Parts, rings and size of the outlines of what diamonds and boxes share, by way of their areas."""
+    found = dissolve.dissolved_overlay(ring, box).select(F.struct("oid_a", "oid_b").alias("oid"), "part", "ring", "i", "x", "y")
+    area = overlay.areas_of(found)
+    return area.select("oid.*", F.size("geometry").cast("long").alias("parts"), F.size(F.flatten("geometry")).cast("long").alias("rings"), F.round(wkt.plane_area(F.col("geometry")), 6).alias("degrees2"))
+
+
 @query("diamond ring box", SHARED + " SELECT oid_a AS oid, round(degrees2, 6) AS degrees2 FROM common WHERE oid_b = 2 AND degrees2 > 1e-9")
 def layer_in_area(_, ring, box):
     return overlay.layer_in_area(ring, box.where("oid = 2")).where("degrees2 > 1e-9").select("oid", F.round("degrees2", 6).alias("degrees2"))
@@ -78,6 +104,29 @@ def objects_intersecting(_, ring, box):
     return overlay.objects_intersecting(ring, box.where("oid in (1, 3)"))
 
 
+PLOTS = "p AS (SELECT oid, min(x) AS x0, min(y) AS y0, max(x) AS x9, max(y) AS y9 FROM plot GROUP BY oid)"
+
+
+@query("plot", PLOTS + " SELECT a.oid AS oid_a, b.oid AS oid_b FROM p a JOIN p b ON a.oid < b.oid AND a.x0 <= b.x9 AND b.x0 <= a.x9 AND a.y0 <= b.y9 AND b.y0 <= a.y9")
+def objects_touching(plot):
+    """Plots that share a side or a corner."""
+    return overlay.relations(plot, plot).where("oid_a < oid_b").select("oid_a", "oid_b")
+
+
+@query("plot diamond ring", PLOTS + """ SELECT d.oid AS oid_a, p.oid AS oid_b, x0 <= cx - 5 AND x9 >= cx + 5 AND y0 <= cy - 4.375 AND y9 >= cy + 4.375 AS within FROM diamond d JOIN p
+    ON abs(greatest(x0, least(x9, cx)) - cx) / 5 + abs(greatest(y0, least(y9, cy)) - cy) / 4.375 <= 1""")
+def object_relations(plot, _, ring):
+    return overlay.relations(ring, plot).select("oid_a", "oid_b", "within")
+
+
+@query("plot box", PLOTS + """, r AS (SELECT ring AS h, oid AS b, min(x) AS x0, min(y) AS y0, max(x) AS x9, max(y) AS y9 FROM box GROUP BY ALL)
+    SELECT DISTINCT p.oid FROM p JOIN r o ON o.h = 0 AND p.x0 >= o.x0 AND p.x9 <= o.x9 AND p.y0 >= o.y0 AND p.y9 <= o.y9
+    JOIN r h ON h.h = 1 AND h.b = o.b AND NOT (p.x0 < h.x9 AND p.x9 > h.x0 AND p.y0 < h.y9 AND p.y9 > h.y0)""")
+def objects_within(plot, box):
+    """Plots within a box and clear of its hole."""
+    return overlay.objects_within(plot, box)
+
+
 @query(
     "occ ring box edge box_edge",
     BOTH
@@ -101,6 +150,16 @@ def within_degrees(ring, _):
     return polygons.within_degrees(ring, *FOCUS, 600_000).select("oid", F.round("distance", 6).alias("distance"))
 
 
+HAVERSINE = "2 * asin(sqrt(least(1, pow(sin((radians(b.y) - radians(a.y)) / 2), 2) + cos(radians(a.y)) * cos(radians(b.y)) * pow(sin((radians(b.x) - radians(a.x)) / 2), 2)))) * 6378137.0"
+
+
+@query("globe", f"d AS (SELECT a.pid AS pt, b.pid AS pid, {HAVERSINE} AS m FROM globe a JOIN globe b ON a.pid % 4 = 0) SELECT pt, pid, round(m, 2) AS metres FROM d WHERE m <= 1500000")
+def radius_join(globe):
+    """Places over the whole sphere, poles and date line included."""
+    places = globe.where("pid % 4 = 0").select(F.col("pid").alias("pt"), "x", "y")
+    return sphere.within_radius(places, globe, 1_500_000).select("pt", "pid", F.round("metres", 2).alias("metres"))
+
+
 IN_BOX = hits_sql("box_edge").replace("FROM occ JOIN", "FROM (SELECT pid AS pt, x, y FROM object) JOIN")
 
 

@@ -29,6 +29,10 @@ SQL = {
         SELECT cast(r_regionkey AS bigint) AS oid, 0 AS part, h AS ring, i,
           112 + 8.0e0 * r_regionkey + h * 2.0e0 + (8.0e0 - h * 4.0e0) * fx AS x, -44.0e0 + h * 8.0e0 + (34.0e0 - h * 16.0e0) * fy AS y
         FROM region CROSS JOIN square CROSS JOIN hole""",
+    "plot": """
+        SELECT cast(n_nationkey AS bigint) AS oid, 0 AS part, 0 AS ring, i,
+          112 + 8.0e0 * (n_nationkey % 5) + 8.0e0 * fx AS x, -44 + 7.0e0 * floor(n_nationkey / 5) + 7.0e0 * fy AS y
+        FROM nation CROSS JOIN square""",
     "edge": """
         SELECT a.oid, a.part, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2
         FROM ring a JOIN ring b ON a.oid = b.oid AND a.part = b.part AND a.ring = b.ring AND b.i = a.i + 1""",
@@ -55,6 +59,8 @@ SQL = {
         SELECT cast(p_partkey AS string) AS pid, p_name AS name, concat(p_brand, ' ', p_type) AS description,
           concat('cl', cast(p_partkey % 25 AS string)) AS fid, p_size AS size, p_partkey,
           112 + ((p_partkey * 7919) % 2560) / 64.0e0 AS x, -44 + ((p_partkey * 104729) % 2176) / 64.0e0 AS y FROM part""",
+    "globe": """
+        SELECT p_partkey AS pid, ((p_partkey * 7919) % 5760) / 16.0e0 - 180 AS x, ((p_partkey * 104729) % 2880) / 16.0e0 - 90 AS y FROM part""",
     "dist": """
         SELECT p_partkey AS spcode, p_brand AS family, p_name AS scientific, concat('urn:lsid:', cast(p_partkey % 40 AS string)) AS lsid,
           cast(p_size AS double) * 10 AS min_depth, cast(p_size AS double) * 10 + 25 AS max_depth,

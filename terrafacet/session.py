@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -32,12 +33,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def settle(df: DataFrame) -> DataFrame:
     """`df` cut from its lineage in the shared checkpoint folder; an own folder where the setting is unset on one machine."""
-    context = df.sparkSession.sparkContext
+    _shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder below which Spark keeps this application's checkpoints."""
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         if not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir("file:///tmp/checkpoints")
-    return df.checkpoint()
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """As settle, by a Parquet table beside the checkpoints: computed once, its columns read as needed; deleted when the driver ends."""
+    spark = df.sparkSession
+    path = f"{_shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def ship_package(spark: SparkSession) -> None:

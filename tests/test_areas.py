@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrafacet.functions import colours, wkt
-from terrafacet.operators import catalog, facets, outlines, overlay, rasters, sampling, tabulation
+from terrafacet.operators import tiles, catalog, facets, outlines, overlay, rasters, sampling, tabulation
 from terrafacet.sources import grids, records
 
 SQUARE = "POLYGON((0 0,4 0,4 4,0 4,0 0),(1 1,2 1,2 2,1 2,1 1))"
@@ -33,26 +33,87 @@ def edges(ring):
     return np.array([[*a, *b] for a, b in zip(ring, ring[1:])], float)
 
 
-def size(found):
-    return sum(abs(sum(a["x"] * b["y"] - b["x"] * a["y"] for a, b in zip(r, r[1:]))) / 2 for p in found for r in p)
+def rings_frame(spark, objects):
+    """Rings from {oid: [[ring, ...] of a part, ...]}, closed on the way."""
+    rows = [(oid, p, r, i, float(x), float(y)) for oid, parts in objects.items() for p, rings in enumerate(parts) for r, ring in enumerate(rings) for i, (x, y) in enumerate([*ring, ring[0]])]
+    return spark.createDataFrame(rows, "oid long, part int, ring int, i int, x double, y double")
 
 
-def test_shared_area_of_concave_shapes_against_a_fine_lattice():
-    star = [(math.cos(k * math.pi / 5) * (3 if k % 2 else 1.2), math.sin(k * math.pi / 5) * (3 if k % 2 else 1.2)) for k in range(10)]
-    comb = [(-2, -2), (2, -2), (2, 2), (1, 2), (1, -1), (-1, -1), (-1, 2), (-2, 2)]
-    shapes = [edges([*s, s[0]]) for s in (star, comb)]
+def square(x, y, w, h=None):
+    return [(x, y), (x + w, y), (x + w, y + (h or w)), (x, y + (h or w))]
 
-    def inside(e, x, y):
-        hit = (e[:, 0] > x) != (e[:, 2] > x)
+
+def covered(parts, x, y):
+    def inside(ring):
+        e = edges([*ring, ring[0]])
         with np.errstate(divide="ignore", invalid="ignore"):
-            return (hit & (e[:, 1] + (x - e[:, 0]) * (e[:, 3] - e[:, 1]) / (e[:, 2] - e[:, 0]) > y)).sum() % 2 == 1
-
-    step = 0.02
-    at = np.arange(-3, 3, step) + step / 2
-    lattice = sum(inside(shapes[0], x, y) and inside(shapes[1], x, y) for x in at for y in at) * step * step
-    assert size(overlay.shared(*shapes)) == pytest.approx(lattice, abs=0.05)
-    square = edges([(0, 0), (1, 0), (1, 1), (0, 1), (0, 0)])
-    assert size(overlay.shared(square, square)) == 1.0 and overlay.shared(square, square + 1.0) == []
+            return (((e[:, 0] > x) != (e[:, 2] > x)) & (e[:, 1] + (x - e[:, 0]) * (e[:, 3] - e[:, 1]) / (e[:, 2] - e[:, 0]) > y)).sum() % 2 == 1
+
+    return any(sum(map(inside, rings)) % 2 for rings in parts)
+
+
+def stars(rng, parts, corners, grid=None):
+    found = []
+    for _ in range(parts):
+        turn, (cx, cy) = np.sort(rng.random(corners)) * 2 * math.pi, rng.normal(size=2)
+        ring = [(cx + 2 * r * math.cos(t), cy + 2 * r * math.sin(t)) for t, r in zip(turn, 0.3 + 0.7 * rng.random(corners))]
+        found.append([[(round(x / grid) * grid, round(y / grid) * grid) for x, y in ring] if grid else ring])
+    return found
+
+
+def test_shared_area_of_overlapping_parts_against_a_fine_lattice(spark):
+    rng = np.random.default_rng(4)
+    first, second = {1: stars(rng, 3, 9), 2: stars(rng, 1, 30)}, {7: stars(rng, 2, 12), 8: stars(rng, 2, 8, 0.5)}
+    step = 0.05
+    at = np.arange(-5, 5, step) + step / 2
+    held = {k: np.array([[covered(parts, x, y) for y in at] for x in at]) for k, parts in (first | second).items()}
+    found = {(r.oid_a, r.oid_b): r.degrees2 for r in overlay.overlay_areas(rings_frame(spark, first), rings_frame(spark, second)).collect()}
+    for a in first:
+        for b in second:
+            assert found.get((a, b), 0) == pytest.approx((held[a] & held[b]).sum() * step * step, abs=0.15)
+
+
+def test_parts_of_an_object_are_united(spark):
+    two = {1: [[square(0, 0, 2)], [square(1, 0, 2)]], 3: [[square(20, 20, 1)]]}
+    found = overlay.overlay_areas(rings_frame(spark, two), rings_frame(spark, {2: [[square(-5, -5, 20)]]})).collect()
+    assert [(r.oid_a, r.oid_b, r.degrees2) for r in found] == [(1, 2, 6.0)]
+    assert overlay.overlay_areas(rings_frame(spark, two).limit(0), rings_frame(spark, two)).collect() == []
+
+
+def test_cut_tiles_give_the_areas_of_whole_ones(spark, monkeypatch):
+    """The same pairs with pieces of 8 edges at most, on lattice coordinates that meet tile corners, and with three layers."""
+    rng = np.random.default_rng(6)
+    layers = [{k: stars(rng, 2, 40, g) for k in range(2)} for g in (None, 0.25, 0.5)]
+    frames = [rings_frame(spark, x) for x in layers]
+    rounded = lambda: sorted((r.oid_a, r.oid_b, r.oid_c, round(r.degrees2, 6)) for r in overlay.overlay_areas(*frames).collect())
+    whole = rounded()
+    monkeypatch.setattr(tiles, "PIECE_EDGES", 8)
+    assert rounded() == whole and len(whole) == 8
+
+
+def test_large_outlines(spark):
+    """Rings of 20 000 vertices against the sum over one tile that holds them whole."""
+    rng, n, outlines_ = np.random.default_rng(1), 20_000, []
+    for cx in (0, 1.5):
+        turn = np.linspace(0, 2 * math.pi, n, endpoint=False)
+        r = 5 * (1 + 0.05 * np.sin(37 * turn) + 0.0005 * rng.random(n))
+        outlines_.append(list(zip((cx + r * np.cos(turn)).tolist(), (r * np.sin(turn)).tolist())))
+    found = overlay.overlay_areas(*(rings_frame(spark, {k: [[ring]]}) for k, ring in enumerate(outlines_))).collect()
+    objects = []
+    for ring in outlines_:
+        e = edges([*ring, ring[0]])
+        objects.append(([np.zeros(n, int), *e.T], np.zeros(0, int)))
+    t = overlay.shared_in_tile(objects, (-16, -16, 16, 16))
+    assert [r.degrees2 for r in found] == [pytest.approx((((t.high0 - t.low0) + (t.high1 - t.low1)) / 2 * (t.x1 - t.x0)).sum(), abs=1e-7)]
+
+
+def test_relations_of_objects_that_touch_nest_and_miss(spark):
+    first = {1: [[square(0, 0, 1)]], 2: [[square(3, 3, 1)]], 3: [[square(10, 10, 4), square(11, 11, 2)]], 4: [[square(0, 5, 1)], [square(3.25, 3.25, 0.5)]], 5: [[square(100, 0, 1)]]}
+    second = {11: [[square(1, 1, 2)]], 12: [[square(1, 0, 1)]], 13: [[square(2.5, 2.5, 2)]], 14: [[square(11, 11, 2)]], 15: [[square(11.5, 11.5, 1)]], 16: [[square(101 + 2**-40, 0, 1)]], 17: [[square(-1, 4, 20)]]}
+    found = {(r.oid_a, r.oid_b): r.within for r in overlay.relations(rings_frame(spark, first), rings_frame(spark, second)).collect()}
+    assert found == {(1, 11): False, (1, 12): False, (2, 11): False, (2, 13): True, (4, 13): False, (3, 14): False, (4, 17): False, (3, 17): True, (2, 17): False}
+    backwards = {(r.oid_b, r.oid_a) for r in overlay.relations(rings_frame(spark, second), rings_frame(spark, first)).collect()}
+    assert backwards == set(found)
 
 
 @pytest.mark.parametrize("kind,big", [("BYTE", False), ("UBYTE", False), ("SHORT", True), ("INT", False), ("LONG", True), ("FLOAT", False), ("FLOAT", True), ("DOUBLE", True)])

@@ -15,6 +15,8 @@ from terrafacet.functions import measure
 RING = r"\(([^()]*)\)"
 POLYGON = r"\(\s*(\([^()]*\)(?:\s*,\s*\([^()]*\))*)\s*\)"
 MEMBER = r"([A-Za-z]+\s*(?:\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)|EMPTY))"
+MEMBERS = r"MULTIPOLYGON\(%\)|(?:MULTIPOINT|MULTILINESTRING|POLYGON)%|(?:MULTIPOINT|POINT|LINESTRING)@|[A-Z]+ EMPTY"
+NUMBER = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:E[-+]?\d+)?"
 KINDS = ("POLYGON", "MULTIPOLYGON", "GEOMETRYCOLLECTION")
 
 
@@ -49,10 +51,23 @@ def valid(area: Column) -> Column:
     return F.coalesce((F.size(area) > 0) & F.forall(area, lambda rings: (F.size(rings) > 0) & F.forall(rings, sound)), F.lit(False))
 
 
+def wkt_form(wkt: Column) -> Column:
+    """The whole text follows the grammar of an area, or of a collection of geometries that aren't collections.
+
+    Points, rings, polygons and members are each replaced by a sign, and a list of
+    them by one, so that the text shrinks to one of a few forms.
+    """
+    tight = F.regexp_replace(F.trim(F.regexp_replace(F.upper(wkt), r"\s+", " ")), r" ?([(),]) ?", "$1")
+    shrunk = F.regexp_replace(tight, rf"(?<=[(,]){NUMBER} {NUMBER}(?=[,)])", "#")
+    for whole, sign in ((r"#", "#"), (r"\(#\)", "@"), (r"\(@\)", "%")):
+        shrunk = F.regexp_replace(F.regexp_replace(shrunk, whole, sign), f"(?<={sign}),{sign}", "")
+    members = F.regexp_replace(F.regexp_replace(shrunk, rf"(?<=[(,])(?:{MEMBERS})(?=[,)])", "&"), "(?<=&),&", "")
+    return ~wkt.rlike("[#@%&]") & (shrunk.isin("POLYGON%", "MULTIPOLYGON(%)") | (members == "GEOMETRYCOLLECTION(&)"))
+
+
 def wkt_valid(wkt: Column) -> Column:
-    """The text is that of an area, whole and sound: its brackets balance and nothing else stands in them."""
-    shape = F.regexp_replace(wkt, r"[^()]", "")
-    return F.coalesce(geometry_type(wkt).isin(*KINDS) & (F.length(F.replace(shape, F.lit("("))) == F.length(F.replace(shape, F.lit(")")))) & valid(from_wkt(wkt)), F.lit(False))
+    """The text is that of an area, as a whole, and its rings are closed. Whether rings cross or nest wrongly is told by `operators.validity`."""
+    return F.coalesce(wkt_form(wkt) & valid(from_wkt(wkt)), F.lit(False))
 
 
 def collection_parts(wkt: Column) -> Column:

@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 from terrafacet.session import written
 
 #: Edges of an object in a tile, beyond which the tile is cut, and how often at most.
-PIECE_EDGES, MOST_CUTS = 256, 12
+PIECE_EDGES, MOST_CUTS = 256, 6
 #: A cut tile becomes 2 ** HALVINGS columns and rows of tiles.
 HALVINGS = 2
 #: The part of a tile's width by which places are taken to touch it though rounding says otherwise.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from terrafacet.functions import colours, measure, wkt
-from terrafacet.operators import dissolve, legends, outlines, overlay, polygons, rasters, sampling, sphere
+from terrafacet.operators import dissolve, legends, outlines, overlay, polygons, rasters, sampling, sphere, validity
 from terrafacet.plans.catalogue import BOTH, CELL, FOCUS, LATTICE, MASK, RANGES, equal_area_sql, hits_sql, query
 
 # The areas of rings as text, by string aggregation.
@@ -104,6 +104,31 @@ def objects_intersecting(_, ring, box):
     return overlay.objects_intersecting(ring, box.where("oid in (1, 3)"))
 
 
+# What is done to the text of a box with a hole, and whether it is an area then.
+SPOILT = [
+    ("wkt", True),
+    ("concat(wkt, ' or so')", False),
+    ("concat('POLYGON((', hole, '),(', outline, '))')", False),  # the hole around its outline
+    ("concat('MULTIPOLYGON(((', outline, ')),((', hole, ')))')", False),  # parts on each other
+    ("concat('MULTIPOLYGON(((', outline, '),(', hole, ')),((', hole, ')))')", False),  # a part that fills a hole shares its border
+    ("concat('MULTIPOLYGON(((', outline, '),(', hole, ')),((0 0,1 0,1 1,0 1,0 0)))')", True),
+    ("concat('GEOMETRYCOLLECTION(POINT(1 2),', wkt, ')')", True),
+    ("concat('POLYGON((', outline, '),(0 0,1 0,1 1,0 1,0 0))')", False),  # a hole outside
+    ("replace(concat('POLYGON((', outline, '))'), '(112.0 -44.0,', '(112.0 -44.0,160.0 -20.0,')", None),
+    ("concat('POLYGON((', outline, '),(', hole, '),(', hole, '))')", False),
+]
+
+
+@query("box", "o AS (SELECT DISTINCT oid FROM box) SELECT oid, k, CASE WHEN k = 8 THEN oid <> 0 ELSE sound END AS valid FROM o, (VALUES " + ", ".join(f"({k}, {v is not False})" for k, (_, v) in enumerate(SPOILT)) + ") AS v(k, sound)")
+def area_validity(box):
+    """Texts of areas that are valid or spoilt in one of several ways; in one of them the first box's outline crosses itself."""
+    text = overlay.areas_of(box).select("oid", wkt.to_wkt(F.col("geometry")).alias("wkt"))
+    ring = [F.regexp_extract(F.regexp_extract(F.col("wkt"), r"\(\((.*)\)\)", 1), p, 1) for p in (r"^(.*)\),\(", r"\),\((.*)$")]
+    text = text.select("oid", "wkt", ring[0].alias("outline"), ring[1].alias("hole"))
+    every = text.select("oid", F.posexplode(F.array(*(F.expr(e) for e, _ in SPOILT))).alias("k", "wkt")).select(F.struct("oid", "k").alias("oid"), "wkt")
+    return validity.valid_areas(every).select("oid.oid", "oid.k", "valid")
+
+
 PLOTS = "p AS (SELECT oid, min(x) AS x0, min(y) AS y0, max(x) AS x9, max(y) AS y9 FROM plot GROUP BY oid)"
 
 

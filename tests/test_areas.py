@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrafacet.functions import colours, wkt
-from terrafacet.operators import tiles, catalog, facets, outlines, overlay, rasters, sampling, tabulation
+from terrafacet.operators import catalog, facets, outlines, overlay, rasters, sampling, sphere, tabulation, tiles, validity
 from terrafacet.sources import grids, records
 
 SQUARE = "POLYGON((0 0,4 0,4 4,0 4,0 0),(1 1,2 1,2 2,1 2,1 1))"
@@ -88,6 +88,7 @@ def test_cut_tiles_give_the_areas_of_whole_ones(spark, monkeypatch):
     rounded = lambda: sorted((r.oid_a, r.oid_b, r.oid_c, round(r.degrees2, 6)) for r in overlay.overlay_areas(*frames).collect())
     whole = rounded()
     monkeypatch.setattr(tiles, "PIECE_EDGES", 8)
+    monkeypatch.setattr(tiles, "MOST_CUTS", 2)
     assert rounded() == whole and len(whole) == 8
 
 
@@ -107,6 +108,63 @@ def test_large_outlines(spark):
     assert [r.degrees2 for r in found] == [pytest.approx((((t.high0 - t.low0) + (t.high1 - t.low1)) / 2 * (t.x1 - t.x0)).sum(), abs=1e-7)]
 
 
+def test_validity_of_texts(spark):
+    outer = "(0 0,9 0,9 9,0 9,0 0)"
+    cases = {
+        "POLYGON((0 0,1 0,1 1,0 0))": True,
+        " polygon ( ( 0 0 , 1 0, 1 1e0,0  0 ) ) ": True,
+        "POLYGON((0 0,1 0,1 1,0 0)) hello": False,
+        "POLYGON((0 0,1 0,1 1,0 0)),1 1": False,
+        "POLYGON((0 0,1 1,1 0,0 1,0 0))": False,  # bow tie
+        f"POLYGON({outer},(2 2,4 2,4 4,2 4,2 2))": True,
+        f"POLYGON({outer},(0 0,4 2,4 4,0 0))": True,  # a hole touches in a point
+        f"POLYGON({outer},(0 0,4 0,4 4,0 0))": False,  # along a side
+        f"POLYGON({outer},(8 8,12 8,12 12,8 12,8 8))": False,
+        f"POLYGON({outer},(1 1,5 1,5 5,1 5,1 1),(2 2,3 2,3 3,2 3,2 2))": False,  # a hole in a hole
+        f"POLYGON({outer},(1 1,3 1,3 3,1 3,1 1),(3 3,5 3,5 5,3 5,3 3))": True,
+        "POLYGON((0 0,4 0,4 4,2 0,0 4,0 0))": False,  # a vertex on another edge
+        "POLYGON((0 0,4 0,2 2,4 4,0 4,2 2,0 0))": False,  # twice through a point
+        "POLYGON((0 0,4 0,6 0,4 0,4 4,0 0))": False,  # a spike
+        "POLYGON((0 0,0 0,1 0,1 1,0 0))": True,  # a repeated point
+        f"MULTIPOLYGON(({outer}),((20 0,21 0,21 1,20 0)))": True,
+        f"MULTIPOLYGON(({outer}),((9 0,21 0,21 1,9 0)))": True,  # a common corner
+        f"MULTIPOLYGON(({outer}),((9 0,21 0,9 9,9 0)))": False,  # a common side
+        f"MULTIPOLYGON(({outer},(2 2,7 2,7 7,2 7,2 2)),((3 3,4 3,4 4,3 3)))": True,  # an island
+        f"MULTIPOLYGON(({outer}),((20 0,30 0,30 10,20 10,20 0),(2 2,3 2,3 3,2 2)))": False,  # a hole in another part
+        "GEOMETRYCOLLECTION(POINT(1 2),POLYGON((0 0,1 0,1 1,0 0)),LINESTRING(0 0,1 1))": True,
+        "GEOMETRYCOLLECTION(POINT(1 2 3),POLYGON((0 0,1 0,1 1,0 0)))": False,
+        "POLYGON((#,1 0,1 1,0 0))": False,
+        "POINT(1 2)": False,
+        "": False,
+        None: False,
+    }
+    texts = spark.createDataFrame(list(enumerate(cases)), "oid long, wkt string")
+    assert {k: r.valid for k, r in zip(cases, sorted(validity.valid_areas(texts).collect()))} == cases
+
+
+def test_radius_join_over_the_date_line_and_the_poles(spark):
+    rng = np.random.default_rng(2)
+    x, y = rng.uniform(-180, 180, 400), np.degrees(np.arcsin(rng.uniform(-1, 1, 400)))
+    x[:8], y[:8] = [180, -180, 179.99, -179.99, 0, 90, 0, 540], [0, 0, 10, 10, 90, 90, -90, 0]
+    rows = [(k, float(a), float(b)) for k, (a, b) in enumerate(zip(x, y))]
+    odd = [(900, None, 1.0), (901, 1.0, float("nan")), (902, 1.0, 91.0), (None, 0.5, 0.5)]
+    frame = lambda name: spark.createDataFrame(rows + odd[:3], f"{name} long, x double, y double")
+
+    def far(a, b):
+        (x1, y1), (x2, y2) = ((math.radians(p[1]), math.radians(p[2])) for p in (a, b))
+        return 2 * math.asin(math.sqrt(min(1, math.sin((y2 - y1) / 2) ** 2 + math.cos(y1) * math.cos(y2) * math.sin((x2 - x1) / 2) ** 2))) * 6_378_137
+
+    for metres in (500.0, 700_000.0, 9_000_000.0):
+        found = {(r.pt, r.pid) for r in sphere.within_radius(frame("pt"), frame("pid"), metres).collect()}
+        assert found == {(a[0], b[0]) for a in rows for b in rows if far(a, b) <= metres}
+
+
+def test_busy_cells_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(sphere, "CELL_ROWS", 10)
+    places = spark.range(100).selectExpr("id AS pt", "id / 1000 AS x", "0.0 AS y")
+    assert sphere.within_radius(places, places.selectExpr("pt AS pid", "x", "y"), 1e5).count() == 10_000
+
+
 def test_relations_of_objects_that_touch_nest_and_miss(spark):
     first = {1: [[square(0, 0, 1)]], 2: [[square(3, 3, 1)]], 3: [[square(10, 10, 4), square(11, 11, 2)]], 4: [[square(0, 5, 1)], [square(3.25, 3.25, 0.5)]], 5: [[square(100, 0, 1)]]}
     second = {11: [[square(1, 1, 2)]], 12: [[square(1, 0, 1)]], 13: [[square(2.5, 2.5, 2)]], 14: [[square(11, 11, 2)]], 15: [[square(11.5, 11.5, 1)]], 16: [[square(101 + 2**-40, 0, 1)]], 17: [[square(-1, 4, 20)]]}

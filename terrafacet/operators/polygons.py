@@ -210,7 +210,7 @@ def object_contains(rings: DataFrame, oid: int, x: float, y: float) -> DataFrame
 
 def at_location(points: DataFrame, rings: DataFrame, classes: DataFrame, lattice, layer: str) -> DataFrame:
     """pt and pid: the first object that holds a point; where none does, `layer`:class of a class raster; else null."""
-    cell = points.select("pt", lattice.cell(F.col("x"), F.col("y")).alias("cell")).join(classes.select("cell", F.col("value").cast("int").alias("class")), "cell", "left")
+    cell = points.select("pt", lattice.key(F.col("x"), F.col("y"), F.col("pt")).alias("cell")).join(classes.select("cell", F.col("value").cast("int").alias("class")), "cell", "left")
     hits = first_hit(points.select("pt", "x", "y"), rings).select("pt", "oid")
     pid = F.coalesce(F.col("oid").cast("string"), F.when(F.col("class").isNotNull(), F.concat_ws(":", F.lit(layer), F.col("class").cast("string"))))
     return hits.join(cell, "pt").select("pt", pid.alias("pid"))

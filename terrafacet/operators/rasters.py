@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from terrafacet.functions.measure import cell_area
+from terrafacet.operators.tiles import edges_of
 from terrafacet.session import settle
 
 
@@ -28,11 +29,19 @@ class Lattice:
     rows: int
 
     def cell(self, px: Column, py: Column) -> Column:
-        """The cell of a place, null outside; the upper edges belong to the last cells."""
-        col = F.least(F.lit(self.columns - 1), F.floor((px - self.x) / self.dx).cast("int"))
-        up = F.least(F.lit(self.rows - 1), F.floor((py - self.y) / self.dy).cast("int"))
+        """The cell (LONG) of a place, null outside; the upper edges belong to the last cells."""
         held = px.between(self.x, self.x + self.dx * self.columns) & py.between(self.y, self.y + self.dy * self.rows)
-        return F.when(held, (self.rows - 1 - up) * self.columns + col)
+        col = F.least(F.lit(self.columns - 1), F.floor((px - self.x) / self.dx))
+        up = F.least(F.lit(self.rows - 1), F.floor((py - self.y) / self.dy))
+        return F.when(held, self.number(F.lit(self.rows - 1) - up, col))
+
+    def number(self, row: Column, col: Column) -> Column:
+        """The cell (LONG) of a row and a column."""
+        return row.cast("long") * F.lit(self.columns).cast("long") + col.cast("long")
+
+    def key(self, px: Column, py: Column, place: Column) -> Column:
+        """As cell; places without one get a negative number by a hash of `place`, so that a join deals them out."""
+        return F.coalesce(self.cell(px, py), -1 - F.pmod(F.xxhash64(place), F.lit(1 << 20)))
 
     def south(self, row: Column) -> Column:
         """Latitude of a row's southern edge."""
@@ -47,7 +56,7 @@ class Lattice:
 def sample(points: DataFrame, cells: DataFrame, lattice: Lattice) -> DataFrame:
     """Points (pt, x, y) with layer and value of each layer, a row for each row of points; off the lattice or on no data the value is null."""
     layers = cells.select("layer").distinct()
-    placed = points.select("pt", lattice.cell(F.col("x"), F.col("y")).alias("cell"))
+    placed = points.select("pt", lattice.key(F.col("x"), F.col("y"), F.col("pt")).alias("cell"))
     by_cell = cells.groupBy("cell").agg(F.map_from_entries(F.collect_list(F.struct("layer", "value"))).alias("held"))  # an entry per layer
     met = placed.join(by_cell, "cell", "left").crossJoin(F.broadcast(layers))  # a row per layer
     return met.select("pt", "layer", F.expr("held[layer]").alias("value"))
@@ -55,7 +64,7 @@ def sample(points: DataFrame, cells: DataFrame, lattice: Lattice) -> DataFrame:
 
 def sample_classes(points: DataFrame, cells: DataFrame, names: DataFrame, lattice: Lattice) -> DataFrame:
     """pt, class and class_name ('' for a class without a name, null off the raster)."""
-    placed = points.select("pt", lattice.cell(F.col("x"), F.col("y")).alias("cell"))
+    placed = points.select("pt", lattice.key(F.col("x"), F.col("y"), F.col("pt")).alias("cell"))
     valued = placed.join(cells.select("cell", F.col("value").cast("int").alias("class")), "cell", "left")
     found = valued.join(names, "class", "left")
     return found.select("pt", "class", F.when(F.col("class").isNotNull(), F.coalesce("class_name", F.lit(""))).alias("class_name"))
@@ -142,28 +151,48 @@ def same_shape(headers: DataFrame) -> DataFrame:
     return grouped.select(F.dense_rank().over(Window.orderBy(F.col("layers")[0])).alias("grid_group"), F.explode("layers").alias("layer"))
 
 
-def region_mask(lattice: Lattice, spark_range: DataFrame, rings: DataFrame) -> DataFrame:
-    """cell, row, col of the lattice cells whose centre is in an object; `spark_range` has the cells' numbers in `id`."""
-    from terrafacet.operators.polygons import contains
+def filled(rings: DataFrame, lattice: Lattice) -> DataFrame:
+    """oid, cell, row and col of the lattice cells whose middle lies in an object or on its border, once an object.
+
+    By lines through the middles of rows: where edges of a part cross a line, the
+    cells between the first crossing and the second, the third and the fourth, and
+    so on, are inside. So the work grows with outlines and with what they hold,
+    not with the lattice.
+    """
+    edges = edges_of(rings)
+    x1, y1, x2, y2, up = (F.col(c) for c in ("x1", "y1", "x2", "y2", "up"))
+
+    def line(y: Column) -> Column:
+        """The row, counted from the south, whose middle is at y or next above it."""
+        return F.ceil((y - lattice.y) / lattice.dy - 0.5)
+
+    def middle(n: Column) -> Column:
+        return F.lit(lattice.y) + (n + 0.5) * lattice.dy
 
-    col, row = (F.col("id") % lattice.columns).cast("int"), F.floor(F.col("id") / lattice.columns).cast("int")
-    centres = spark_range.select(F.col("id").cast("int").alias("pt"), row.alias("row"), col.alias("col")).withColumn("x", lattice.x + (F.col("col") + 0.5) * lattice.dx).withColumn("y", lattice.south(F.col("row")) + lattice.dy / 2)
-    hits = contains(centres, rings).select("pt").distinct()
-    return centres.join(hits, "pt", "left_semi").select(F.col("pt").alias("cell"), "row", "col")
+    first, last = F.greatest(line(F.least(y1, y2)) - 1, F.lit(0)), F.least(line(F.greatest(y1, y2)) + 1, F.lit(lattice.rows - 1))
+    met = edges.where(first <= last).withColumn("up", F.explode(F.sequence(first, last))).withColumn("y", middle(up))
+    y = F.col("y")
+    crossed = met.where((y1 > y) != (y2 > y)).select("oid", "part", "up", (x1 + (y - y1) * ((x2 - x1) / (y2 - y1))).alias("low"))
+    along = Window.partitionBy("oid", "part", "up").orderBy("low")  # one part on one line
+    between = crossed.withColumn("n", F.row_number().over(along)).withColumn("high", F.lead("low").over(along)).where("n % 2 = 1")
+    # what lies on the line itself: level edges, and ends of others
+    level = met.where((y1 == y) & (y2 == y)).select("oid", "up", F.least(x1, x2).alias("low"), F.greatest(x1, x2).alias("high"))
+    ends = met.where(y1 == y).select("oid", "up", x1.alias("low"), x1.alias("high"))
+    runs = between.select("oid", "up", "low", "high").unionByName(level).unionByName(ends)
+    west, east = F.ceil((F.col("low") - lattice.x) / lattice.dx - 0.5), F.floor((F.col("high") - lattice.x) / lattice.dx - 0.5)
+    west, east = F.greatest(west, F.lit(0)), F.least(east, F.lit(lattice.columns - 1))
+    cells = runs.where(west <= east).select("oid", (F.lit(lattice.rows - 1) - up).cast("int").alias("row"), F.explode(F.sequence(west.cast("int"), east.cast("int"))).alias("col"))
+    return cells.distinct().select("oid", lattice.number(F.col("row"), F.col("col")).alias("cell"), "row", "col")
 
 
-def centres(spark: SparkSession, lattice: Lattice) -> DataFrame:
-    """pt (the cell), x and y of the middle of every lattice cell."""
-    col, row = (F.col("id") % lattice.columns).cast("int"), F.floor(F.col("id") / lattice.columns).cast("int")
-    return spark.range(lattice.columns * lattice.rows).select(F.col("id").cast("int").alias("pt"), (lattice.x + (col + 0.5) * lattice.dx).alias("x"), (lattice.south(row) + lattice.dy / 2).alias("y"))
+def region_mask(rings: DataFrame, lattice: Lattice) -> DataFrame:
+    """cell, row, col of the lattice cells whose middle is in any object."""
+    return filled(rings, lattice).select("cell", "row", "col").distinct()
 
 
 def rasterise(rings: DataFrame, lattice: Lattice) -> DataFrame:
     """cell, row, col and oid of the cells whose middle lies in an object; of several objects the least."""
-    from terrafacet.operators.polygons import contains
-
-    found = contains(centres(rings.sparkSession, lattice), rings).groupBy(F.col("pt").alias("cell")).agg(F.min("oid").alias("oid"))
-    return found.select("cell", F.floor(F.col("cell") / lattice.columns).cast("int").alias("row"), (F.col("cell") % lattice.columns).alias("col"), "oid")
+    return filled(rings, lattice).groupBy("cell", "row", "col").agg(F.min("oid").alias("oid"))
 
 
 def resample(cells: DataFrame, n: int) -> DataFrame:
@@ -179,10 +208,7 @@ def cell_states(rings: DataFrame, lattice: Lattice) -> DataFrame:
     the cell lies in the object. An edge along the border of a cell doesn't pass
     through it. Other cells have no row.
     """
-    from terrafacet.operators.polygons import contains
-
-    ahead = rings.select("oid", "part", "ring", (F.col("i") - 1).alias("i"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    edges = rings.withColumnsRenamed({"x": "x1", "y": "y1"}).join(ahead, ["oid", "part", "ring", "i"])
+    edges = edges_of(rings)
 
     def crossed(low: Column, high: Column, start: float, step: float, most: int) -> Column:
         """The cells of one axis whose inside an interval meets."""
@@ -195,11 +221,9 @@ def cell_states(rings: DataFrame, lattice: Lattice) -> DataFrame:
     inside = [F.coalesce(F.col("y1") + (x - F.col("x1")) * slope, F.col(y)) for x, y in ((F.greatest(F.least("x1", "x2"), west), "y1"), (F.least(F.greatest("x1", "x2"), west + lattice.dx), "y2"))]
     by_cell = by_col.select("oid", "col", crossed(F.least(*inside), F.greatest(*inside), lattice.y, lattice.dy, lattice.rows).alias("up"))
     partial = by_cell.distinct().select("oid", (F.lit(lattice.rows - 1) - F.col("up")).cast("int").alias("row"), F.col("col").cast("int").alias("col"))
-    partial = partial.withColumn("cell", F.col("row") * lattice.columns + F.col("col"))
+    partial = partial.withColumn("cell", lattice.number(F.col("row"), F.col("col")))
 
-    held = contains(centres(rings.sparkSession, lattice), rings).select("oid", F.col("pt").alias("cell"))
-    full = held.join(partial.select("oid", "cell"), ["oid", "cell"], "left_anti")
-    full = full.select("oid", F.floor(F.col("cell") / lattice.columns).cast("int").alias("row"), (F.col("cell") % lattice.columns).alias("col"), "cell")
+    full = filled(rings, lattice).join(partial.select("oid", "cell"), ["oid", "cell"], "left_anti")
     states = partial.withColumn("state", F.lit("partial")).unionByName(full.withColumn("state", F.lit("full")))
     return states.select("oid", "cell", "row", "col", "state")
 

@@ -39,7 +39,7 @@ def of_polygons(points: DataFrame, rings: DataFrame, names: DataFrame, field: st
 
 def of_raster(points: DataFrame, cells: DataFrame, lattice: Lattice, field: str, layer: str, units: str) -> DataFrame:
     """The value of a point's cell, with its units."""
-    placed = points.select("pt", lattice.cell(F.col("x"), F.col("y")).alias("cell"))
+    placed = points.select("pt", lattice.key(F.col("x"), F.col("y"), F.col("pt")).alias("cell"))
     return _rows(placed.join(cells.select("cell", "value"), "cell", "left"), field, layer, F.col("value").cast("string"), None, units)
 
 

@@ -292,7 +292,7 @@ def states_sql(edge: str) -> str:
     partial AS (SELECT DISTINCT oid, (69 - u) * 80 + c AS cell FROM lat JOIN {edge} ON greatest(x1, x2) > c0 AND least(x1, x2) < c0 + 0.5e0
       AND greatest(y1, y2) > r0 AND least(y1, y2) < r0 + 0.5e0 AND greatest({SIDES}) > 0 AND least({SIDES}) < 0),
     states AS (SELECT oid, cell, 'partial' AS state FROM partial UNION ALL SELECT oid, pt, 'full' FROM hits WHERE (oid, pt) NOT IN (SELECT (oid, cell) FROM partial))
-    SELECT oid, cell, cast(floor(cell / 80) AS int) AS row, cell % 80 AS col, state FROM states"""
+    SELECT oid, cast(cell AS bigint) AS cell, cast(floor(cell / 80) AS int) AS row, cell % 80 AS col, state FROM states"""
 
 
 @query("ring edge", states_sql("edge"))
@@ -363,11 +363,16 @@ def clamped_rings(ring):
     return open_.select("oid", F.posexplode(measure.clamped_ring(F.col("v"))).alias("i", "p")).select("oid", "i", "p.x", "p.y")
 
 
-@query("box box_edge", LATTICE_SQL + "," + hits_sql("box_edge").replace("FROM occ JOIN", "FROM (SELECT (69 - u) * 80 + c AS pt, c0 + 0.25e0 AS x, r0 + 0.25e0 AS y FROM lat) JOIN") + " SELECT pt AS cell, cast(floor(pt / 80) AS int) AS row, pt % 80 AS col, min(oid) AS oid FROM hits GROUP BY pt")
+@query("box box_edge", LATTICE_SQL + "," + hits_sql("box_edge").replace("FROM occ JOIN", "FROM (SELECT (69 - u) * 80 + c AS pt, c0 + 0.25e0 AS x, r0 + 0.25e0 AS y FROM lat) JOIN") + " SELECT cast(pt AS bigint) AS cell, cast(floor(pt / 80) AS int) AS row, pt % 80 AS col, min(oid) AS oid FROM hits GROUP BY pt")
 def rasterised(box, _):
     return rasters.rasterise(box, LATTICE)
 
 
+@query("ring edge", LATTICE_SQL + "," + hits_sql("edge").replace("FROM occ JOIN", "FROM (SELECT (69 - u) * 80 + c AS pt, c0 + 0.25e0 AS x, r0 + 0.25e0 AS y FROM lat) JOIN") + " SELECT DISTINCT cast(pt AS bigint) AS cell, cast(floor(pt / 80) AS int) AS row, pt % 80 AS col FROM hits")
+def region_mask(ring, _):
+    return rasters.region_mask(ring, LATTICE)
+
+
 @query("raster", "SELECT layer, cast(floor(row / 4) AS int) AS row, cast(floor(col / 4) AS int) AS col, round(avg(cast(value AS double)), 4) AS value FROM raster GROUP BY ALL")
 def raster_resampled(raster):
     return rasters.resample(raster, 4).withColumn("value", F.round("value", 4))

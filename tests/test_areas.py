@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrafacet.functions import colours, wkt
-from terrafacet.operators import catalog, facets, outlines, overlay, rasters, sampling, sphere, tabulation, tiles, validity
+from terrafacet.operators import catalog, facets, outlines, overlay, polygons, rasters, sampling, sphere, tabulation, tiles, validity
 from terrafacet.sources import grids, records
 
 SQUARE = "POLYGON((0 0,4 0,4 4,0 4,0 0),(1 1,2 1,2 2,1 2,1 1))"
@@ -165,6 +165,28 @@ def test_busy_cells_are_dealt_out(spark, monkeypatch):
     assert sphere.within_radius(places, places.selectExpr("pt AS pid", "x", "y"), 1e5).count() == 10_000
 
 
+def test_lattices_beyond_31_bits(spark):
+    """The whole world at 0.0025 degrees: 10 ** 10 cells."""
+    world = rasters.Lattice(-180.0, -90.0, 0.0025, 0.0025, 144_000, 72_000)
+    places = spark.createDataFrame([(1, 180.0, -90.0), (2, -180.0, 90.0), (3, 181.0, 0.0), (4, None, 0.0), (5, 0.001, 0.001)], "pt long, x double, y double")
+    cells = spark.createDataFrame([("el1", 144_000 * 72_000 - 1, 7.0), ("el1", 0, 8.0)], "layer string, cell long, value float")
+    found = {r.pt: r.value for r in rasters.sample(places, cells, world).collect()}
+    assert found == {1: 7.0, 2: 8.0, 3: None, 4: None, 5: None}
+    small = rings_frame(spark, {1: [[square(100.0, -80.0, 0.01)]]})
+    mask = rasters.region_mask(small, world).collect()
+    assert len(mask) == 16 and {r.cell for r in mask} == {r.row * 144_000 + r.col for r in mask}
+    assert {r.col for r in mask} == set(range(112_000, 112_004))
+
+
+def test_filled_cells_equal_the_test_of_every_middle(spark):
+    lattice = rasters.Lattice(-5.0, -5.0, 0.25, 0.5, 40, 20)
+    rng = np.random.default_rng(7)
+    objects = {1: stars(rng, 2, 9), 2: stars(rng, 1, 12, 0.125), 3: [[square(-1, -1, 3), square(-0.5, -0.5, 1)]], 4: [[square(-0.875, -0.75, 0.25, 0.5)]]}
+    middles = spark.createDataFrame([(r * 40 + c, -5 + (c + 0.5) * 0.25, -5 + (19 - r + 0.5) * 0.5) for r in range(20) for c in range(40)], "pt long, x double, y double")
+    want = {(r.oid, r.pt) for r in polygons.contains(middles, rings_frame(spark, objects)).collect()}
+    assert {(r.oid, r.cell) for r in rasters.filled(rings_frame(spark, objects), lattice).collect()} == want
+
+
 def test_relations_of_objects_that_touch_nest_and_miss(spark):
     first = {1: [[square(0, 0, 1)]], 2: [[square(3, 3, 1)]], 3: [[square(10, 10, 4), square(11, 11, 2)]], 4: [[square(0, 5, 1)], [square(3.25, 3.25, 0.5)]], 5: [[square(100, 0, 1)]]}
     second = {11: [[square(1, 1, 2)]], 12: [[square(1, 0, 1)]], 13: [[square(2.5, 2.5, 2)]], 14: [[square(11, 11, 2)]], 15: [[square(11.5, 11.5, 1)]], 16: [[square(101 + 2**-40, 0, 1)]], 17: [[square(-1, 4, 20)]]}

@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from terrafacet.llm.shared import Scratch, map_arrow, stored, texts_of, with_ids
@@ -176,7 +176,7 @@ def bitmap_of(ids: DataFrame) -> np.ndarray:
 
 def member_sets(docs: DataFrame, picks: DataFrame, scratch: Scratch) -> DataFrame:
     """id, shingles and fine sketch of the sets of the rows among `picks`, once each, and of a few others that the bitmap can't tell from them."""
-    shipped = docs.sparkSession.sparkContext.broadcast(bitmap_of(picks))  # BITMAP_BITS / 8 bytes
+    shipped = scratch.broadcast(bitmap_of(picks))  # BITMAP_BITS / 8 bytes
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = batch.filter(pa.array(in_bitmap(shipped.value, batch.column("pick").to_numpy())))
@@ -211,7 +211,7 @@ def shared_buckets(classes: DataFrame, scratch: Scratch) -> DataFrame:
     """
     rows = classes.select(F.explode("bands").alias("key"), "id")
     shared = scratch.stored(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared-keys")
-    shipped = classes.sparkSession.sparkContext.broadcast(bitmap_of(shared))  # BITMAP_BITS / 8 bytes
+    shipped = scratch.broadcast(bitmap_of(shared))  # BITMAP_BITS / 8 bytes
     near = scratch.stored(map_arrow(rows, lambda batch: batch.filter(pa.array(in_bitmap(shipped.value, batch.column("key").to_numpy()))), "key long, id long", 10_000), "band-rows")
     members = [F.sum(F.xxhash64(F.lit(k), "id").cast("decimal(38,0)")).alias(f"h{k}") for k in (1, 2)]
     alike = near.groupBy("key").agg(F.count("*").alias("n"), *members).where("n > 1").groupBy("n", "h1", "h2").agg(F.min("key").alias("key"))
@@ -359,8 +359,9 @@ def components(edges: DataFrame) -> DataFrame:
             large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
             least = large.groupBy("a").agg(F.min("b").alias("m"))
             small = large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-            edges = scratch.stored(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "stars")
-            now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+            stars, seen = small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), Observation()
+            edges = scratch.stored(stars.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")), "stars")
+            now = seen.get
             if now == before:
                 return stored(edges.select(F.col("a").alias("id"), F.col("b").alias("component")), "components")
             before = now

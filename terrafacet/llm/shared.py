@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -54,7 +55,7 @@ class Scratch:
     """Tables of one computation, deleted at the end of its `with` block; what leaves it must be stored elsewhere by then."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, []
+        self.spark, self.paths, self.sent = spark, [], []
 
     def stored(self, df: DataFrame, name: str) -> DataFrame:
         """As `stored`, for as long as the block lasts."""
@@ -63,10 +64,17 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def broadcast(self, value: object) -> Broadcast:
+        """A broadcast for as long as the block lasts; what reads it must be stored by then."""
+        self.sent.append(self.spark.sparkContext.broadcast(value))
+        return self.sent[-1]
+
     def __enter__(self) -> Scratch:
         return self
 
     def __exit__(self, *_: object) -> None:
+        for sent in self.sent:
+            sent.destroy()
         for path in self.paths:
             at, fs = file_system(self.spark, path)
             fs.delete(at, True)

@@ -6,6 +6,8 @@ histogram, which Spark makes, and not the records.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,6 +94,38 @@ def equal_size(df: DataFrame, value: str) -> DataFrame:
 
 
 SCALES = (200, 20)  # powers of 1.2 by which a step is made smaller and larger: enough for 10^16 records
+POWERS_AT_ONCE = 8
+
+
+def walked(rows: DataFrame, every: int, scales: list[float]) -> list[tuple[bool, list[float]]]:
+    """Of each scale: whether its classes take all records, and their cutoffs. One aggregate a class, for all scales at once.
+
+    `rows` holds value, n, start, end and next of the distinct values; what comes
+    back to the driver is an end and a value for each scale.
+    """
+
+    def step(left: int, classes: int, scale: float) -> int:
+        return math.floor(math.ceil(left / classes) * scale)
+
+    first = [step(every, CLASSES, scale) for scale in scales]
+    begin, at, cutoffs, open_ = [0] * len(scales), list(first), [[] for _ in scales], set(range(len(scales)))
+    for k in range(1, CLASSES + 1):
+        ended = []
+        for p in sorted(open_):  # `at`: the record at which a class ends at the latest; the first class begins to count one record late
+            stops = (F.col("start") >= begin[p]) & ((F.col("end") > min(at[p], every - 1)) | (F.col("n") >= first[p]) | (F.col("next") >= first[p]))
+            ended.append(F.min(F.when(stops, F.struct("end", "value"))).alias(f"p{p}"))
+        if not ended:
+            break
+        stop = rows.agg(*ended).first()
+        for p in sorted(open_):
+            if stop[f"p{p}"] is None:
+                open_.remove(p)
+                continue
+            begin[p], cutoff = stop[f"p{p}"]
+            cutoffs[p].append(cutoff)
+            size = step(every - begin[p] + 1, CLASSES - k, scales[p]) if k < CLASSES else 0
+            at[p] = max(begin[p] + size - 1, begin[p])
+    return [(b == every, c) for b, c in zip(begin, cutoffs)]
 
 
 def equal_area(df: DataFrame, value: str) -> DataFrame:
@@ -100,47 +134,34 @@ def equal_area(df: DataFrame, value: str) -> DataFrame:
     A value with as many records as a step is a class alone. A step is what is left
     over the classes left, times a power of 1.2: the least power from 1 on that takes
     all records, or, if classes are left over and there are values enough, the
-    greatest one below 1 that fills them. All powers are walked side by side, a row
-    each, one class after the other. Fewer values than classes give fewer classes.
+    greatest one below 1 that fills them. Powers are walked outwards from 1, a few
+    at once, until one does. Fewer values than classes give fewer classes.
     """
     placed = positions(df, value)
     following = placed.select(F.col("start").alias("end"), F.col("n").alias("next"))
     rows = settle(placed.join(following, "end", "left").select("value", "n", "start", "end", F.coalesce("next", F.lit(0)).alias("next")))
-    one = rows.agg(F.count("*").alias("uniques"), F.coalesce(F.sum("n"), F.lit(0)).alias("all"))
-    scales = [(0, 1.0)]
-    for turn, most in zip((-1, 1), SCALES):
-        scale = 1.0
-        for k in range(1, most + 1):
-            scale = scale / 1.2 if turn < 0 else scale * 1.2
-            scales.append((turn * k, scale))
-    walks = df.sparkSession.createDataFrame(scales, "power int, scale double").crossJoin(F.broadcast(one))  # one row
-
-    def step(left: Column, classes: Column) -> Column:
-        return F.floor(F.ceil(left / classes) * F.col("scale")).cast("long")
-
-    first = step(F.col("all"), F.lit(CLASSES))
-    # `at`: the record at which a class ends at the latest; the first class begins to count one record late
-    walks = walks.select("*", first.alias("alone"), F.lit(0).cast("long").alias("begin"), first.alias("at"), F.expr("cast(array() as array<double>)").alias("cutoffs"))
-    for k in range(1, CLASSES + 1):
-        open_ = walks.select("power", "begin", "alone", F.least("at", F.col("all") - 1).alias("at"))
-        stops = (F.col("start") >= F.col("begin")) & ((F.col("end") > F.col("at")) | (F.col("n") >= F.col("alone")) | (F.col("next") >= F.col("alone")))
-        ended = rows.join(F.broadcast(open_), stops).groupBy("power").agg(F.min("end").alias("stop"), F.min_by("value", "end").alias("cutoff"))
-        left = F.col("all") - F.col("stop") + 1
-        size = step(left, F.lit(CLASSES - k)) if k < CLASSES else F.lit(0)
-        walks = walks.join(F.broadcast(ended), "power", "left").select(
-            *("power", "scale", "uniques", "all", "alone"),
-            F.coalesce("stop", "begin").alias("begin"),
-            F.when(F.col("stop").isNotNull(), F.greatest(F.col("stop") + size - 1, "stop")).otherwise(F.col("at")).alias("at"),
-            F.when(F.col("stop").isNotNull(), F.array_append("cutoffs", F.col("cutoff"))).otherwise(F.col("cutoffs")).alias("cutoffs"),
-        )
-        walks = settle(walks)  # a row a power
-    whole, few = F.col("begin") == F.col("all"), (F.size("cutoffs") < CLASSES) & (F.col("uniques") > CLASSES)
-    plain = F.first(F.when(F.col("power") == 0, F.when(~whole, 1).when(few, -1).otherwise(0)), ignorenulls=True)
-    larger, smaller = (F.min_by("cutoffs", F.when((F.col("power") * turn > 0) & good, F.abs("power"))) for turn, good in ((1, whole), (-1, ~few)))
-    same = F.min_by("cutoffs", F.abs("power"))
-    best_ = walks.agg(plain.alias("turn"), larger.alias("larger"), smaller.alias("smaller"), same.alias("same"))
-    chosen = F.when(F.col("turn") > 0, F.col("larger")).when(F.col("turn") < 0, F.col("smaller")).otherwise(F.col("same"))
-    return best_.select(F.posexplode(chosen).alias("p", "cutoff")).select((F.col("p") + 1).alias("k"), "cutoff")
+    uniques, every = rows.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()  # one row
+    cutoffs: list[float] = []
+    if every:
+        whole, cutoffs = walked(rows, every, [1.0])[0]
+        few = len(cutoffs) < CLASSES and uniques > CLASSES
+        if not whole or few:
+            cutoffs = _first_good(rows, every, larger=not whole)
+    return df.sparkSession.createDataFrame(list(enumerate(cutoffs, 1)), "k int, cutoff double")
+
+
+def _first_good(rows: DataFrame, every: int, larger: bool) -> list[float]:
+    """Cutoffs of the power nearest to 1, upwards or downwards, that takes all records or fills the classes."""
+    scale, most = 1.0, SCALES[larger]
+    for begun in range(0, most, POWERS_AT_ONCE):
+        scales = []
+        for _ in range(min(POWERS_AT_ONCE, most - begun)):
+            scale = scale * 1.2 if larger else scale / 1.2
+            scales.append(scale)
+        for whole, cutoffs in walked(rows, every, scales):
+            if whole if larger else len(cutoffs) >= CLASSES:
+                return cutoffs
+    return []
 
 
 def sizes(df: DataFrame, value: str, cutoffs: DataFrame) -> DataFrame:

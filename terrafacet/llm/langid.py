@@ -100,9 +100,11 @@ def sample_texts(docs: DataFrame, usable: Column) -> DataFrame:
         F.xxhash64("doc_id", "text").alias("key"), F.col("lang").cast("string").alias("lang"), "text"
     )
     ranked = keyed.select("key", "lang", F.pmod("key", F.lit(SALTS)).alias("salt"))
+    if keyed.select("lang").distinct().limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     for by in (["lang", "salt"], ["lang"]):
         ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("key"))).where(F.col("rank") <= PER_LANGUAGE)
-    chosen = ranked.select("key", "lang").distinct().limit(PER_LANGUAGE * MAX_LANGUAGES)
+    chosen = ranked.select("key", "lang").distinct()
     return keyed.join(F.broadcast(chosen), ["key", "lang"], "left_semi").dropDuplicates(["key", "lang"])
 
 
@@ -121,8 +123,6 @@ def train(docs: DataFrame, usable: Column, seed: int = 17) -> Model:
     rows = map_arrow(sample_texts(docs, usable), run, "key long, lang string, buckets array<int>, counts array<int>").toArrow().to_pandas()
     rows = rows[rows.buckets.map(len) > 0].sort_values(["key", "lang"], kind="stable").reset_index(drop=True)
     languages = sorted(rows.lang.unique())
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     return fit(languages, [languages.index(x) for x in rows.lang], list(rows.buckets), list(rows.counts), seed)
 
 

@@ -33,6 +33,14 @@ def test_language_of_odd_texts_and_without_training_rows(spark):
     assert found == dict.fromkeys([1, 2, 3, 4], ("und", 0.0, False))
 
 
+def test_more_languages_than_a_model_holds_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 2)
+    docs = spark.createDataFrame([(k, "some words", f"l{k % 3}") for k in range(9)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="languages"):
+        langid.train(docs, F.lit(True))
+    assert langid.train(docs.where("lang != 'l0'"), F.lit(True)).languages == ["l1", "l2"]
+
+
 def test_language_of_repeated_rows_long_texts_and_columns_of_any_name(spark):
     rng = np.random.default_rng(2)
     prose = lambda sounds, n: " ".join("".join(rng.choice(sounds, 3)) for _ in range(n))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -65,20 +66,94 @@ def token_member(column: str, listed: str) -> Column:
     return F.array_contains(F.transform(F.split(F.lit(listed.lower()), ","), F.trim), F.lower(F.col(column)))
 
 
-def distributions(df: DataFrame, low: float | None = None, high: float | None = None, lsids: str | None = None, families: list[str] | None = None, genera: list[str] | None = None, coastal: bool | None = None, pelagic: bool | None = None) -> DataFrame:
-    """Range maps that pass every test given."""
-    return df.where(
-        where_all(
-            [
-                depth_overlap(low, high),
-                token_member("lsid", lsids) if lsids else None,
-                F.col("family").isin(families) if families else None,
-                F.col("genus").isin(genera) if genera else None,
-                flag("coastal", coastal),
-                flag("pelagic", pelagic, True),
-            ]
-        )
-    )
+def one_of(column: str, wanted: list[str] | None) -> Column | None:
+    return F.col(column).isin(wanted) if wanted else None
+
+
+def distributions(
+    df: DataFrame,
+    low: float | None = None,
+    high: float | None = None,
+    lsids: str | None = None,
+    families: list[str] | None = None,
+    genera: list[str] | None = None,
+    coastal: bool | None = None,
+    pelagic: bool | None = None,
+    estuarine: bool | None = None,
+    desmersal: bool | None = None,
+    endemic: bool | None = None,
+    family_lsids: list[str] | None = None,
+    genus_lsids: list[str] | None = None,
+    resources: list[str] | None = None,
+    group: str | None = None,
+    geometry: int | None = None,
+    kind: str | None = None,
+) -> DataFrame:
+    """Range maps that pass every test given; a negative number of a geometry asks nothing."""
+    tests = [
+        depth_overlap(low, high),
+        token_member("lsid", lsids) if lsids else None,
+        *(one_of(c, wanted) for c, wanted in (("family", families), ("genus", genera), ("family_lsid", family_lsids), ("genus_lsid", genus_lsids), ("resource", resources))),
+        *(flag(c, wanted) for c, wanted in (("coastal", coastal), ("estuarine", estuarine), ("endemic", endemic))),
+        *(flag(c, wanted, True) for c, wanted in (("pelagic", pelagic), ("desmersal", desmersal))),
+        F.col("group_name") == group if group else None,
+        F.col("geom_idx") == geometry if geometry is not None and geometry >= 0 else None,
+        F.col("type") == kind if kind else None,
+    ]
+    return df.where(where_all(tests))
+
+
+def distributions_by_lsid(df: DataFrame, lsids: list[str], kind: str) -> DataFrame:
+    """Range maps of some lsids, of one type."""
+    return df.where(F.col("lsid").isin(lsids) & (F.col("type") == kind))
+
+
+def distribution_by_code(df: DataFrame, code: int, kind: str) -> DataFrame:
+    """The range map of a species code and a type, the first of several by geom_idx; no row if there is none."""
+    return df.where((F.col("spcode") == code) & (F.col("type") == kind)).orderBy("geom_idx").limit(1)
+
+
+def distribution_by_name(df: DataFrame, text: str, kind: str) -> DataFrame:
+    """The first range map by species code whose lsid or number is a text, or whose name is it, with or without a subgenus, whatever the case."""
+    plain = re.sub(r" \([A-Z][a-z]+\) ", " ", text)
+    met = (F.col("lsid") == text) | (F.col("caab") == text) | F.col("scientific").ilike(text) | F.col("scientific").ilike(plain)
+    return df.where(met & (F.col("type") == kind)).orderBy("spcode").limit(1)
+
+
+def objects_of_field(objects: DataFrame, fid: str, text: str | None = None, start: int = 0, size: int | None = None) -> DataFrame:
+    """Objects of a field whose name or description holds a text, whatever the case, in the order of pid, from `start` on."""
+    held = where_all([F.col("fid") == fid, None if not text else F.lower("name").contains(text.lower()) | F.lower("description").contains(text.lower())])
+    found = objects.where(held).orderBy("pid").offset(start)
+    return found if size is None else found.limit(size)
+
+
+def objects_by_name(objects: DataFrame, fid: str, name: str) -> DataFrame:
+    """Objects of a field with a name, whatever the case; % and _ stand for any text and any character."""
+    return objects.where((F.col("fid") == fid) & F.col("name").ilike(name))
+
+
+def object_by_pid(objects: DataFrame, classes: DataFrame, pid: str) -> DataFrame:
+    """pid, name and fid of a stored object, or else of the class of a raster (fid, class, class_name), whose pid is fid:class."""
+    named = classes.select(F.concat_ws(":", "fid", "class").alias("pid"), F.col("class_name").alias("name"), "fid")
+    every = objects.select("pid", "name", "fid", F.lit(0).alias("rank")).unionByName(named.withColumn("rank", F.lit(1)))
+    return every.where(F.col("pid") == pid).orderBy("rank").limit(1).drop("rank")
+
+
+def ordered_distinct(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """Of rows with the same key the first in an order, in that order."""
+    rest = [c for c in df.columns if c not in key]
+    first = df.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("rest"))
+    return first.select(*key, "rest.*").select(df.columns).orderBy(*order)
+
+
+def with_area(df: DataFrame, geometry: str = "geometry", area: str = "area") -> DataFrame:
+    """Rows without those whose geometry has no area; rows without a geometry stay."""
+    return df.where(F.col(geometry).isNull() | (F.col(area) > 0))
+
+
+def with_count(df: DataFrame, counted: DataFrame, name: str) -> DataFrame:
+    """Every row with the number of rows of another table."""
+    return df.crossJoin(F.broadcast(counted.agg(F.count("*").alias(name))))  # one row
 
 
 def family_counts(df: DataFrame) -> DataFrame:

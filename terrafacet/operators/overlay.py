@@ -182,6 +182,11 @@ def objects_within(layer: DataFrame, area: DataFrame) -> DataFrame:
     return relations(layer, area).where("within").select(F.col("oid_a").alias("oid")).distinct()
 
 
+def distributions_in(found: DataFrame, shapes: DataFrame, area: DataFrame) -> DataFrame:
+    """Range maps (geom_idx, ...) with degrees2 and m2 of their shape (rings, oid) inside an area; those that share none are left out."""
+    return found.join(layer_in_area(shapes, area).withColumnRenamed("oid", "geom_idx"), "geom_idx")
+
+
 def clipped_tabulation(records: DataFrame, first: DataFrame, second: DataFrame, area: DataFrame) -> DataFrame:
     """pid1, pid2, degrees2, m2, occurrences and species of two layers inside an area; records (pt, x, y, species) are counted anew.
 

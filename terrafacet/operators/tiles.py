@@ -165,7 +165,7 @@ class Pieces:
 
 def common_tiles(layers: list[DataFrame], cell: float) -> list[Pieces]:
     """Pieces of layers of rings on the same tiles, which are cut where any layer is crowded."""
-    open_ = [Pieces.of(rings, cell).settled() for rings in layers]
+    open_ = [Pieces.of(rings, cell) for rings in layers]
     done: list[Pieces] = []
     for n in range(MOST_CUTS + 1):
         heavy = open_[0].crowded()

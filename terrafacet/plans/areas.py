@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from terrafacet.functions import colours, measure, wkt
-from terrafacet.operators import dissolve, legends, outlines, overlay, polygons, rasters, sampling, sphere, validity
+from terrafacet.operators import catalog, dissolve, legends, outlines, overlay, polygons, rasters, sampling, sphere, validity
 from terrafacet.plans.catalogue import BOTH, CELL, FOCUS, LATTICE, MASK, RANGES, equal_area_sql, hits_sql, query
 
 # The areas of rings as text, by string aggregation.
@@ -104,6 +104,12 @@ def objects_intersecting(_, ring, box):
     return overlay.objects_intersecting(ring, box.where("oid in (1, 3)"))
 
 
+@query("dist diamond ring box", SHARED + " SELECT spcode, geom_idx, round(degrees2, 6) AS degrees2 FROM dist JOIN common ON oid_a = geom_idx WHERE oid_b = 3 AND degrees2 > 1e-9 AND type = 't' AND max_depth >= 300")
+def distributions_in_area(dist, _, ring, box):
+    found = overlay.distributions_in(catalog.distributions(dist, low=300.0, kind="t"), ring, box.where("oid = 3"))
+    return found.where("degrees2 > 1e-9").select("spcode", "geom_idx", F.round("degrees2", 6).alias("degrees2"))
+
+
 # What is done to the text of a box with a hole, and whether it is an area then.
 SPOILT = [
     ("wkt", True),
@@ -153,15 +159,18 @@ def objects_within(plot, box):
 
 
 @query(
-    "occ ring box edge box_edge",
+    "occ diamond ring box edge box_edge",
     BOTH
-    + """, clip AS (SELECT pt FROM b WHERE oid = 2)
-    SELECT x.oid AS pid1, y.oid AS pid2, count(*) AS occurrences, count(DISTINCT species) AS species
-    FROM occ JOIN clip USING (pt) JOIN a x USING (pt) JOIN b y USING (pt) GROUP BY ALL""",
+    + """, clip AS (SELECT pt FROM b WHERE oid = 2), """
+    + SHARED
+    + """, met AS (SELECT x.oid AS pid1, y.oid AS pid2, count(*) AS occurrences, count(DISTINCT species) AS species
+      FROM occ JOIN clip USING (pt) JOIN a x USING (pt) JOIN b y USING (pt) GROUP BY ALL)
+    SELECT oid_a AS pid1, oid_b AS pid2, round(degrees2, 6) AS degrees2, coalesce(occurrences, 0) AS occurrences, coalesce(species, 0) AS species
+    FROM common LEFT JOIN met ON oid_a = pid1 AND oid_b = pid2 WHERE oid_b = 2 AND degrees2 > 1e-9""",
 )
-def clipped_tabulation(occ, ring, box, *_):
+def clipped_tabulation(occ, _, ring, box, *__):
     found = overlay.clipped_tabulation(occ, ring, box, box.where("oid = 2"))
-    return found.where("occurrences > 0").select("pid1", "pid2", "occurrences", "species")
+    return found.where("degrees2 > 1e-9").select("pid1", "pid2", F.round("degrees2", 6).alias("degrees2"), "occurrences", "species")
 
 
 # -- searches by place
@@ -245,9 +254,9 @@ def record_row_starts(occ):
     return rasters.row_starts(occ, LATTICE)
 
 
-@query("classname", "SELECT class, CASE WHEN class_name IN ('Crop', 'Grass') THEN 'Field' ELSE class_name END AS class_name, CASE WHEN class = 3 THEN 1 ELSE class END AS merged FROM classname")
-def merged_classes(names):
-    return rasters.merge_classes(names.withColumn("class_name", F.when(F.col("class_name").isin("Crop", "Grass"), "Field").otherwise(F.col("class_name"))))
+@query("object", "SELECT cast(p_partkey AS int) AS class, name AS class_name, cast(min(p_partkey) OVER (PARTITION BY name) AS int) AS merged FROM object")
+def merged_classes(objects):
+    return rasters.merge_classes(objects.select(F.col("p_partkey").cast("int").alias("class"), F.col("name").alias("class_name")))
 
 
 # Components by reachability; rings and corners by how many of a component's cells meet at a lattice point: a ring turns by four

@@ -427,6 +427,60 @@ def family_counts(dist):
     return catalog.family_counts(catalog.distributions(dist, low=100.0, pelagic=False))
 
 
+@query("dist", """SELECT spcode FROM dist WHERE min_depth <= 400 AND max_depth >= 50 AND family IN ('Brand#11', 'Brand#12', 'Brand#21', 'Brand#33', 'Brand#44') AND genus_lsid <> 'urn:genus:3'
+    AND genus IN ('genus 1', 'genus 2', 'genus 3', 'genus 4', 'genus 5', 'genus 6') AND estuarine = false AND desmersal > 0 AND endemic AND type = 'e'""")
+def distribution_terms(dist):
+    found = catalog.distributions(dist, 50.0, 400.0, families=["Brand#11", "Brand#12", "Brand#21", "Brand#33", "Brand#44"], genera=[f"genus {k}" for k in range(1, 7)], estuarine=False, desmersal=True, endemic=True, kind="e")
+    return found.where("genus_lsid != 'urn:genus:3'").select("spcode")
+
+
+@query("dist", "SELECT spcode FROM dist WHERE family_lsid IN ('urn:family:1', 'urn:family:7', 'urn:family:30', 'urn:family:31') AND genus_lsid IN ('urn:genus:1', 'urn:genus:2', 'urn:genus:8') UNION SELECT spcode FROM dist WHERE group_name = 'group 2' AND geom_idx = 6 UNION SELECT spcode FROM dist WHERE resource = 'PROMO' AND geom_idx = 1")
+def distribution_ids(dist):
+    first = catalog.distributions(dist, family_lsids=[f"urn:family:{k}" for k in (1, 7, 30, 31)], genus_lsids=[f"urn:genus:{k}" for k in (1, 2, 8)])
+    second = catalog.distributions(dist, group="group 2", geometry=6)
+    third = catalog.distributions(dist, resources=["PROMO"], geometry=1)
+    return first.select("spcode").union(second.select("spcode")).union(third.select("spcode")).distinct()
+
+
+@query("dist", "SELECT spcode, 'lsid' AS how FROM dist WHERE lsid IN ('urn:lsid:4', 'urn:lsid:9') AND type = 't' UNION ALL SELECT spcode, 'code' FROM dist WHERE spcode = 15 AND type = 'e' UNION ALL SELECT min(spcode), 'number' FROM dist WHERE caab = '37 16' AND type = 'e' UNION ALL SELECT min(spcode), 'name' FROM dist WHERE lower(scientific) = (SELECT lower(scientific) FROM dist WHERE spcode = 20) AND type = 'e'")
+def distribution_lookups(dist):
+    name = dist.where("spcode = 20").first().scientific
+    tagged = lambda df, how: df.select("spcode", F.lit(how).alias("how"))
+    found = tagged(catalog.distributions_by_lsid(dist, ["urn:lsid:4", "urn:lsid:9"], "t"), "lsid").union(tagged(catalog.distribution_by_code(dist, 15, "e"), "code"))
+    return found.union(tagged(catalog.distribution_by_name(dist, "37 16", "e"), "number")).union(tagged(catalog.distribution_by_name(dist, name.upper(), "e"), "name"))
+
+
+@query("object", "SELECT pid, name FROM object WHERE fid = 'cl3' AND (lower(name) LIKE '%1%' OR lower(description) LIKE '%1%') ORDER BY pid LIMIT 20 OFFSET 2")
+def objects_of_field(objects):
+    return catalog.objects_of_field(objects, "cl3", "1", 2, 20).select("pid", "name")
+
+
+@query("object", "SELECT pid, name FROM object WHERE fid = 'cl4' AND (name ILIKE '%2_' OR lower(name) = (SELECT lower(name) FROM object WHERE pid = '4'))")
+def objects_by_name(objects):
+    name = objects.where("pid = '4'").first().name
+    return catalog.objects_by_name(objects, "cl4", "%2_").union(catalog.objects_by_name(objects, "cl4", name.upper())).select("pid", "name").distinct()
+
+
+@query("object classes", "SELECT pid, name, fid FROM object WHERE pid = '17' UNION ALL SELECT 'cl3:2', 'class 2', 'cl3'")
+def object_by_pid(objects, classes):
+    named = classes.select(F.col("layer").alias("fid"), F.col("value").cast("int").alias("class")).distinct().withColumn("class_name", F.concat(F.lit("class "), F.col("class").cast("string")))
+    return catalog.object_by_pid(objects, named, "17").union(catalog.object_by_pid(objects, named, "cl3:2"))
+
+
+@query("object", "SELECT fid, pid, size FROM (SELECT *, row_number() OVER (PARTITION BY fid ORDER BY size DESC, pid) AS r FROM object) WHERE r = 1")
+def ordered_distinct(objects):
+    """The largest object of every field."""
+    rows = objects.select("fid", "pid", "size", (-F.col("size")).alias("less"))
+    return catalog.ordered_distinct(rows, ["fid"], ["less", "pid"]).drop("less")
+
+
+@query("object", "SELECT pid, size, (SELECT count(*) FROM object) AS objects FROM object WHERE size % 5 > 0 OR p_partkey % 3 = 0")
+def rows_with_area(objects):
+    """Objects without those of no area (a size that five divides), three of whom have no geometry, with the number of all."""
+    shaped = objects.withColumn("geometry", F.when(F.col("p_partkey") % 3 != 0, F.col("name"))).withColumn("area", F.col("size") % 5)
+    return catalog.with_count(catalog.with_area(shaped), objects, "objects").select("pid", "size", "objects")
+
+
 # -- facets -------------------------------------------------------------------
 
 

@@ -65,7 +65,10 @@ SQL = {
         SELECT p_partkey AS spcode, p_brand AS family, p_name AS scientific, concat('urn:lsid:', cast(p_partkey % 40 AS string)) AS lsid,
           cast(p_size AS double) * 10 AS min_depth, cast(p_size AS double) * 10 + 25 AS max_depth,
           p_partkey % 2 = 0 AS coastal, cast(p_partkey % 3 AS double) AS pelagic, p_type AS resource,
-          concat('genus ', cast(p_partkey % 11 AS string)) AS genus FROM part""",
+          concat('genus ', cast(p_partkey % 11 AS string)) AS genus, concat('urn:family:', cast(p_size AS string)) AS family_lsid,
+          concat('urn:genus:', cast(p_partkey % 11 AS string)) AS genus_lsid, concat('group ', cast(p_partkey % 4 AS string)) AS group_name,
+          CASE WHEN p_partkey % 5 < 3 THEN 'e' ELSE 't' END AS type, cast(p_partkey % 25 AS bigint) AS geom_idx, p_partkey % 7 < 3 AS estuarine,
+          cast(p_partkey % 6 AS double) AS desmersal, p_partkey % 9 < 5 AS endemic, concat('37 ', cast(p_partkey AS string)) AS caab FROM part""",
 }
 
 

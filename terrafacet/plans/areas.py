@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from terrafacet.functions import colours, measure, wkt
-from terrafacet.operators import catalog, dissolve, legends, outlines, overlay, polygons, rasters, sampling, sphere, validity
+from terrafacet.operators import catalog, dissolve, legends, outlines, overlay, polygons, rasters, sampling, simplify, sphere, validity
 from terrafacet.plans.catalogue import BOTH, CELL, FOCUS, LATTICE, MASK, RANGES, equal_area_sql, hits_sql, query
 
 # The areas of rings as text, by string aggregation.
@@ -110,6 +110,20 @@ def distributions_in_area(dist, _, ring, box):
     return found.where("degrees2 > 1e-9").select("spcode", "geom_idx", F.round("degrees2", 6).alias("degrees2"))
 
 
+AWAY = "sqrt(pow(v.x - (p.x + t * (q.x - p.x)), 2) + pow(v.y - (p.y + t * (q.y - p.y)), 2))"
+
+
+@query("coast", f"""span(oid, a, b) AS (SELECT oid, min(i), max(i) FROM coast GROUP BY oid UNION ALL
+      SELECT oid, unnest([a, k]), unnest([k, b]) FROM (SELECT oid, a, b, -(m.less) AS k FROM (SELECT v.oid, a, b, max({{'d': {AWAY}, 'less': -v.i}}) AS m
+        FROM (SELECT s.oid, s.a, s.b, v.i, v.x, v.y, CASE WHEN p.x = q.x AND p.y = q.y THEN 0 ELSE greatest(0, least(1, ((v.x - p.x) * (q.x - p.x) + (v.y - p.y) * (q.y - p.y)) / (pow(q.x - p.x, 2) + pow(q.y - p.y, 2)))) END AS t
+          FROM span s JOIN coast p ON p.oid = s.oid AND p.i = s.a JOIN coast q ON q.oid = s.oid AND q.i = s.b JOIN coast v ON v.oid = s.oid AND v.i > s.a AND v.i < s.b) AS v
+        JOIN coast p ON p.oid = v.oid AND p.i = v.a JOIN coast q ON q.oid = v.oid AND q.i = v.b GROUP BY ALL) WHERE m.d > 1.5)),
+    kept AS (SELECT oid, a AS i FROM span UNION SELECT oid, b FROM span)
+    SELECT oid, cast(row_number() OVER (PARTITION BY oid ORDER BY i) - 1 AS int) AS i, x, y FROM kept JOIN coast USING (oid, i)""")
+def simplified_outlines(coast):
+    return simplify.renumbered(simplify.simplified(coast, 1.5)).select("oid", "i", "x", "y")
+
+
 # What is done to the text of a box with a hole, and whether it is an area then.
 SPOILT = [
     ("wkt", True),

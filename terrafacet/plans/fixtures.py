@@ -59,6 +59,12 @@ SQL = {
         SELECT cast(p_partkey AS string) AS pid, p_name AS name, concat(p_brand, ' ', p_type) AS description,
           concat('cl', cast(p_partkey % 25 AS string)) AS fid, p_size AS size, p_partkey,
           112 + ((p_partkey * 7919) % 2560) / 64.0e0 AS x, -44 + ((p_partkey * 104729) % 2176) / 64.0e0 AS y FROM part""",
+    "walk": """
+        SELECT p_partkey % 5 AS oid, cast(row_number() OVER (PARTITION BY p_partkey % 5 ORDER BY p_partkey) - 1 AS int) AS i,
+          112 + (row_number() OVER (PARTITION BY p_partkey % 5 ORDER BY p_partkey) - 1) / 8.0e0 AS x, -44 + p_size / 8.0e0 AS y FROM part""",
+    "coast": """
+        SELECT oid, 0 AS part, 0 AS ring, i, x, y FROM walk
+        UNION ALL SELECT oid, 0 AS part, 0 AS ring, cast(n AS int) AS i, x, y FROM (SELECT oid, i, x, y, count(*) OVER (PARTITION BY oid) AS n FROM walk) AS w WHERE i = 0""",
     "globe": """
         SELECT p_partkey AS pid, ((p_partkey * 7919) % 5760) / 16.0e0 - 180 AS x, ((p_partkey * 104729) % 2880) / 16.0e0 - 90 AS y FROM part""",
     "dist": """

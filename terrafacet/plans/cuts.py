@@ -1,4 +1,4 @@
-"""Queries that cut layers of several lattices, with SQL oracles."""
+"""Queries that cut layers of several lattices or cache them for lookups, with SQL oracles."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from terrafacet.operators import cutting
 from terrafacet.operators.rasters import Lattice
 from terrafacet.plans.catalogue import LATTICE, query
+from terrafacet.session import working_folder
+from terrafacet.sources import grid_cache
 
 WIDE = Lattice(110.0, -46.0, 0.75, 0.75, 80, 70)
 FINE = Lattice(120.0, -40.0, 0.25, 0.25, 80, 70)
@@ -85,3 +87,32 @@ def cut_layers_envelope(raster, raster2, classes):
 def envelope_coarsened(raster, _, diamond, ring):
     conditions = [cutting.Between(cutting.Layer(raster, LATTICE), 0, 150_000), cutting.Within(ring.where("oid % 5 < 4"))]
     return cutting.envelope_coarsened(conditions, 0.5, 200)[1].withColumn("km2", F.round("km2", 3))
+
+
+def cached(raster, raster2, classes):
+    """A cache of two layers of one lattice and one of another, in several files a group."""
+    layers = {"el1": cutting.Layer(raster, LATTICE), "cl3": cutting.Layer(classes, FINE), "el2": cutting.Layer(raster2, LATTICE)}
+    path = working_folder(raster.sparkSession, "grid-cache")
+    grid_cache.build_cache(layers, path, 1 << 13)
+    return path
+
+
+@query(
+    "occ raster raster2 classes",
+    """src AS (
+      SELECT layer, cell, value, 112.0e0 AS x0, -44.0e0 AS y0, 0.5e0 AS d FROM raster
+      UNION ALL SELECT layer, cell, value, 112.0e0, -44.0e0, 0.5e0 FROM raster2
+      UNION ALL SELECT layer, cell, value, 120.0e0, -40.0e0, 0.25e0 FROM classes),
+    frame AS (SELECT DISTINCT layer, x0, y0, d FROM src),
+    asked AS (
+      SELECT pt, layer, CASE WHEN x BETWEEN x0 AND x0 + 80 * d AND y BETWEEN y0 AND y0 + 70 * d
+        THEN (69 - least(69, floor((y - y0) / d))) * 80 + least(79, floor((x - x0) / d)) END AS cell FROM occ JOIN frame ON true)
+    SELECT pt, layer, value FROM asked LEFT JOIN src USING (layer, cell)""",
+)
+def grid_cache_sample(occ, raster, raster2, classes):
+    return grid_cache.sample_cache(occ.select("pt", "x", "y"), cached(raster, raster2, classes))
+
+
+@query("raster raster2 classes", "SELECT layer, cast(cell AS bigint) AS cell, row, col, value FROM (FROM raster2 UNION ALL FROM classes) WHERE cell BETWEEN 1000 AND 2999")
+def grid_cache_scan(raster, raster2, classes):
+    return grid_cache.read_cache(raster.sparkSession, cached(raster, raster2, classes), ["el2", "cl3"], 1000, 3000)

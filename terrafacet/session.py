@@ -69,3 +69,13 @@ def ship_package(spark: SparkSession) -> None:
         for source in sorted(root.rglob("*.py")):
             file.write(source, str(source.relative_to(root.parent)))
     spark.sparkContext.addPyFile(str(packed))
+
+
+def working_folder(spark: SparkSession, name: str) -> str:
+    """A new folder beside the checkpoints, deleted when the driver ends."""
+    path = f"{_shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(at)
+    system.deleteOnExit(at)
+    return path

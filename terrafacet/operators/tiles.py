@@ -130,24 +130,21 @@ class Pieces:
         down = self.edges.select("oid", "part", *EDGE, F.col("kx").alias("px"), F.col("ky").alias("py"))
         new = [F.array(*(m * F.col(c) + k for k in range(m))) for c in ("px", "py")]
         edges = touching(down, small, *new).select(F.lit(below).alias("level"), "kx", "ky", "oid", "part", *EDGE)
-        # from the tile's corner along its lower side to a new column, then up to each new corner: a bit per corner that the edge turns over
+        # from the tile's corner along its lower side to a new column, then up to a new corner: a row for each that the edge turns over
         x0, y0 = F.col("kx") * F.lit(wide), F.col("ky") * F.lit(wide)
         x1, y1, x2, y2 = map(F.col, EDGE)
         column = F.ceil(F.greatest(F.least(x1, x2) - x0, F.lit(0.0)) / small)
         matters = ((y1 > y0) != (y2 > y0)) | (x0 + column * small < F.greatest(x1, x2))
-        bits = F.lit(0)
-        for right in range(m):
-            x = x0 + right * small
-            along = (runs_right(x0, y0) != runs_right(x, y0)) if right else F.lit(False)
-            for up in range(m):
-                upward = (runs_below(x, y0 + up * small) != runs_below(x, y0)) if up else F.lit(False)
-                bits = bits.bitwiseOR(F.when(along != upward, 1 << (m * right + up)).otherwise(0))
-        flips = self.edges.where(matters).select("kx", "ky", "oid", "part", bits.alias("bits")).where("bits != 0")
+        every, k = F.explode(F.array(*map(F.lit, range(m * m)))).alias("k"), F.col("k")
+        right, up = F.floor(k / m), k % m
+        x = x0 + right * small
+        turned = (runs_right(x0, y0) != runs_right(x, y0)) != (runs_below(x, y0 + up * small) != runs_below(x, y0))
+        flips = self.edges.where(matters).select("kx", "ky", "oid", "part", *EDGE, every).where(turned).select("kx", "ky", "oid", "part", F.expr("shiftleft(1, k)").alias("bits"))
         inside = self.corners.select("kx", "ky", "oid", "part", F.lit((1 << m * m) - 1).alias("bits"))
         held = flips.unionByName(inside).groupBy("kx", "ky", "oid", "part").agg(F.bit_xor("bits").alias("bits"))
-        corner = [F.struct((m * F.col("kx") + k // m).alias("kx"), (m * F.col("ky") + k % m).alias("ky"), F.col("bits").bitwiseAND(1 << k).alias("bit")) for k in range(m * m)]
-        corners = held.where("bits != 0").select("oid", "part", F.explode(F.array(*corner)).alias("q")).where("q.bit != 0")
-        return Pieces(edges, corners.select(F.lit(below).alias("level"), "q.kx", "q.ky", "oid", "part"), self.cell)
+        corners = held.where("bits != 0").select("kx", "ky", "oid", "part", "bits", every).where(F.expr("(bits & shiftleft(1, k)) != 0"))
+        corners = corners.select((m * F.col("kx") + right).alias("kx"), (m * F.col("ky") + up).alias("ky"), "oid", "part")
+        return Pieces(edges, corners.select(F.lit(below).alias("level"), "kx", "ky", "oid", "part"), self.cell)
 
     def union(self, other: Pieces) -> Pieces:
         return Pieces(self.edges.unionByName(other.edges), self.corners.unionByName(other.corners), self.cell)

@@ -621,4 +621,4 @@ def type_inference(objects):
     return found
 
 
-from terrafacet.plans import areas, cuts, records  # noqa: E402, F401 (they register their queries)
+from terrafacet.plans import areas, cuts, records, stores  # noqa: E402, F401 (they register their queries)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from terrafacet.operators import cutting
+from terrafacet.operators import cutting, resampling
 from terrafacet.operators.rasters import Lattice
 from terrafacet.plans.catalogue import LATTICE, query
 from terrafacet.session import working_folder
@@ -116,3 +116,22 @@ def grid_cache_sample(occ, raster, raster2, classes):
 @query("raster raster2 classes", "SELECT layer, cast(cell AS bigint) AS cell, row, col, value FROM (FROM raster2 UNION ALL FROM classes) WHERE cell BETWEEN 1000 AND 2999")
 def grid_cache_scan(raster, raster2, classes):
     return grid_cache.read_cache(raster.sparkSession, cached(raster, raster2, classes), ["el2", "cl3"], 1000, 3000)
+
+
+SPLINE = "(CASE WHEN {0} < 1 THEN 2.0e0 / 3 - {0} * {0} + {0} * {0} * {0} / 2 WHEN {0} < 2 THEN pow(2 - {0}, 3) / 6 ELSE 0 END)"
+
+
+@query(
+    "raster",
+    f"""tap AS (SELECT unnest(range(-3, 4)) AS k),
+    cols AS (SELECT col, s, {SPLINE.format("abs((px - (112 + (s + 0.5e0) * 0.5e0)) / 0.5e0)")} AS w FROM (
+      SELECT c AS col, px, cast(floor((px - 112) / 0.5e0) AS int) + k AS s FROM (SELECT c, 118.0e0 + (c + 0.5e0) * 0.375e0 AS px FROM (SELECT unnest(range(0, 96)) AS c)) JOIN tap ON true)),
+    ups AS (SELECT up, s, {SPLINE.format("abs((py - (-44 + (s + 0.5e0) * 0.5e0)) / 0.5e0)")} AS w FROM (
+      SELECT c AS up, py, cast(floor((py + 44) / 0.5e0) AS int) + k AS s FROM (SELECT c, -40.0e0 + (c + 0.5e0) * 0.375e0 AS py FROM (SELECT unnest(range(0, 88)) AS c)) JOIN tap ON true)),
+    near AS (SELECT up, cols.col, sum(raster.value * cols.w * ups.w) AS total, sum(cols.w * ups.w) AS weight
+      FROM raster JOIN cols ON cols.s = raster.col AND cols.w > 0 JOIN ups ON ups.s = 69 - raster.row AND ups.w > 0 GROUP BY ALL)
+    SELECT 'el1' AS layer, cast((87 - up) * 96 + col AS bigint) AS cell, cast(87 - up AS int) AS row, cast(col AS int) AS col, round(total / weight, 3) AS value FROM near WHERE weight >= 1e-6""",
+)
+def raster_resample_spline(raster):
+    found = resampling.resample_spline(cutting.Layer(raster, LATTICE), Lattice(118.0, -40.0, 0.375, 0.375, 96, 88))
+    return found.withColumn("value", F.round("value", 3))

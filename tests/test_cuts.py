@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from terrafacet.operators import cutting
+from terrafacet.operators import cutting, resampling
 from terrafacet.operators.rasters import Lattice
 
 CELLS = "layer string, cell long, row int, col int, value float"
@@ -89,3 +89,31 @@ def test_coarsening_stops_at_twice_the_size():
     assert cutting.coarse_enough((0, 0, 8, 8), 1, 1) == 8
     with pytest.raises(ValueError):
         cutting.coarse_enough((0, 0, 8, 8), 1, 0)
+
+
+def spline(t):
+    return 2 / 3 - t * t + t**3 / 2 if t < 1 else (2 - t) ** 3 / 6 if t < 2 else 0.0
+
+
+@pytest.mark.parametrize("target", [Lattice(0.2, 0.1, 0.3, 0.45, 20, 12), Lattice(-1.0, -2.0, 2.5, 1.7, 4, 5), Lattice(0.0, 0.0, 1.0, 0.5, 7, 11)])
+def test_spline_against_sums_over_all_cells(spark, target):
+    own = Lattice(0.0, 0.0, 1.0, 0.5, 7, 11)
+    values = lambda r, c: (None, float("nan"))[c % 2] if (r * 3 + c) % 5 == 0 or r in (3, 4, 5, 6, 7) and c < 5 else math.sin(r) * 10 + c
+    found = {(f.row, f.col): f.value for f in resampling.resample_spline(layer(spark, "a", own, values), target).collect()}
+    want = {}
+    for r in range(target.rows):
+        for c in range(target.columns):
+            total = weight = 0.0
+            for i in range(own.rows):
+                for j in range(own.columns):
+                    value = values(i, j)
+                    wide, high = max(own.dx, target.dx), max(own.dy, target.dy)
+                    across = abs(target.x + (c + 0.5) * target.dx - own.x - (j + 0.5) * own.dx) / wide
+                    up = abs(target.y + (target.rows - r - 0.5) * target.dy - own.y - (own.rows - i - 0.5) * own.dy) / high
+                    w = spline(across) * spline(up) * own.dx / wide * own.dy / high
+                    if value is not None and value == value:
+                        total, weight = total + w * value, weight + w
+            if weight >= resampling.LEAST_WEIGHT:
+                want[r, c] = total / weight
+    assert set(found) == set(want) and all(found[k] == pytest.approx(want[k], rel=1e-6, abs=1e-6) for k in want)
+    assert resampling.resample_spline(layer(spark, "a", own, lambda r, c: None), target).isEmpty()

@@ -313,3 +313,15 @@ def test_analysis_layer_ids(spark):
     }
     rows = spark.createDataFrame([(k,) for k in cases], "id string").select("id", sampling.analysis_layer(F.col("id")).alias("a")).collect()
     assert {r.id: r.a and tuple(r.a) for r in rows} == cases
+
+
+def test_rows_at_one_place_are_measured_together(spark, monkeypatch):
+    monkeypatch.setattr(sphere, "PLACE_ROWS", 8)
+    monkeypatch.setattr(sphere, "CELL_PAIRS", 100)
+    rows = [(None if k == 7 else k, (k % 3) / 1000, 0.0 if k % 2 else -0.0) for k in range(60)]
+    places, objects = (spark.createDataFrame(rows, f"{name} long, x double, y double") for name in ("pt", "pid"))
+    near, placed = sphere._gathered(places, "pt"), sphere.within_radius(places, objects, 150.0, digits=2)
+    assert 3 < near.count() < 30
+    found = sorted(((r.pt if r.pt is not None else -1, r.pid if r.pid is not None else -1, r.metres) for r in placed.collect()))
+    at = lambda k: k if k != 7 else -1
+    assert found == sorted((at(a), at(b), round(math.radians(abs(a % 3 - b % 3) / 1000) * 6_378_137, 2)) for a in range(60) for b in range(60) if abs(a % 3 - b % 3) < 2)

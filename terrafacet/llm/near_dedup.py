@@ -395,12 +395,13 @@ def link_classes(docs: DataFrame, classes: DataFrame, percent: int, scratch: Scr
         named = members.where("n > 2").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
         sizes = named.groupBy("key", "component").agg(F.count("*").alias("m"))
         split = sizes.groupBy("key").agg(F.max(F.struct("m", "component")).alias("largest"), F.count("*").alias("parts")).where("parts > 1")
+        if asked is not None:  # of two members of different components one has asked so far
+            split = split.join(asked.select("key").distinct(), "key", "left_semi")
         rows = scratch.stored(named.join(split.select("key", F.col("largest.component").alias("main")), "key"), "open-buckets")
         if asked is None:
             seekers = rows.where("component != main").select("key", "id")
-        else:  # of two members of different components one has asked so far
+        else:
             seekers = rows.join(asked, ["key", "id"], "left_semi").select("key", "id")
-            rows = rows.join(seekers.select("key").distinct(), "key", "left_semi")
         if seekers.isEmpty():
             return labels
         if partners is None:

@@ -46,7 +46,7 @@ FINE_HASHES, FINE_WORDS = 1024, 64
 CHUNK_VALUES = 1 << 19
 GROUP_ROWS, GROUP_SHINGLES = 1024, 1 << 21
 PARTNERS = (1, 8)
-BITMAP_BITS = 1 << 26
+BITMAP_BITS, ID_BITS = 1 << 26, 128
 
 # Odd 64-bit constants of the hashes.
 PLACE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -152,31 +152,32 @@ def text_tie() -> Column:
     return F.xxhash64("text")
 
 
-def bitmap_slot(ids: np.ndarray) -> np.ndarray:
-    return (mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(BITMAP_BITS)).astype(np.int64)
+def bitmap_slot(ids: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(bits)).astype(np.int64)
 
 
 def in_bitmap(bitmap: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    slot = bitmap_slot(ids)
+    slot = bitmap_slot(ids, 32 * len(bitmap))
     return (bitmap[slot >> 5] >> (slot & 31).astype(np.uint32) & np.uint32(1)).astype(bool)
 
 
 def bitmap_of(ids: DataFrame) -> np.ndarray:
-    """Bits at the slots of all ids (one column), BITMAP_BITS in all; the rows that reach the driver are its words, at most."""
+    """Bits at the slots of all ids (one column, stored), ID_BITS an id up to BITMAP_BITS in all; the rows that reach the driver are its words, at most."""
+    bits = min(BITMAP_BITS, 1 << max(10, (ID_BITS * ids.count() - 1).bit_length()))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        slot = bitmap_slot(batch.column(0).to_numpy())
+        slot = bitmap_slot(batch.column(0).to_numpy(), bits)
         return pa.RecordBatch.from_arrays([pa.array(slot >> 5), pa.array(np.int64(1) << (slot & 31))], names=["word", "bit"])
 
     words = map_arrow(ids, run, "word long, bit long", 10_000).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    bitmap = np.zeros(BITMAP_BITS >> 5, np.uint32)
+    bitmap = np.zeros(bits >> 5, np.uint32)
     bitmap[words.column("word").to_numpy()] = words.column("bits").to_numpy()
     return bitmap
 
 
 def member_sets(docs: DataFrame, picks: DataFrame, scratch: Scratch) -> DataFrame:
     """id, shingles and fine sketch of the sets of the rows among `picks`, once each, and of a few others that the bitmap can't tell from them."""
-    shipped = scratch.broadcast(bitmap_of(picks))  # BITMAP_BITS / 8 bytes
+    shipped = scratch.broadcast(bitmap_of(picks))  # BITMAP_BITS / 8 bytes at most
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = batch.filter(pa.array(in_bitmap(shipped.value, batch.column("pick").to_numpy())))
@@ -211,7 +212,7 @@ def shared_buckets(classes: DataFrame, scratch: Scratch) -> DataFrame:
     """
     rows = classes.select(F.explode("bands").alias("key"), "id")
     shared = scratch.stored(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared-keys")
-    shipped = scratch.broadcast(bitmap_of(shared))  # BITMAP_BITS / 8 bytes
+    shipped = scratch.broadcast(bitmap_of(shared))  # BITMAP_BITS / 8 bytes at most
     near = scratch.stored(map_arrow(rows, lambda batch: batch.filter(pa.array(in_bitmap(shipped.value, batch.column("key").to_numpy()))), "key long, id long", 10_000), "band-rows")
     members = [F.sum(F.xxhash64(F.lit(k), "id").cast("decimal(38,0)")).alias(f"h{k}") for k in (1, 2)]
     alike = near.groupBy("key").agg(F.count("*").alias("n"), *members).where("n > 1").groupBy("n", "h1", "h2").agg(F.min("key").alias("key"))
@@ -384,6 +385,7 @@ def link_classes(docs: DataFrame, classes: DataFrame, percent: int, scratch: Scr
     # a bucket of two is through with its pair: without one that the sketch allows, neither set is asked for
     asked_for = members.where("n > 2").select("id").union(starred.select("a")).union(starred.select("b"))
     picks = classes.join(asked_for.distinct(), "id", "left_semi").select(row_pick(F.col("least.doc_id"), F.col("least.tie")).alias("pick"))
+    picks = scratch.stored(picks, "picks")
     sets = member_sets(docs, picks, scratch)
     labels = spark.createDataFrame([], "id long, component long")
     links = scratch.stored(confirm(starred, sets, percent), "links")

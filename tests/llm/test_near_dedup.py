@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -175,3 +176,15 @@ def test_odd_sketch_difference_follows_similarity():
     differ = int(np.bitwise_count((sketch[0] ^ sketch[1]).view(np.uint64)).sum())
     assert differ <= near_dedup.most_different_bits(0.8, 1024, 64)
     assert differ > near_dedup.most_different_bits(0.99, 1024, 64)
+
+
+def test_bitmaps_grow_with_their_ids_up_to_a_bound(spark, monkeypatch):
+    few = spark.range(-500, 500)
+    small = near_dedup.bitmap_of(few)
+    monkeypatch.setattr(near_dedup, "BITMAP_BITS", 1 << 12)
+    least = near_dedup.bitmap_of(few)
+    assert (32 * len(small), 32 * len(least)) == (1 << 17, 1 << 12)
+    for bitmap in (small, least):
+        assert near_dedup.in_bitmap(bitmap, np.arange(-500, 500)).all()
+    assert near_dedup.in_bitmap(small, np.arange(10_000, 110_000)).mean() < 0.02
+    assert len(near_dedup.bitmap_of(few.where("id > 500"))) == 1 << 5

@@ -32,6 +32,7 @@ from terrafacet.llm.shared import slices, texts_of
 PACKED = [(60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
 ESCAPE, RUN = 14, 15
 MIN_RUN, MAX_RUN, RUN_BITS = 61, 255, 52
+HOPS = 4
 
 BLOCK_IDS = 1 << 16
 CACHE_CORES, TEXT_WORDS, BATCH_TEXTS = 300_000, 1000, 1024
@@ -74,17 +75,29 @@ def takes(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return selector, count
 
 
+def reached(count: np.ndarray) -> np.ndarray:
+    """The places from 0 on that one gets to by going on by each place's count; 2 ** HOPS of them at once."""
+    n = len(count)
+    hops = [np.minimum(np.arange(n + 1) + np.append(count, 0), n)]
+    for _ in range(HOPS):
+        hops.append(hops[-1][hops[-1]])
+    far, at, places = hops.pop().tolist(), 0, []
+    while at < n:
+        places.append(at)
+        at = far[at]
+    place = np.array(places, np.int64)
+    for hop in reversed(hops):
+        place = np.stack([place, hop[place]], 1).ravel()
+    return place[place < n]
+
+
 def pack(ids: np.ndarray) -> bytes:
     """Ids (uint64) as Simple-8b words."""
     ids = np.ascontiguousarray(ids, np.uint64)
     if not len(ids):
         return b""
     selector, count = takes(ids)
-    step, at, places = count.tolist(), 0, []
-    while at < len(step):
-        places.append(at)
-        at += step[at]
-    place = np.array(places)
+    place = reached(count)
     chosen, held = selector[place], count[place].astype(np.int64)
     # each escape takes a header word and a raw word
     word_of = np.arange(len(place)) + np.concatenate([[0], np.cumsum(chosen[:-1] == ESCAPE)])
@@ -149,6 +162,18 @@ class PieceEncoder:
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.added = sorted({t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content})
         self.cores: dict[str, bytes] = {}
+        self.proven: set[str] = set()
+
+    def hold(self, need: set[str]) -> None:
+        """Have the ids of some cores in `cores`. When CACHE_CORES are there, those go that one call alone has asked for; most are rare and don't return."""
+        new = need.difference(self.cores)
+        again = need.difference(new)
+        self.proven |= again
+        if len(self.cores) + len(new) > CACHE_CORES:
+            if len(self.proven) > CACHE_CORES * 4 // 5:
+                self.proven = again
+            self.cores = {c: self.cores[c] for c in self.proven}
+        self.learn(list(new))
 
     def learn(self, cores: list[str]) -> None:
         """Add the library's ids of new cores; those of letters alone are one word each and go many to a text."""
@@ -175,14 +200,13 @@ class PieceEncoder:
         lower = pc.utf8_lower(core)
         for token in self.added:  # matched before the library lower-cases
             latin = pc.and_not(latin, pc.match_substring(lower, token))
-        cores = pc.if_else(latin, lower, core).to_pylist()
+        cores = listed(pc.if_else(latin, lower, core))
         sizes = pc.binary_length(core).to_numpy(zero_copy_only=False)
         short = np.flatnonzero(sizes < pc.binary_length(piece).to_numpy(zero_copy_only=False)).tolist()
-        tails = [raw.as_py().encode()[sizes[k] :].decode() for k, raw in zip(short, piece.take(pa.array(short, pa.int64())))]
+        cut = pa.array(short, pa.int64())
+        tails = [raw[len(kept) :] for raw, kept in zip(listed(piece.take(cut)), listed(core.take(cut)))]
         need = {*cores, *tails}
-        if len(self.cores) + len(need) > CACHE_CORES:
-            self.cores.clear()
-        self.learn(list(need.difference(self.cores)))
+        self.hold(need)
         found = list(map(self.cores.__getitem__, cores))
         for k, tail in zip(short, tails):
             found[k] += self.cores[tail]
@@ -193,6 +217,11 @@ class PieceEncoder:
         return ids.take(codes).flatten().to_numpy(), ends
 
 
+def listed(texts: pa.Array) -> list[str]:
+    """As to_pylist, for texts none of which is null; several times as fast."""
+    return texts.to_numpy(zero_copy_only=False).tolist()
+
+
 _ENCODERS: dict[int, PieceEncoder] = {}
 
 

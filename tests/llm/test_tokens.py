@@ -99,6 +99,32 @@ def test_added_tokens_in_other_case():
         assert ids[a:b].tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
+def test_words_of_several_batches_are_asked_once_though_the_cache_is_full(monkeypatch):
+    with open(queries.WORD_BPE, encoding="utf-8") as file:
+        said = file.read()
+    monkeypatch.setattr(simple8b, "CACHE_CORES", 40)
+    library, encoder, asked = Tokenizer.from_str(said), simple8b.PieceEncoder(said), []
+    learn = encoder.learn
+    monkeypatch.setattr(encoder, "learn", lambda cores: (asked.extend(cores), learn(cores)))
+    usual = ["the", "cat", "sat", "on", "a", "mat"]
+    for k in range(12):
+        text = " ".join([*usual, *(f"word{k}x{n}" for n in range(15))])
+        ids, _ = encoder.encode(pa.array([text, "The CAT."]))
+        assert ids.tolist() == [i for t in (text, "The CAT.") for i in library.encode(t, add_special_tokens=False).ids]
+        assert len(encoder.cores) <= 40
+    assert max(asked.count(w) for w in usual) == 1
+
+
+def test_places_reached_by_hops():
+    rng = random.Random(4)
+    for n in (0, 1, 2, 50, 1000):
+        count, at, want = [rng.choice([1, 2, 7, 60, 255]) for _ in range(n)], 0, []
+        while at < n:
+            want.append(at)
+            at += count[at]
+        assert simple8b.reached(np.array(count, np.uint8)).tolist() == want
+
+
 def test_blocks_of_an_empty_table_and_repeated_rows(spark, tmp_path):
     empty = spark.createDataFrame([], "doc_id long, text string")
     simple8b.write_blocks(empty, queries.WORD_BPE, 1, f"file://{tmp_path}/none")

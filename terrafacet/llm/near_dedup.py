@@ -191,7 +191,7 @@ def member_sets(docs: DataFrame, picks: DataFrame, scratch: Scratch) -> DataFram
     twice = scratch.stored(sets.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"), "sets-twice")
     if twice.isEmpty():
         return sets
-    return of_ids(sets, twice, "left_anti").unionByName(of_ids(sets, twice).dropDuplicates(["id"]))
+    return scratch.stored(of_ids(sets, twice, "left_anti").unionByName(of_ids(sets, twice).dropDuplicates(["id"])), "sets-once")
 
 
 def row_pick(doc_id: Column, tie: Column) -> Column:
@@ -233,25 +233,28 @@ def star_pairs(members: DataFrame, classes: DataFrame, most: int) -> DataFrame:
 def grouped(rows: DataFrame, seekers: DataFrame, sets: DataFrame, f: Callable[[pa.Table], pa.Table], schema: str, weight: Column | None = None) -> DataFrame:
     """Apply `f` to groups in which every seeker of a bucket meets every member of it, each pair once.
 
-    `rows` holds key, id and component, `seekers` key and id; `f` gets these
-    columns, `seeks` and those of `sets`. Buckets are cut into groups of about
+    `rows` holds key, id, component and the bucket's numbers n of rows and s of
+    seekers, `seekers` those rows that seek; `f` gets key, id, component, `seeks`
+    and the columns of `sets`. Buckets are cut into groups of about
     GROUP_ROWS seekers and GROUP_ROWS members, or fewer if these weigh more than
     GROUP_ROWS. Sketches and sets join the rows last and travel once.
     """
     sets = of_ids(sets, rows)
-    narrow = rows.select("key", "id", "component")
-    narrow = narrow.withColumn("w", F.lit(1.0)) if weight is None else narrow.join(sets.select("id", weight.alias("w")), "id")
-    seeking = narrow.join(seekers.select("key", "id", F.lit(1).alias("s")), ["key", "id"], "left")
-    cut = seeking.groupBy("key").agg(F.ceil(F.sum("w") / GROUP_ROWS).alias("across"), F.ceil(F.sum(F.when(F.col("s") == 1, F.col("w"))) / GROUP_ROWS).alias("down")).where("down > 0")
-    sized = seeking.join(cut, "key")
-    common = ["key", "id", "component"]
-    hashed = F.xxhash64("id")
+    common, hashed = ["key", "id", "component"], F.xxhash64("id")
+    if weight is not None:
+        weights = sets.select("id", weight.alias("w"))
+        heavy = [x.join(weights, "id").groupBy("key").agg(F.sum("w").alias(n)) for x, n in ((rows, "n"), (seekers, "s"))]
+        sized = heavy[0].join(heavy[1], "key")  # a row per bucket
+        rows, seekers = (x.select(*common).join(sized, "key") for x in (rows, seekers))
+
+    def cut(n: str) -> Column:
+        return F.ceil(F.col(n) / GROUP_ROWS)
 
     def spread(n: str) -> Column:
-        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+        return F.explode(F.sequence(F.lit(0).cast("long"), cut(n) - 1))
 
-    left = sized.where("s = 1").select(*common, F.lit(True).alias("seeks"), F.pmod(hashed, "down").alias("g"), spread("across").alias("h"))
-    right = sized.select(*common, F.lit(False).alias("seeks"), spread("down").alias("g"), F.pmod(hashed, "across").alias("h"))
+    left = seekers.select(*common, F.lit(True).alias("seeks"), F.pmod(hashed, cut("s")).alias("g"), spread("n").alias("h"))
+    right = rows.select(*common, F.lit(False).alias("seeks"), spread("s").alias("g"), F.pmod(hashed, cut("n")).alias("h"))
     return left.unionByName(right).join(sets, "id").groupBy("key", "g", "h").applyInArrow(f, schema)
 
 
@@ -280,7 +283,7 @@ class Group:
 def partner_pairs(rows: DataFrame, seekers: DataFrame, sets: DataFrame, partners: int, most: int) -> DataFrame:
     """key, seeker, id and more: for each seeker the `partners` members of other components that differ least in the fine sketch.
 
-    `rows` holds key, id and component. `more`: the sketch allows others.
+    `rows` and `seekers` as in `grouped`. `more`: the sketch allows others.
     """
 
     def nearest(table: pa.Table) -> pa.Table:
@@ -300,7 +303,7 @@ def partner_pairs(rows: DataFrame, seekers: DataFrame, sets: DataFrame, partners
 def remaining_links(rows: DataFrame, seekers: DataFrame, sets: DataFrame, percent: int, most: int) -> DataFrame:
     """a, b: links of seekers with members of other components, as many in each group as join what is joined by any of its links.
 
-    `rows` holds key, id and component. All pairs that the sketch
+    `rows` and `seekers` as in `grouped`. All pairs that the sketch
     allows are confirmed on the full sets inside the group, by a list of the
     members that hold each shingle, and none of them leaves it but the links.
     """
@@ -377,6 +380,25 @@ def join_components(labels: DataFrame, links: DataFrame, scratch: Scratch) -> Da
     return scratch.stored(old.unionByName(merged.join(labels, "id", "left_anti")), "labels")
 
 
+def open_buckets(wide: DataFrame, labels: DataFrame, asked: DataFrame | None, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Rows and seekers, as in `grouped`, of the buckets of `wide` (key, id) in which some have to meet others of other components.
+
+    Seekers are the rows outside of their bucket's largest component, or those
+    `asked` (key, id): of two members of different components one has asked so far.
+    No row looks for its bucket's seekers: buckets are joined with buckets.
+    """
+    if asked is not None:
+        wide = wide.join(asked.select("key").distinct(), "key", "left_semi")
+    named = scratch.stored(wide.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")), "named-rows")
+    sizes = named.groupBy("key", "component").agg(F.count("*").alias("m"))
+    split = sizes.groupBy("key").agg(F.max(F.struct("m", "component")).alias("largest"), F.count("*").alias("parts"), F.sum("m").alias("n")).where("parts > 1")
+    split = split.select("key", "n", (F.col("n") - F.col("largest.m")).alias("s"), F.col("largest.component").alias("main"))
+    if asked is not None:
+        split = split.drop("s").join(asked.groupBy("key").agg(F.count("*").alias("s")), "key")
+    rows = scratch.stored(named.join(split, "key"), "open-buckets")
+    return rows, rows.where("component != main") if asked is None else rows.join(asked, ["key", "id"], "left_semi")
+
+
 def link_classes(docs: DataFrame, classes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """id and component of every class that is linked with another."""
     spark = docs.sparkSession
@@ -390,20 +412,11 @@ def link_classes(docs: DataFrame, classes: DataFrame, percent: int, scratch: Scr
     labels = spark.createDataFrame([], "id long, component long")
     links = scratch.stored(confirm(starred, sets, percent), "links")
     asked, most = None, most_different_bits(percent / 100, FINE_HASHES, FINE_WORDS)
+    wide = members.where("n > 2").select("key", "id")  # all pairs of a bucket of two are through
     for partners in (*PARTNERS, None):
         if not links.isEmpty():
             labels = join_components(labels, links, scratch)
-        # all pairs of a bucket of two are through
-        named = members.where("n > 2").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        sizes = named.groupBy("key", "component").agg(F.count("*").alias("m"))
-        split = sizes.groupBy("key").agg(F.max(F.struct("m", "component")).alias("largest"), F.count("*").alias("parts")).where("parts > 1")
-        if asked is not None:  # of two members of different components one has asked so far
-            split = split.join(asked.select("key").distinct(), "key", "left_semi")
-        rows = scratch.stored(named.join(split.select("key", F.col("largest.component").alias("main")), "key"), "open-buckets")
-        if asked is None:
-            seekers = rows.where("component != main").select("key", "id")
-        else:
-            seekers = rows.join(asked, ["key", "id"], "left_semi").select("key", "id")
+        rows, seekers = open_buckets(wide, labels, asked, scratch)
         if seekers.isEmpty():
             return labels
         if partners is None:
@@ -412,7 +425,7 @@ def link_classes(docs: DataFrame, classes: DataFrame, percent: int, scratch: Scr
             found = scratch.stored(partner_pairs(rows, seekers, sets, partners, most), "partners")
             pairs = found.select(F.greatest("seeker", "id").alias("a"), F.least("seeker", "id").alias("b")).distinct()
             links = scratch.stored(confirm(pairs, sets, percent), "links")
-            asked = found.where("more").select("key", F.col("seeker").alias("id")).distinct()
+            asked, wide = found.where("more").select("key", F.col("seeker").alias("id")).distinct(), rows.select("key", "id")
     return labels if links.isEmpty() else join_components(labels, links, scratch)
 
 

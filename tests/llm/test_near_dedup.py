@@ -70,6 +70,16 @@ def test_hot_group_of_copies_just_below_the_threshold(spark, monkeypatch):
     assert run(spark, rows, 85) == brute(rows, 85)
 
 
+def test_rows_of_buckets_are_not_joined_with_their_seekers(spark):
+    """Each row of a bucket meets its set once, and the pick of that set, and nothing else."""
+    rows = spark.createDataFrame([(1, k, k % 3, 9, 6, 0) for k in range(9)], "key long, id long, component long, n long, s long, main long")
+    sets = spark.createDataFrame([(k, [k] * near_dedup.FINE_WORDS) for k in range(9)], "id long, fine array<long>")
+    found = near_dedup.partner_pairs(rows, rows.where("component != main"), sets, 8, 1 << 12)
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert "LeftOuter" not in plan and len(re.findall("Join", plan)) <= 2
+    assert {(r.seeker, r.id) for r in found.collect()} == {(a, b) for a in range(9) for b in range(9) if a % 3 and a % 3 != b % 3}
+
+
 def test_long_texts_are_cut_by_weight(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "GROUP_SHINGLES", 2000)
     rows = list(enumerate(near_copies(9, 2, 24, 700, 20)))

@@ -80,6 +80,16 @@ def test_rows_of_buckets_are_not_joined_with_their_seekers(spark):
     assert {(r.seeker, r.id) for r in found.collect()} == {(a, b) for a in range(9) for b in range(9) if a % 3 and a % 3 != b % 3}
 
 
+def test_sets_of_repeated_rows_are_read_from_a_table(spark):
+    """Each later step repeats the plan of the sets, so that it has to be a scan, whose size the driver doesn't feel."""
+    docs = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (2, "d e")], "doc_id long, text string")
+    with near_dedup.Scratch(spark) as scratch:
+        picks = scratch.stored(docs.select(near_dedup.row_pick(near_dedup.F.col("doc_id"), near_dedup.text_tie()).alias("pick")), "picks")
+        sets = near_dedup.member_sets(docs, picks, scratch)
+        assert not re.search("Join|Aggregate|Union", sets._jdf.queryExecution().analyzed().toString())
+        assert sets.count() == sets.select("id").distinct().count() == 2
+
+
 def test_long_texts_are_cut_by_weight(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "GROUP_SHINGLES", 2000)
     rows = list(enumerate(near_copies(9, 2, 24, 700, 20)))

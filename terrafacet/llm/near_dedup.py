@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrafacet.llm.shared import Scratch, map_arrow, stored, texts_of, with_ids
@@ -161,9 +161,9 @@ def in_bitmap(bitmap: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return (bitmap[slot >> 5] >> (slot & 31).astype(np.uint32) & np.uint32(1)).astype(bool)
 
 
-def bitmap_of(ids: DataFrame) -> np.ndarray:
-    """Bits at the slots of all ids (one column, stored), ID_BITS an id up to BITMAP_BITS in all; the rows that reach the driver are its words, at most."""
-    bits = min(BITMAP_BITS, 1 << max(10, (ID_BITS * ids.count() - 1).bit_length()))
+def bitmap_of(ids: DataFrame, number: int | None = None) -> np.ndarray:
+    """Bits at the slots of all ids (one column, stored; `number` of them, if known), ID_BITS an id up to BITMAP_BITS in all; the rows that reach the driver are its words, at most."""
+    bits = min(BITMAP_BITS, 1 << max(10, (ID_BITS * (ids.count() if number is None else number) - 1).bit_length()))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         slot = bitmap_slot(batch.column(0).to_numpy(), bits)
@@ -188,8 +188,8 @@ def member_sets(docs: DataFrame, picks: DataFrame, scratch: Scratch) -> DataFram
 
     rows = docs.select("text", row_pick(F.col("doc_id"), text_tie()).alias("pick"))
     sets = scratch.stored(map_arrow(rows, run, "id long, shingles array<long>, fine array<long>").where(F.size("shingles") > 0), "sets")
-    twice = scratch.stored(sets.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"), "sets-twice")
-    if twice.isEmpty():
+    twice, number = scratch.counted(sets.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"), "sets-twice")
+    if not number:
         return sets
     return scratch.stored(of_ids(sets, twice, "left_anti").unionByName(of_ids(sets, twice).dropDuplicates(["id"])), "sets-once")
 
@@ -211,8 +211,8 @@ def shared_buckets(classes: DataFrame, scratch: Scratch) -> DataFrame:
     shared keys holds them back, but for a few that it can't tell apart.
     """
     rows = classes.select(F.explode("bands").alias("key"), "id")
-    shared = scratch.stored(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared-keys")
-    shipped = scratch.broadcast(bitmap_of(shared))  # BITMAP_BITS / 8 bytes at most
+    shared, number = scratch.counted(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared-keys")
+    shipped = scratch.broadcast(bitmap_of(shared, number))  # BITMAP_BITS / 8 bytes at most
     near = scratch.stored(map_arrow(rows, lambda batch: batch.filter(pa.array(in_bitmap(shipped.value, batch.column("key").to_numpy()))), "key long, id long", 10_000), "band-rows")
     members = [F.sum(F.xxhash64(F.lit(k), "id").cast("decimal(38,0)")).alias(f"h{k}") for k in (1, 2)]
     alike = near.groupBy("key").agg(F.count("*").alias("n"), *members).where("n > 1").groupBy("n", "h1", "h2").agg(F.min("key").alias("key"))
@@ -352,40 +352,41 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("common") >= percent * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """id and component (its least id) of every end of the edges a, b, by alternating large and small stars."""
+def are_stars(edges: DataFrame) -> bool:
+    """Whether every end a stands there once and is no b."""
+    ends = edges.select(F.col("a").alias("id"), F.lit(1).alias("leaf")).unionByName(edges.select(F.col("b").alias("id"), F.lit(0).alias("leaf")))
+    return ends.groupBy("id").agg(F.sum("leaf").alias("n"), F.min("leaf").alias("least")).where("n > least").isEmpty()
+
+
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """id and component (its least id) of every other end of the edges a, b, by alternating large and small stars."""
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
-    before = None
-    with Scratch(edges.sparkSession) as scratch:
-        while True:
-            both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-            large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-            least = large.groupBy("a").agg(F.min("b").alias("m"))
-            small = large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-            stars, seen = small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), Observation()
-            edges = scratch.stored(stars.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")), "stars")
-            now = seen.get
-            if now == before:
-                return stored(edges.select(F.col("a").alias("id"), F.col("b").alias("component")), "components")
-            before = now
+    while True:
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        edges = scratch.stored(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "stars")
+        if are_stars(edges):
+            return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
 
 
 def join_components(labels: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     """id and component after more links a, b."""
     known = [labels.select(F.col("id").alias(x), F.col("component").alias(x + "c")) for x in "ab"]
     joined = links.join(known[0], "a", "left").join(known[1], "b", "left").select(F.coalesce("ac", "a").alias("a"), F.coalesce("bc", "b").alias("b"))
-    merged = components(joined)
+    merged = components(joined, scratch)
     old = labels.join(merged.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left").select("id", F.coalesce("to", "component").alias("component"))
     return scratch.stored(old.unionByName(merged.join(labels, "id", "left_anti")), "labels")
 
 
-def open_buckets(wide: DataFrame, labels: DataFrame, asked: DataFrame | None, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Rows and seekers, as in `grouped`, of the buckets of `wide` (key, id) in which some have to meet others of other components.
+def open_buckets(wide: DataFrame, labels: DataFrame, asked: DataFrame | None, scratch: Scratch) -> tuple[DataFrame, DataFrame, int]:
+    """Rows and seekers, as in `grouped`, and the number of rows of the buckets of `wide` (key, id) in which some have to meet others of other components.
 
     Seekers are the rows outside of their bucket's largest component, or those
     `asked` (key, id): of two members of different components one has asked so far.
-    No row looks for its bucket's seekers: buckets are joined with buckets.
+    So every such bucket has seekers, and there are none only if there are no rows. No row looks for its bucket's seekers: buckets are joined with buckets.
     """
     if asked is not None:
         wide = wide.join(asked.select("key").distinct(), "key", "left_semi")
@@ -395,8 +396,8 @@ def open_buckets(wide: DataFrame, labels: DataFrame, asked: DataFrame | None, sc
     split = split.select("key", "n", (F.col("n") - F.col("largest.m")).alias("s"), F.col("largest.component").alias("main"))
     if asked is not None:
         split = split.drop("s").join(asked.groupBy("key").agg(F.count("*").alias("s")), "key")
-    rows = scratch.stored(named.join(split, "key"), "open-buckets")
-    return rows, rows.where("component != main") if asked is None else rows.join(asked, ["key", "id"], "left_semi")
+    rows, number = scratch.counted(named.join(split, "key"), "open-buckets")
+    return rows, rows.where("component != main") if asked is None else rows.join(asked, ["key", "id"], "left_semi"), number
 
 
 def link_classes(docs: DataFrame, classes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
@@ -410,23 +411,23 @@ def link_classes(docs: DataFrame, classes: DataFrame, percent: int, scratch: Scr
     picks = scratch.stored(picks, "picks")
     sets = member_sets(docs, picks, scratch)
     labels = spark.createDataFrame([], "id long, component long")
-    links = scratch.stored(confirm(starred, sets, percent), "links")
+    links, number = scratch.counted(confirm(starred, sets, percent), "links")
     asked, most = None, most_different_bits(percent / 100, FINE_HASHES, FINE_WORDS)
     wide = members.where("n > 2").select("key", "id")  # all pairs of a bucket of two are through
     for partners in (*PARTNERS, None):
-        if not links.isEmpty():
+        if number:
             labels = join_components(labels, links, scratch)
-        rows, seekers = open_buckets(wide, labels, asked, scratch)
-        if seekers.isEmpty():
+        rows, seekers, open_rows = open_buckets(wide, labels, asked, scratch)
+        if not open_rows:
             return labels
         if partners is None:
-            links = scratch.stored(remaining_links(rows, seekers, sets, percent, most).distinct(), "links")
+            links, number = scratch.counted(remaining_links(rows, seekers, sets, percent, most).distinct(), "links")
         else:
             found = scratch.stored(partner_pairs(rows, seekers, sets, partners, most), "partners")
             pairs = found.select(F.greatest("seeker", "id").alias("a"), F.least("seeker", "id").alias("b")).distinct()
-            links = scratch.stored(confirm(pairs, sets, percent), "links")
+            links, number = scratch.counted(confirm(pairs, sets, percent), "links")
             asked, wide = found.where("more").select("key", F.col("seeker").alias("id")).distinct(), rows.select("key", "id")
-    return labels if links.isEmpty() else join_components(labels, links, scratch)
+    return join_components(labels, links, scratch) if number else labels
 
 
 def find_components(docs: DataFrame, percent: int) -> DataFrame:

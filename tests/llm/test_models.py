@@ -289,3 +289,13 @@ def test_scores_are_of_the_original_doubles_and_scaled_copies_tie(spark):
 def test_no_vectors(spark):
     frame = spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>")
     assert hnsw.nearest(frame, frame, 5).collect() == []
+
+
+def test_a_model_of_one_shard_passes_through_the_driver_once(spark, monkeypatch):
+    """Thresholds and verdicts are scored by one broadcast."""
+    loaded, load = [], kneser_ney.load_shard
+    monkeypatch.setattr(kneser_ney, "load_shard", lambda table, shard: (loaded.append(shard), load(table, shard))[1])
+    docs = spark.createDataFrame([(k, f"plain words of text {k % 7}", "en") for k in range(60)], "doc_id long, text string, lang string")
+    found = kneser_ney.classify(docs, docs.select("doc_id")).collect()
+    assert len(found) == 60 and all(r.threshold is not None for r in found)
+    assert loaded == [0]

@@ -118,6 +118,19 @@ def test_keep_one_keeps_the_least_of_each_group_and_all_columns(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [d for d, _, _, k in brute(rows, 80) if k]
 
 
+def test_components_end_with_the_round_that_makes_stars(spark, monkeypatch):
+    """No further round, with its joins and broadcasts, is run to see that nothing changes."""
+    rounds, write = [], near_dedup.Scratch.stored
+    monkeypatch.setattr(near_dedup.Scratch, "stored", lambda self, df, name: (rounds.append(name), write(self, df, name))[1])
+    for edges, most in (([(k, 0) for k in range(1, 9)], 1), ([(k, k + 1) for k in range(60)], 8)):
+        rounds.clear()
+        with near_dedup.Scratch(spark) as scratch:
+            found = near_dedup.components(spark.createDataFrame(edges, "a long, b long"), scratch)
+            ends = {x for e in edges for x in e} - {0}
+            assert sorted(map(tuple, found.collect())) == [(k, 0) for k in sorted(ends)]
+        assert 1 <= rounds.count("stars") <= most
+
+
 def test_words_that_a_polynomial_hash_confuses(spark):
     """Thue-Morse words of 1024 letters and their complements are alike to every polynomial modulo 2 ** 64."""
     morse = "".join("ab"[k.bit_count() & 1] for k in range(1024))

@@ -123,20 +123,21 @@ def mix_sources(docs: DataFrame, tokens: Column, entropy: float | None = None, r
     weights = stored(source_weights(sources, entropy, repetition, budget), "mix-weights")
     plan = weights.select("source", "docs", F.expr("quota div tokens").alias("passes"), F.expr("quota % tokens").alias("rest"))
     # the last, partial pass: which block does the budget end in, and at which document of it
-    dealt = narrow.join(F.broadcast(plan), "source")  # MAX_SOURCES rows
     turn = F.col("passes") + 1
-    dealt = dealt.withColumn("bkey", block_key(turn, F.col("source"), block_of(F.col("docs"))))
+    last_key = block_key(turn, F.col("source"), block_of(F.col("docs")))
+    dealt = narrow.join(F.broadcast(plan), "source").withColumn("bkey", last_key)  # MAX_SOURCES rows
     blocks = dealt.groupBy("source", "bkey", "rest").agg(F.sum("tokens").alias("tokens"))
     so_far = F.sum("tokens").over(Window.partitionBy("source").orderBy("bkey").rowsBetween(Window.unboundedPreceding, 0))
     over = blocks.withColumn("end", so_far).where("end > rest")
     last = over.groupBy("source").agg(F.min("bkey").alias("last"), F.min_by(F.col("rest") - F.col("end") + F.col("tokens"), "bkey").alias("room"))
-    within = dealt.join(F.broadcast(last), "source").where("bkey = last").withColumn("key", doc_key(turn))
+    # a row per source; stored, so that the documents are looked through once for it, and by a small plan
+    found = stored(plan.join(last, "source", "left"), "mix-last")
+    within = narrow.join(F.broadcast(found), "source").where(last_key == F.col("last")).withColumn("key", doc_key(turn))
     upto = F.sum("tokens").over(Window.partitionBy("source").orderBy("key").rangeBetween(Window.unboundedPreceding, 0))
     cut = within.withColumn("end", upto).where("end <= room").groupBy("source").agg(F.max("key").alias("cut"))
-    ends = stored(plan.join(last.drop("room"), "source", "left").join(cut, "source", "left"), "mix-ends")
+    ends = stored(found.drop("room").join(cut, "source", "left"), "mix-ends")
     taken = base.join(F.broadcast(ends), "source")  # MAX_SOURCES rows
-    key = block_key(turn, F.col("source"), block_of(F.col("docs")))
-    part = (key < F.col("last")) | (key == F.col("last")) & (doc_key(turn) <= F.coalesce("cut", F.lit("")))
+    part = (last_key < F.col("last")) | (last_key == F.col("last")) & (doc_key(turn) <= F.coalesce("cut", F.lit("")))
     copies = (F.col("passes") + F.coalesce(part, F.lit(False)).cast("long")).cast("int")
     rows = taken.withColumn("copies", copies).where("copies > 0").withColumn("pass", F.explode(F.sequence(F.lit(1), "copies")))
     place = F.concat(F.substring(block_key(F.col("pass"), F.col("source"), block_of(F.col("docs"))), 1, 16), F.substring(doc_key(F.col("pass")), 1, 16))

@@ -354,20 +354,23 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def are_stars(edges: DataFrame) -> bool:
     """Whether every end a stands there once and is no b."""
-    ends = edges.select(F.col("a").alias("id"), F.lit(1).alias("leaf")).unionByName(edges.select(F.col("b").alias("id"), F.lit(0).alias("leaf")))
+    ends = edges.select(F.inline(F.array(*(F.struct(F.col(x).alias("id"), F.lit(leaf).alias("leaf")) for x, leaf in (("a", 1), ("b", 0))))))
     return ends.groupBy("id").agg(F.sum("leaf").alias("n"), F.min("leaf").alias("least")).where("n > least").isEmpty()
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """id and component (its least id) of every other end of the edges a, b, by alternating large and small stars."""
+    """id and component (its least id) of every other end of the edges a, b, by alternating large and small stars.
+
+    In every round a > b, and the edges stand in its plan as few times as can be: each scan, join and exchange costs memory of the driver.
+    """
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
     while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        both = edges.select(F.inline(F.array(*(F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in ("ab", "ba")))))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("b"), F.least("a", "m").alias("m"))
+        large = edges.join(least, "b").select("a", F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = scratch.stored(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "stars")
+        small = large.join(least, "a").select(F.inline(F.array(*(F.struct(F.col(x).alias("a"), F.col("m").alias("b")) for x in "ab")))).where("a != b")
+        edges = scratch.stored(small.distinct(), "stars")
         if are_stars(edges):
             return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
 
@@ -410,7 +413,7 @@ def link_classes(docs: DataFrame, classes: DataFrame, percent: int, scratch: Scr
     picks = classes.join(asked_for.distinct(), "id", "left_semi").select(row_pick(F.col("least.doc_id"), F.col("least.tie")).alias("pick"))
     picks = scratch.stored(picks, "picks")
     sets = member_sets(docs, picks, scratch)
-    labels = spark.createDataFrame([], "id long, component long")
+    labels = spark.range(0).select("id", F.col("id").alias("component"))
     links, number = scratch.counted(confirm(starred, sets, percent), "links")
     asked, most = None, most_different_bits(percent / 100, FINE_HASHES, FINE_WORDS)
     wide = members.where("n > 2").select("key", "id")  # all pairs of a bucket of two are through

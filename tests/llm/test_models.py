@@ -299,3 +299,14 @@ def test_a_model_of_one_shard_passes_through_the_driver_once(spark, monkeypatch)
     found = kneser_ney.classify(docs, docs.select("doc_id")).collect()
     assert len(found) == 60 and all(r.threshold is not None for r in found)
     assert loaded == [0]
+
+
+def test_a_model_is_put_together_by_one_scan_of_all_orders(spark, monkeypatch):
+    """Each scan sends a configuration from the driver; there were eleven at once, whose buffers made the driver's heap grow."""
+    plans, write = [], kneser_ney.stored
+    monkeypatch.setattr(kneser_ney, "stored", lambda df, name: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), write(df, name))[1])
+    model = kneser_ney.train(spark.createDataFrame([("plain words",), ("plain text",)], "text string"))
+    assert [plan.count("Relation [") for plan in plans] == [3]
+    sizes = model.groupBy("size").agg(*(F.count(F.when(F.col("context") == c, 1)).alias(n) for c, n in ((False, "grams"), (True, "contexts")))).collect()
+    assert {r.size for r in sizes if r.grams} == set(range(kneser_ney.ORDER + 1))
+    assert {r.size for r in sizes if r.contexts} == set(range(kneser_ney.ORDER))

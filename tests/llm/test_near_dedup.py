@@ -131,6 +131,16 @@ def test_components_end_with_the_round_that_makes_stars(spark, monkeypatch):
         assert 1 <= rounds.count("stars") <= most
 
 
+def test_a_round_of_components_reads_its_edges_four_times_at_most(spark, monkeypatch):
+    plans, write = [], near_dedup.Scratch.stored
+    monkeypatch.setattr(near_dedup.Scratch, "stored", lambda self, df, name: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), write(self, df, name))[1])
+    with near_dedup.Scratch(spark) as scratch:
+        edges = write(scratch, spark.createDataFrame([(1, 2), (3, 2), (3, 3), (9, 7), (7, 8), (2, 1)], "a long, b long"), "edges")
+        found = near_dedup.components(edges, scratch)
+        assert sorted(map(tuple, found.collect())) == [(2, 1), (3, 1), (8, 7), (9, 7)]
+    assert plans and all(plan.count("Relation [") <= 4 for plan in plans)
+
+
 def test_words_that_a_polynomial_hash_confuses(spark):
     """Thue-Morse words of 1024 letters and their complements are alike to every polynomial modulo 2 ** 64."""
     morse = "".join("ab"[k.bit_count() & 1] for k in range(1024))

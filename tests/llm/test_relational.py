@@ -31,6 +31,14 @@ def test_mixing_of_nulls_repeats_and_an_empty_table(spark):
     assert mixing.mix_sources(docs.where("false"), mixing.text_tokens(), entropy=0.9).collect() == []
 
 
+def test_mixing_makes_no_plan_of_many_scans(spark, sf_dir, monkeypatch):
+    """The documents are looked through once for the last block and once for the cut, each by a plan of three scans; there was one of seven."""
+    plans, write = [], mixing.stored
+    monkeypatch.setattr(mixing, "stored", lambda df, name: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), write(df, name))[1])
+    assert mixing.mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"), mixing.text_tokens(), repetition=1.25).count()
+    assert [plan.count("Relation [") for plan in plans] == [1, 3, 3]
+
+
 def test_mixing_leaves_columns_of_any_name_alone(spark):
     """The names that the operator uses itself, in a table of its own."""
     own = ["last", "docs", "cut", "rest", "passes", "row", "tokens", "copies", "_source", "bkey", "key"]

@@ -166,6 +166,20 @@ def test_busy_cells_are_dealt_out(spark, monkeypatch):
     assert sphere.within_radius(places, places.selectExpr("pt AS pid", "x", "y"), 1e5).count() == 10_000
 
 
+def test_both_sides_of_busy_cells_are_dealt_out(spark, monkeypatch):
+    """Dealing one side alone sent all 400 objects to each of 100 shares: 40 000 rows on their way."""
+    monkeypatch.setattr(sphere, "CELL_PAIRS", 1600)
+    places = spark.range(400).selectExpr("id AS pt", "id / 1000 AS x", "0.0 AS y")
+    sent, repartition = [], type(places).repartition
+    monkeypatch.setattr(type(places), "repartition", lambda df, *by: (sent.append(df), repartition(df, *by))[1])
+    found = sphere.within_radius(places, places.selectExpr("pt AS pid", "x", "y"), 1e5)
+    assert found.distinct().count() == found.count() == 160_000
+    assert [df.count() <= 20_000 for df in sent] == [True, True]
+    key = ["band", "column", "places", "objects"]
+    groups = sent[0].groupBy(key).agg(F.count("*").alias("n")).join(sent[1].groupBy(key).agg(F.count("*").alias("m")), key)
+    assert groups.agg(F.max(F.col("n") * F.col("m"))).first()[0] <= 4 * 1600
+
+
 def test_lattices_beyond_31_bits(spark):
     """The whole world at 0.0025 degrees: 10 ** 10 cells."""
     world = rasters.Lattice(-180.0, -90.0, 0.0025, 0.0025, 144_000, 72_000)

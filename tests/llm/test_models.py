@@ -164,6 +164,23 @@ def test_thresholds_and_decisions_equal_a_plain_form(spark):
     assert all(r.kept == (r.perplexity <= r.threshold and r.word_perplexity <= r.word_threshold) for r in found)
 
 
+def test_thresholds_are_exact_over_many_documents(spark):
+    """More values than an approximate quantile holds, dealt to several tasks; ties, and nulls that count for nothing."""
+    value = "CASE WHEN id % 9 = 4 THEN NULL ELSE 2 + (id * 7919 % 499979) / CASE WHEN id % 3 = 0 THEN 1 ELSE 7e0 END END"
+    scored = spark.range(500_000).repartition(4).selectExpr("id AS doc_id", "CASE WHEN id < 499900 THEN 'a' ELSE 'b' END AS lang", "CAST(2 + id * 7919 % 499979 AS DOUBLE) AS perplexity", f"CAST({value} AS DOUBLE) AS word_perplexity")
+    trusted = spark.range(500_000).where("id % 4 > 0 AND (id < 499900 OR id % 10 = 1)").selectExpr("id AS doc_id")
+    rows = [r for r in scored.collect() if held(r.doc_id)]
+    found = {r.lang: r for r in kneser_ney.thresholds(scored, trusted).collect()}
+    assert set(found) == {"a", "b"}
+    for of, name in zip(kneser_ney.NAMES, kneser_ney.LIMITS):
+        given = [r for r in rows if r[of] is not None]
+        own = [r for r in given if r.doc_id % 4 > 0 and (r.doc_id < 499_900 or r.doc_id % 10 == 1)]
+        assert 0 < sum(r.lang == "b" for r in own) < kneser_ney.LEAST_HELD_OUT
+        usual = {lang: quantile([r[of] for r in given if r.lang == lang], 0.5) for lang in "ab"}
+        assert found["a"][name] == quantile([r[of] for r in own if r.lang == "a"], kneser_ney.QUANTILE)
+        assert found["b"][name] == usual["b"] * quantile([r[of] / usual[r.lang] for r in own], kneser_ney.QUANTILE)
+
+
 def test_ids_in_several_broadcasts_or_by_a_shuffle(spark):
     docs = spark.createDataFrame([(d if d >= 0 else None, f"t{d}", "x") for d in [-1, -1, *range(300), 5, 5]], "doc_id long, text string, low string")
     ids = spark.createDataFrame([(d,) for d in [*range(0, 400, 3), 3, 3, None]], "doc_id long")

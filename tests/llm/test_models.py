@@ -209,6 +209,26 @@ def test_classify_odd_rows_and_no_trusted_text(spark):
     assert sorted((r.doc_id or 0, r.kept) for r in some) == [(0, True), (1, False), (1, True), (3, False)]
 
 
+@pytest.mark.parametrize("some", [lambda d: not held(d), held, lambda d: d in (6, 12)], ids=["none held out", "all held out", "two in one fold"])
+def test_trusted_texts_have_thresholds_whatever_their_folds(spark, some):
+    """Without trusted text in the fold that is held out all texts were kept, and with all of it there none."""
+    rng = np.random.default_rng(4)
+    prose = lambda: " ".join("".join(rng.choice(["ka", "lo", "mi", "ne", "ru", "sa"], 2)) for _ in range(60))
+    trusted = [d for d in range(400) if some(d)]
+    docs = [(d, prose(), "xx") for d in range(400)] + [(900 + k, "#5!9$7&3%1" * 30, "xx") for k in range(5)]
+    found = kneser_ney.classify(spark.createDataFrame(docs, "doc_id long, text string, lang string"), spark.createDataFrame([(d,) for d in trusted], "doc_id long")).collect()
+    assert len(found) == 405 and all(r.threshold is not None and r.word_threshold is not None for r in found)
+    assert not any(r.kept for r in found if r.doc_id >= 900)
+    assert sum(r.kept for r in found if r.doc_id in trusted) >= 0.5 * len(trusted)
+
+
+def test_a_single_trusted_text_is_counted_whatever_its_fold(spark):
+    docs = spark.createDataFrame([(6, "one text", "en"), (7, "text one", "en")], "doc_id long, text string, lang string")
+    for one_ in (6, 7):
+        found = kneser_ney.classify(docs, docs.where(F.col("doc_id") == one_).select("doc_id")).collect()
+        assert all(r.kept and r.perplexity is not None and r.threshold is None for r in found)
+
+
 def test_op9_keeps_good_documents(spark, sf_dir):
     labels = {r["doc_id"]: r["quality"] for r in pq.read_table(f"{sf_dir}/labels.parquet").to_pylist()}
     found = queries.op9_kneser_ney(spark, sf_dir).collect()
